@@ -5,7 +5,9 @@ from __future__ import annotations
 from paperloom.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from paperloom.llm.fingerprint import op4_document_fingerprints
 from paperloom.llm.html_extract import op1_html_extraction
+from paperloom.llm.jaccard import OP3_SQL, op3_jaccard_join
 from paperloom.llm.mixing import op2_mixing_sources
+from paperloom.llm.suffix_dedup import OP8_SQL, op8_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing_sources, op4_document_fingerprints, op9_benchmark_decontamination)}
-ORACLES = {"op9_benchmark_decontamination": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_mixing_sources, op3_jaccard_join, op4_document_fingerprints, op8_suffix_array_dedup, op9_benchmark_decontamination)}
+ORACLES = {"op3_jaccard_join": OP3_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
