@@ -59,13 +59,19 @@ def pairs(text: Column, shortest: int = 1, cap: int | None = R.PAIR_CAP) -> Colu
     if cap:
         good = F.slice(good, 1, cap)
 
+    def numbered(ps: Column) -> Column:
+        names = F.transform(ps, lambda p: p["key"])
+        return let(names, lambda ks: F.transform(ps, lambda p, i: F.struct(F.concat_ws(" ", p["key"], F.nullif(F.size(F.filter(F.slice(ks, F.lit(1), i + 1), lambda k: k == p["key"])), F.lit(1)).cast("string")).alias("key"), p["value"].alias("value"))))
+
     def add(done: Column, p: Column) -> Column:
         taken = lambda key: F.exists(done, lambda d: d["key"] == key)
         free = F.element_at(F.filter(F.sequence(F.lit(2), F.size(done) + 2), lambda i: ~taken(F.concat_ws(" ", p["key"], i.cast("string")))), 1)
         key = F.when(taken(p["key"]), F.concat_ws(" ", p["key"], free.cast("string"))).otherwise(p["key"])
         return F.concat(done, F.array(F.struct(key.alias("key"), p["value"].alias("value"))))
 
-    return F.aggregate(good, F.array().cast(PAIRS), add)
+    # A count of the same key so far gives its number, unless a text has a key like "Total 2" of its own: then the next free number is looked for.
+    distinct = lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: p["key"]))) == F.size(ps)
+    return let(good, lambda ps: let(numbered(ps), lambda ns: F.when(distinct(ns), ns).otherwise(F.aggregate(ps, F.array().cast(PAIRS), add))))
 
 
 def value_of(kv: Column, key: str) -> Column:
