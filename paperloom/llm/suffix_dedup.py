@@ -119,8 +119,8 @@ def _shared(found: DataFrame) -> DataFrame:
 
 
 def _suffixes(placed: DataFrame, length: int, seed: int) -> DataFrame:
-    """The bytes around each anchor: lead1 and lead2 (the seed, in byte order), doc, h, pos, lo and hi (how far they reach), around; or mask, for those that an equal row of the same slice settles."""
-    schema = pa.schema([("lead1", pa.int64()), ("lead2", pa.int64()), ("doc", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("around", pa.binary()), ("mask", pa.int64())])
+    """doc, h, pos, lo and hi (how far the bytes around an anchor reach) and around; or mask, for those that an equal row of the same slice settles."""
+    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("around", pa.binary()), ("mask", pa.int64())])
     back = length - seed
 
     def cut(batches):
@@ -147,12 +147,11 @@ def _suffixes(placed: DataFrame, length: int, seed: int) -> DataFrame:
                 least = np.empty(len(r), np.int64)
                 least[order] = doc[order][new][np.cumsum(new) - 1]
                 settled = doc > least
-                lead = np.ascontiguousarray(around[:, back : back + 16]).view(">i8") ^ np.int64(-(1 << 63))
                 shown = pa.array([x.tobytes() for x in around[~settled]], pa.binary()).take(pa.array(np.where(settled, -1, np.cumsum(~settled) - 1), pa.int64(), mask=settled)) if (~settled).any() else pa.nulls(len(r), pa.binary())
                 every = _mask(np.ones((len(r), back + 1), bool) & _inside(lo, hi, back, length))
-                yield batch(schema, lead[:, 0].astype(np.int64), lead[:, 1].astype(np.int64), doc, hs[row + r], pos.astype(np.int32), lo.astype(np.int16), hi.astype(np.int16), shown, pa.array(every, pa.int64(), mask=~settled))
+                yield batch(schema, doc, hs[row + r], pos.astype(np.int32), lo.astype(np.int16), hi.astype(np.int16), shown, pa.array(every, pa.int64(), mask=~settled))
 
-    return placed.mapInArrow(cut, "lead1 long, lead2 long, doc long, h long, pos int, lo short, hi short, around binary, mask long")
+    return placed.mapInArrow(cut, "doc long, h long, pos int, lo short, hi short, around binary, mask long")
 
 
 def _inside(lo: np.ndarray, hi: np.ndarray, back: int, length: int) -> np.ndarray:
@@ -176,8 +175,8 @@ def _compared(suffixes: DataFrame, length: int, seed: int) -> DataFrame:
         if not tables:
             return
         t = pa.Table.from_batches(tables).combine_chunks()
-        doc, h, pos, lo, hi = (t.column(i).to_numpy() for i in (2, 3, 4, 5, 6))
-        around = flat_rows(t.column(7), back + length)
+        doc, h, pos, lo, hi = (t.column(i).to_numpy() for i in range(5))
+        around = flat_rows(t.column(5), back + length)
         keys = [np.ascontiguousarray(around[:, back + i : back + i + 8]).view(">u8")[:, 0] for i in range(0, length - 7, 8)]
         order = np.lexsort(keys[::-1])
         same = np.ones(len(order), bool)
@@ -218,17 +217,20 @@ def flat_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def marks(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc, h (a hash of the text), places and masks: the strings to remove, as in ``_compared``; or whole, for texts that a smaller doc_id has too."""
     spark = docs.sparkSession
-    keyed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
-    copies = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"), F.crc32("text").alias("c")).where(F.col("n") >= length)
-    first = copies.groupBy("h", "n", "c").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
-    whole = materialise(copies.join(first, ["h", "n", "c"]).where("doc_id > least").select(F.col("doc_id").alias("doc"), "h").distinct(), "suffix-copies")
+    keyed = docs.where("doc_id is not null").select("doc_id", F.crc32("text").alias("h"), "text")
+    copies = docs.where("doc_id is not null").select("doc_id", F.crc32("text").alias("h"), F.octet_length("text").alias("n"), F.xxhash64("text").alias("x")).where(F.col("n") >= length)
+    first = copies.groupBy("h", "n", "x").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+    whole = materialise(copies.join(first, ["h", "n", "x"]).where("doc_id > least").select(F.col("doc_id").alias("doc"), "h").distinct(), "suffix-copies")
     shared = _shared(_seeds(docs.where("doc_id is not null").select("doc_id", "text"), length, seed))
-    places = shared.groupBy("doc").agg(F.collect_list("pos").alias("places"))
+    # Each step's table is written before the next begins, so that its shuffle files can go.
+    places = materialise(shared.groupBy("doc").agg(F.collect_list("pos").alias("places")), "suffix-anchors")
     placed = keyed.join(places, F.col("doc") == F.col("doc_id")).drop("doc").join(whole.withColumnRenamed("doc", "doc_id"), ["doc_id", "h"], "left_anti")
-    suffixes = materialise(_suffixes(placed.select("doc_id", "h", "text", "places"), length, seed), "suffix-around")
-    open_ = suffixes.where("mask is null").repartitionByRange(n_tasks(spark), "lead1", "lead2")
+    suffixes = _suffixes(placed.select("doc_id", "h", "text", "places"), length, seed)
+    lead = F.expr(f"substring(around, {length - seed + 1}, {seed})")
+    open_ = suffixes.where("mask is null").drop("mask").repartitionByRange(n_tasks(spark), lead)
     found = _compared(open_, length, seed).union(suffixes.where("mask is not null").select("doc", "h", "pos", "mask"))
-    return found.groupBy("doc", "h").agg(F.collect_list("pos").alias("places"), F.collect_list("mask").alias("masks"), F.lit(False).alias("whole")).union(whole.select("doc", "h", F.array().cast("array<int>"), F.array().cast("array<bigint>"), F.lit(True)))
+    marked = materialise(found.groupBy("doc", "h").agg(F.collect_list("pos").alias("places"), F.collect_list("mask").alias("masks"), F.lit(False).alias("whole")), "suffix-marks")
+    return marked.union(whole.select("doc", "h", F.array().cast("array<int>"), F.array().cast("array<bigint>"), F.lit(True)))
 
 
 def removed(n: int, places: np.ndarray, masks: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -244,7 +246,7 @@ def removed(n: int, places: np.ndarray, masks: np.ndarray, length: int, seed: in
 
 def _with_marks(docs: DataFrame, length: int, seed: int) -> DataFrame:
     found = marks(own_columns(docs, "doc_id", "text"), length, seed)
-    return docs.join(found.withColumnsRenamed({"doc": "__doc", "h": "__h", "places": "__places", "masks": "__masks", "whole": "__whole"}), (F.col("__doc") == F.col("doc_id")) & (F.col("__h") == F.xxhash64("text")), "left").drop("__doc", "__h")
+    return docs.join(found.withColumnsRenamed({"doc": "__doc", "h": "__h", "places": "__places", "masks": "__masks", "whole": "__whole"}), (F.col("__doc") == F.col("doc_id")) & (F.col("__h") == F.crc32("text")), "left").drop("__doc", "__h")
 
 
 def _kept(b: pa.RecordBatch, text: int, length: int, seed: int):
@@ -279,7 +281,8 @@ def removals(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
 
 def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """The documents with repeated strings removed from their texts, and without those of which nothing is left; n_chars, if there, follows. A character that loses some of its bytes goes."""
-    at = docs.columns.index("text")
+    columns = docs.columns
+    at = columns.index("text")
 
     def clean(batches):
         for b in batches:
@@ -290,9 +293,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
                 else:
                     texts.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore"))
                 keep.append(gone is None or bool(texts[-1].strip()))
-            out = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(docs.columns)
-            if "n_chars" in docs.columns:
-                i = docs.columns.index("n_chars")
+            out = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).select(columns)
+            if "n_chars" in columns:
+                i = columns.index("n_chars")
                 out = out.set_column(i, out.schema.field(i), pa.array([None if t is None else len(t) for t in texts], out.schema.field(i).type))
             yield out.filter(pa.array(keep, pa.bool_()))
 
