@@ -7,7 +7,6 @@ per-word Python object is made. Batches are cut into slices of about
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -51,17 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it again: later jobs, and retries after a lost executor, start from the files."""
     path = f"{shared_dir(df.sparkSession)}/paperloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(df.sparkSession)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    # Once the table is written nothing reads the job's shuffle files again, so Spark may delete them.
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs: it does so once the driver's collector has found that nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
