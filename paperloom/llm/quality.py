@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import batch, own_columns, read, slices, words
@@ -93,7 +93,7 @@ class Sparse:
         return np.concatenate([np.bincount(self.columns, error[self.rows], self.width), self.dense.T @ error])
 
     def take(self, keep: np.ndarray) -> Sparse:
-        place = np.full(len(self), -1)
+        place = np.full(len(self), -1, np.int32)
         place[keep] = np.arange(len(keep))
         inside = place[self.rows] >= 0
         return Sparse(place[self.rows][inside], self.columns[inside], self.dense[keep], self.width)
@@ -140,7 +140,9 @@ class CoTrained:
         self.vocabulary = seen[count >= max(MIN_DOCUMENTS, often)][:VOCABULARY]
         self.langs = sorted({r[1] for r in rows if r[1] is not None})
         self.sources = sorted({r[2] for r in rows if r[2] is not None})[:10_000]
-        content, meta = self._content(column), self.metadata([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
+        content = self._content(column)
+        del column
+        meta = self.metadata([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
         good = np.array([np.nan if r[4] is None else float(r[4]) for r in rows])
         labelled, pool = np.flatnonzero(~np.isnan(good)), np.flatnonzero(np.isnan(good))
         order = rng.permutation(len(labelled))
@@ -172,8 +174,8 @@ class CoTrained:
         rows, columns, dense = [], [], []
         for row, n, extra, w in _words(column):
             r, c = word_sets(w, n, self.vocabulary)
-            rows.append(r + row)
-            columns.append(c)
+            rows.append((r + row).astype(np.int32))
+            columns.append(c.astype(np.int32))
             dense.append(extra)
         dense = np.concatenate(dense) if dense else np.zeros((0, N_KINDS + 3))
         cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -195,6 +197,13 @@ class CoTrained:
         return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(np.column_stack([*odds, np.ones(len(odds[0]))]) @ self.combination)
 
 
+def thinned(text: Column) -> Column:
+    """``thin`` before the sample's texts are gathered."""
+    parts = F.split(text, " ", -1)
+    step = F.ceil(F.size(parts) / SAMPLE_WORDS)
+    return F.when(F.size(parts) <= SAMPLE_WORDS, text).otherwise(F.array_join(F.filter(parts, lambda _, i: i % step == 0), " "))
+
+
 def thin(text: str | None) -> str:
     """At most SAMPLE_WORDS words of a sample's text, evenly spread."""
     parts = (text or "").split(" ")
@@ -217,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> CoTrained:
     ids = [r["doc_id"] for r in known.select("doc_id").join(one, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL).collect()]
     spark = docs.sparkSession
     pool = spark.createDataFrame([(i, None) for i in ids], "doc_id long, good int")
-    rows = known.join(F.broadcast(chosen.union(pool)), "doc_id").select("doc_id", F.col("text"), "lang", "source", "n_chars", "good").collect()
+    rows = known.join(F.broadcast(chosen.union(pool)), "doc_id").select("doc_id", thinned(F.coalesce("text", F.lit(""))).alias("text"), "lang", "source", "n_chars", "good").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return CoTrained([(r["text"], r["lang"], r["source"], r["n_chars"], r["good"]) for r in rows], seed)
 
