@@ -61,6 +61,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table from ``materialise`` that no later job reads."""
+    jvm, hadoop = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    for file in table.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(hadoop).delete(path, False)
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

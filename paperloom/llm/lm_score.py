@@ -1,19 +1,21 @@
-"""LM scoring by a weighted backoff automaton.
-
-Unigrams are counted over all training documents and smoothed by add-one; they
-are as many as the corpus has words and stay in a table. On top of them,
-bigrams and trigrams of frequent words are states of an automaton: an arc for
-each kept n-gram carries its discounted log-probability and the next state, and
-each state has a failure arc with its backoff weight to the state of its suffix.
-A text is traversed once from left to right: the state is carried, a missing
-arc is answered by failure arcs, and log-probabilities add up. Backoff weights
-are normalised, so that the probabilities of all tokens after any state sum to
-one.
-
-"Frequent" is relative to the corpus: words of at least one in ``VOCABULARY``
-tokens, n-grams of at least one in ``ARCS``. So the automaton has at most
-VOCABULARY words and 2 * ARCS arcs, whatever the corpus, and is broadcast. The
-counts of all other words are joined to the documents' words.
+"""LM scoring by a weighted backoff automaton that is kept in tables.
+
+Unigrams are counted over all training documents and smoothed by add-one.
+Bigrams and trigrams of all words that occur at least ``MINIMUM`` times, at any
+size of the corpus, are arcs with a discounted probability. Each context has a
+failure arc with its backoff weight to its suffix; the weights are normalised,
+so that the probabilities of all tokens after any context sum to one.
+
+A text's score is that of a traversal from left to right, where a missing arc
+is answered by failure arcs. It is a sum over the text's n-grams, in any order:
+each word pays its unigram probability and the failure arc that the next token
+takes from it; each kept bigram pays its own probability and the next token's
+failure arc, and takes back what its words have paid in its place; each kept
+trigram does so for its bigram. (A kept trigram's bigrams are kept, too.) So
+each n-gram has one weight, and the documents' n-grams are joined to the
+weights and added up by document. Counts and weights grow with the corpus and
+stay in tables; only the weights of words of at least one in ``VOCABULARY``
+tokens are broadcast, so that no frequent word is a key of a join.
 
 Tokens are 64-bit hashes of lower-cased words. Defined results: null texts are
 empty, of the end token only; a null doc_id is not held out; without training
@@ -31,12 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batch, materialise, own_columns, read, signed, slices, words
+from paperloom.llm.common import batch, discard, materialise, mix, own_columns, read, signed, slices, words
 
 VOCABULARY = 10_000
-ARCS = 500_000
+MINIMUM = 2
 DISCOUNT = 0.5
-ORDER = 3
 END = 0x5EED0FE0D0C5E11D
 COUNT_SLICE = 4 << 20
 
@@ -74,30 +75,91 @@ def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at + 1, 0)
 
 
-def ngram_counts(training: DataFrame, vocabulary, order: int) -> DataFrame:
-    """gram, c of the n-grams (n from 2 to ``order``) of vocabulary words; gram holds their ids as digits of base VOCABULARY + 2."""
-    schema = pa.schema([("gram", pa.int64()), ("c", pa.int64())])
+def _ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row, the n tokens) of each n-gram of a run of rows; none crosses a row."""
+    h, bounds = tokens(data, offsets)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.flatnonzero(row[n - 1 :] == row[: max(len(row) - n + 1, 0)])
+    return row[at], [h[at + j] for j in range(n)]
+
+
+def _names(n: int) -> list[str]:
+    return [f"t{j}" for j in range(n)]
+
+
+def _parts(n: int) -> list:
+    """What tells an n-gram: t0 and t1 of a bigram; of a trigram t01 and t12, the keys of its two bigrams. Its key is their hash."""
+    return [F.col("t0"), F.col("t1")] if n == 2 else [F.xxhash64("t0", "t1").alias("t01"), F.xxhash64("t1", "t2").alias("t12")]
+
+
+def ngram_counts(training: DataFrame, n: int) -> DataFrame:
+    """The parts and c of the n-grams that occur at least MINIMUM times in all training texts."""
+    schema = pa.schema([(t, pa.int64()) for t in [*_names(n), "c"]])
 
     def count(batches):
         for b in batches:
             for _, _, data, offsets in slices(b.column(0), COUNT_SLICE):
-                h, bounds = tokens(data, offsets)
-                ids = _ids(h, vocabulary.value)
-                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                grams = []
-                key, ok = ids, ids > 0
-                for n in range(1, order):
-                    ok = ok[:-1] & (ids[n:] > 0) & (row[n:] == row[:-n])
-                    key = key[:-1] * (VOCABULARY + 2) + ids[n:]
-                    grams.append(key[ok])
-                gram, c = np.unique(np.concatenate(grams), return_counts=True)
-                yield batch(schema, gram, c)
+                _, t = _ngrams(data, offsets, n)
+                key = t[0]
+                for x in t[1:]:
+                    key = mix(key) + x
+                _, first, c = np.unique(key, return_index=True, return_counts=True)
+                yield batch(schema, *[signed(x[first]) for x in t], c)
+
+    counted = training.select("text").mapInArrow(count, ", ".join(f"{t} long" for t in [*_names(n), "c"])).select(*_parts(n), "c")
+    return counted.groupBy(*counted.columns[:-1]).agg(F.sum("c").alias("c")).where(F.col("c") >= MINIMUM)
+
+
+def weights(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each n-gram adds to a score: (token, c, v) of words, (key, v) of kept bigrams and of kept trigrams."""
+    p1 = lambda c: F.log10(c + 1.0) - floor
+    p2, p3 = F.log10((F.col("c") - DISCOUNT) / F.col("c0")), F.log10((F.col("c") - DISCOUNT) / F.col("c01"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    two = ngram_counts(training, 2).join(counts.select(F.col("token").alias("t0"), F.col("c").alias("c0")), "t0").join(counts.select(F.col("token").alias("t1"), F.col("c").alias("c1")), "t1")
+    two = materialise(two.select("t0", "t1", "c", "c0", "c1"), "lm-bigrams")
+    # Of a context: what its arcs leave to others, over what their words have below it.
+    left = (F.col("c0") - F.sum("c") + DISCOUNT * F.count("*")) / F.col("c0")
+    fail1 = two.groupBy("t0", "c0").agg(F.log10(left / F.greatest(1 - F.sum(F.pow(F.lit(10.0), p1(F.col("c1")))), F.lit(1e-12))).alias("fail1")).drop("c0")
+    fail1 = materialise(fail1, "lm-word-failures")
+    triples = materialise(ngram_counts(training, 3), "lm-triples")
+    key = F.xxhash64(*_parts(2))
+    suffix = two.select(key.alias("t12"), F.col("c").alias("c12"), F.col("c0").alias("c1"), p2.alias("p2"))
+    three = triples.join(suffix, "t12").join(two.select(key.alias("t01"), F.col("c").alias("c01")), "t01")
+    arcs = Window.partitionBy("t01")
+    over = lambda all_of, c: (F.col(all_of) - F.sum(c).over(arcs) + DISCOUNT * F.count("*").over(arcs)) / F.col(all_of)
+    three = three.withColumn("fail2", F.log10(over("c01", "c") / over("c1", "c12")))
+    three = materialise(three.select("t01", F.xxhash64("t01", "t12").alias("key"), "fail2", (p3 - F.col("p2") - F.col("fail2")).alias("v")), "lm-trigrams")
+    discard(triples)
+    fail2 = three.groupBy(F.col("t01").alias("key")).agg(F.max("fail2").alias("fail2"))
+    of_two = two.join(fail1, "t0").select(key.alias("key"), (p2 - p1(F.col("c1")) - F.col("fail1")).alias("v")).join(fail2, "key", "left").select("key", (F.col("v") + zero("fail2")).alias("v"))
+    of_two = materialise(of_two, "lm-bigram-weights")
+    discard(two)
+    of_words = counts.join(fail1.withColumnRenamed("t0", "token"), "token", "left").select("token", "c", (p1(F.col("c")) + zero("fail1")).alias("v"))
+    return materialise(of_words, "lm-word-weights"), of_two, three.select("key", "v")
+
+
+def ngram_sums(keyed: DataFrame, weighed: DataFrame, n: int) -> DataFrame:
+    """doc_id, h, v: the sum of the weights of a document's kept n-grams."""
+    schema = pa.schema([(c, pa.int64()) for c in ["doc_id", "h", *_names(n)]])
+
+    def emit(batches):
+        for b in batches:
+            ids, hs = (b.column(i) for i in (0, 1))
+            for row, _, data, offsets in slices(b.column(2)):
+                at, t = _ngrams(data, offsets, n)
+                at = pa.array(row + at)
+                yield batch(schema, ids.take(at), hs.take(at), *map(signed, t))
 
-    return training.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    found = keyed.select("doc_id", "h", "text").mapInArrow(emit, ", ".join(f"{c} long" for c in ["doc_id", "h", *_names(n)]))
+    joined = found.select("doc_id", "h", F.xxhash64(*_parts(n)).alias("key")).join(weighed.hint("shuffle_hash"), "key")
+    return joined.groupBy("doc_id", "h").agg(F.sum("v").alias("v"))
 
 
 class Automaton:
-    """State 0 is the empty context, state i the vocabulary's i-th word, higher ones are kept bigrams."""
+    """The same model in one process, for corpora of at most VOCABULARY words: what the tables are tested against.
+
+    State 0 is the empty context, state i the vocabulary's i-th word, higher ones are kept bigrams.
+    """
 
     def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, total: int, distinct: int, grams: dict[int, int], discount: float = DISCOUNT):
         base, self.vocabulary = VOCABULARY + 2, vocabulary
@@ -172,36 +234,31 @@ def _by_context(grams: dict[int, int], base: int) -> dict[int, dict[int, int]]:
     return out
 
 
-def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
+def score(docs: DataFrame, held_out) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; ``held_out`` is a condition."""
     spark = docs.sparkSession
     marked = own_columns(docs, "doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     training = marked.where("not held_out")
     counts = materialise(word_counts(training), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    floor = math.log10(total + distinct + 1)
+    of_words, of_two, of_three = weights(training, counts, floor)
     end = np.array([END], np.uint64).view(np.int64)[0]
-    rows = counts.where((F.col("c") * VOCABULARY >= total) | (F.col("token") == F.lit(int(end)))).collect()  # at most VOCABULARY + 1
+    rows = of_words.where((F.col("c") * VOCABULARY >= total) | (F.col("token") == F.lit(int(end)))).collect()  # at most VOCABULARY + 1
     rows.sort(key=lambda r: r["token"] % (1 << 64))
     vocabulary = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    known = spark.sparkContext.broadcast(vocabulary)
-    grams = {}
-    if total:
-        least = max(2, -(-total // ARCS))
-        grams = {r["gram"]: r["c"] for r in ngram_counts(training, known, order).where(F.col("c") >= least).toLocalIterator()}  # at most (order - 1) * ARCS
-    model = spark.sparkContext.broadcast(Automaton(vocabulary, np.array([r["c"] for r in rows], np.int64), total, distinct, grams))
+    base_of = np.concatenate([[0.0], np.log10(np.array([r["c"] for r in rows], float) + 1) - floor])
+    known = spark.sparkContext.broadcast((vocabulary, base_of, np.array([0.0, *[r["v"] for r in rows]])))
 
     scored_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("auto", pa.float64())])
 
-    def traverse(batches):
-        m = model.value
+    def frequent(batches):
+        vocabulary, base_of, weight_of = known.value
         for b in batches:
             for row, upto, data, offsets in slices(b.column(3)):
                 h, bounds = tokens(data, offsets)
-                ids = _ids(h, m.vocabulary)
-                base = np.add.reduceat(m.unigram[ids], bounds[:-1])
-                seen = np.add.reduceat(m.known[ids].astype(np.int64), bounds[:-1])
-                listed = ids.tolist()
-                auto = [m.traverse(listed[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+                ids = _ids(h, vocabulary)
+                base, auto, seen = (np.add.reduceat(x, bounds[:-1]) for x in (base_of[ids], weight_of[ids], (ids > 0).astype(np.int64)))
                 yield batch(scored_schema, *[b.column(i).slice(row, upto - row) for i in range(3)], np.diff(bounds), seen, base, auto)
 
     other_schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("token", pa.int64())])
@@ -209,31 +266,33 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     def others(batches):
         for b in batches:
             ids, hs = (b.column(i) for i in (0, 1))
-            for row, upto, data, offsets in slices(b.column(2)):
+            for row, _, data, offsets in slices(b.column(2)):
                 h, bounds = tokens(data, offsets)
-                rare = np.flatnonzero((_ids(h, known.value) == 0) & (h != np.uint64(END)))
+                rare = np.flatnonzero((_ids(h, known.value[0]) == 0) & (h != np.uint64(END)))
                 at = pa.array(row + np.searchsorted(bounds, rare, "right") - 1)
                 yield batch(other_schema, ids.take(at), hs.take(at), signed(h[rare]))
 
     keyed = marked.withColumn("h", F.xxhash64("text"))
-    scored = keyed.select("doc_id", "held_out", "h", "text").mapInArrow(traverse, "doc_id long, held_out boolean, h long, n_tokens long, n_known long, base double, auto double")
+    scored = keyed.select("doc_id", "held_out", "h", "text").mapInArrow(frequent, "doc_id long, held_out boolean, h long, n_tokens long, n_known long, base double, auto double")
     rare = keyed.select("doc_id", "h", "text").mapInArrow(others, "doc_id long, h long, token long")
     # Words outside the vocabulary are each less than one in VOCABULARY tokens, so no key of this join is frequent.
     c = F.coalesce("c", F.lit(0))
-    sums = rare.join(counts.hint("shuffle_hash"), "token", "left").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.sum(F.log10(c + 1.0)).alias("logs"), F.count("*").alias("n"), F.sum((c > 0).cast("long")).alias("seen"))
-    same = Window.partitionBy("doc_id", "h")  # equal rows: their words have been summed together
+    of_rare = rare.join(of_words.hint("shuffle_hash"), "token", "left").groupBy("doc_id", "h").agg(F.sum(F.coalesce("v", F.lit(-floor))).alias("v"), F.sum(F.log10(c + 1.0) - floor).alias("base"), F.sum((c > 0).cast("long")).alias("seen"))
+    none = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("seen")]
+    # Each is written on its own, so that one join's shuffle files are there at a time.
+    parts = [materialise(of_rare, "lm-sums-1"), *[materialise(ngram_sums(keyed, w, n).select("doc_id", "h", "v", *none), f"lm-sums-{n}") for n, w in ((2, of_two), (3, of_three))]]
+    sums = parts[0].union(parts[1]).union(parts[2]).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(*[F.sum(x).alias(f"{x}_sum") for x in ("v", "base", "seen")])
+    same = Window.partitionBy("doc_id", "h")  # equal rows: their n-grams have been summed together
     joined = scored.withColumn("times", F.count("*").over(same)).join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("k")), "left")
-    floor = math.log10(total + distinct + 1)
-    rest = F.coalesce((F.col("logs") - F.col("n") * floor) / F.col("times"), F.lit(0.0))
-    missing_end = F.lit(0.0 if len(vocabulary) else -floor)
+    rest = lambda x: F.coalesce(F.col(f"{x}_sum") / F.col("times"), F.lit(0.0))
     return joined.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce((F.col("seen") / F.col("times")).cast("long"), F.lit(0))).alias("n_known"),
+        (F.col("n_known") + rest("seen").cast("long")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest + missing_end).alias("base_score"),
-        (F.col("auto") + rest + missing_end).alias("score"),
+        (F.col("base") + rest("base")).alias("base_score"),
+        (F.col("auto") + rest("v")).alias("score"),
     )
 
 

@@ -160,6 +160,48 @@ def test_automaton_probabilities_sum_to_one(spark, make, words):
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_scores_are_those_of_the_automaton_of_all_words(make, words):
+    rare = "one phrase of words that occur twice among very many others"
+    texts = [(1, "x y " * 11_000), (2, rare), (3, rare), (4, "never seen " + rare + " seen never"), (5, words(300, 1) + " " + words(300, 1)), (6, words(200, 1)), (7, None), (8, "y"), (8, "y")]
+    held = {4, 6}
+    split = lambda t: [*(t or "").split(), None]
+    training = [split(t) for i, t in texts if i not in held]
+    counts = Counter(w for t in training for w in t)
+    ids = {w: i for i, w in enumerate(counts, 1)}
+    base = lm_score.VOCABULARY + 2
+    grams = Counter()
+    for t in training:
+        x = [ids[w] for w in t]
+        grams += Counter(a * base + b for a, b in zip(x, x[1:])) + Counter((a * base + b) * base + c for a, b, c in zip(x, x[1:], x[2:]))
+    n, v = sum(counts.values()), len(counts)
+    # The n-th word's hash is n, but for the end's: the last place of the vocabulary.
+    last = ids.pop(None)
+    swap = {last: v, v: last}
+    place = lambda i: swap.get(i, i)
+    digits = lambda g: [place(x) for x in (g // base // base, g // base % base, g % base) if x]
+    moved = {}
+    for g, c in grams.items():
+        key = 0
+        for x in digits(g):
+            key = key * base + x
+        if c > 1:
+            moved[key] = c
+    count = np.zeros(v, np.int64)
+    for w, c in counts.items():
+        count[place(last if w is None else ids[w]) - 1] = c
+    m = lm_score.Automaton(np.array([*range(1, v), lm_score.END], np.uint64), count, n, v, moved)
+    m.__setstate__(m.__dict__)
+    got = lm_score.score(make(texts), F.col("doc_id").isin(*held)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = split(dict(texts)[r["doc_id"]])
+        x = [place(last if w is None else ids.get(w, 0)) for w in t]
+        assert r["score"] == pytest.approx(m.traverse(x) - x.count(0) * math.log10(n + v + 1), abs=1e-6, rel=1e-9)
+        assert r["n_known"] == len(x) - x.count(0)
+    by_id = {r["doc_id"]: r for r in got}
+    assert by_id[2]["score"] > by_id[2]["base_score"] + 10
+
+
 def test_quality_on_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
