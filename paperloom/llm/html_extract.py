@@ -9,8 +9,9 @@ article; what is not boilerplate inside that element is the main text, short
 headings and list items among long paragraphs included.
 
 Elements that HTML itself names as no content (``NO_CONTENT``), that declare
-such a role, that are hidden, or that a class or id names so (``NO_CONTENT_WORDS``)
-never take part.
+such a role or are hidden never take part. Forms, and elements that a class or id
+names so (``NO_CONTENT_WORDS``), take part only as wrappers: where they hold a
+declared article, or, on pages that declare none, most of the prose.
 
 Defined results: null and empty html give an empty text; unclosed, overlapping
 and stray tags are read as browsers do for blocks (a block start ends an open
@@ -42,11 +43,13 @@ ENDS_P = BLOCKS - {"option", "optgroup", "button", "label", "select", "legend"}
 #: A start of the first ends an open one of these, within the nearest list or table.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("ul ol menu dl table select body html article section div".split())
-NO_CONTENT = frozenset("head nav footer aside form fieldset button select menu dialog search dir".split())
+NO_CONTENT = frozenset("head nav footer aside fieldset button select menu dialog search dir".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 NO_CONTENT_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside notice notices cookie cookies consent gdpr banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus reply replies respond share sharing social related breadcrumb breadcrumbs subscribe subscription newsletter signup login popup modal overlay widget toolbar pagination pager skip outbrain taboola recommended rail".split()
 )
+#: These name prose that isn't the page's own, however much of it there is.
+OTHERS_PROSE = frozenset("comment comments disqus reply replies respond related recommended outbrain taboola".split())
 #: These may stand inside an article, with its own title in them.
 HEADERS = frozenset("header masthead banner".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？…]")
@@ -60,6 +63,7 @@ class Element:
     parent: Element | None
     out: bool = False
     named_out: bool = False
+    no_wrapper: bool = False
     article: bool = False
     path: str = ""
     holds_main: bool = False
@@ -92,6 +96,7 @@ def _named(attributes: dict[str, str]) -> set[str]:
 def _element(name: str, source: str, parent: Element) -> Element:
     e = Element(name, parent, path=f"{parent.path}/{name}", article=parent.article or name in ("article", "main"))
     e.out = name in NO_CONTENT or name == "header" and not parent.article
+    e.named_out = name == "form"
     if source.strip():
         a = _attributes(source)
         words = _named(a)
@@ -101,7 +106,9 @@ def _element(name: str, source: str, parent: Element) -> Element:
             words = set()
         role = a.get("role", "").lower()
         e.article |= role == "main"
-        e.named_out = bool(words) or role in NO_CONTENT_ROLES and not (parent.article and role == "banner")
+        e.no_wrapper = role in NO_CONTENT_ROLES - {"form"} and not (parent.article and role == "banner")
+        e.no_wrapper |= bool(words & OTHERS_PROSE)
+        e.named_out |= bool(words) or e.no_wrapper or role == "form"
         e.out |= "hidden" in a or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
         if first := (a.get("class") or a.get("id") or "").split():
             e.path += f".{first[0]}"
@@ -181,8 +188,23 @@ def _scope(top: Element, stop: frozenset = frozenset("table td th button body ht
         yield e
 
 
-def _out(e: Element) -> bool:
-    return any(x.out or x.named_out and not x.holds_main for x in e.chain())
+def _wrappers(found: list[Block]) -> set[int]:
+    """On a page without a declared article, the ids of the elements that hold most of its prose (text with punctuation that isn't linked)."""
+    held, total = defaultdict(int), 0
+    for b in found:
+        chain = list(b.element.chain())
+        if any(e.holds_main for e in chain[-1:]):
+            return set()
+        if b.marks and not any(e.out or e.no_wrapper for e in chain):
+            n = len(b.text) - min(b.linked, len(b.text))
+            total += n
+            for e in chain:
+                held[id(e)] += n
+    return {i for i, n in held.items() if n > total / 2}
+
+
+def _out(e: Element, wrappers: set[int]) -> bool:
+    return any(x.out or x.named_out and not x.holds_main and id(x) not in wrappers for x in e.chain())
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -196,7 +218,9 @@ def _smooth(values: list[float]) -> list[float]:
 
 def main_text(page: str | None) -> str:
     """The page's main text: its blocks, joined by an empty line."""
-    kept = [b for b in blocks(page or "") if not _out(b.element)]
+    found = blocks(page or "")
+    wrappers = _wrappers(found)
+    kept = [b for b in found if not _out(b.element, wrappers)]
     if not kept:
         return ""
     length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)

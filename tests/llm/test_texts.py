@@ -49,6 +49,16 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>", "<div class=has-sidebar>", "<div class='no-sidebar'>", "<div id=content-sidebar-wrap>", "<form><article>"])
+def test_wrappers_of_the_text_are_kept(wrapper):
+    page = f"<body><nav>Home</nav>{wrapper}<div class=text><p>{BODY}</p><p>Short.</p><p>{BODY * 2}</p></div><div class=sidebar><p>{BODY}</p></div>"
+    assert main_text(page) == f"{BODY.strip()}\n\nShort.\n\n{(BODY * 2).strip()}"
+
+
+def test_comments_longer_than_the_text_are_no_wrapper():
+    assert main_text(f"<body><div class=text><p>{BODY}</p></div><div class=comments>{f'<div><p>{BODY}</p></div>' * 5}</div>") == BODY.strip()
+
+
 def test_extract_keeps_every_page(spark):
     rows = extract(spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>é</p>", "y")], "page_id long, url string, html string, text string")).collect()
     assert sorted((r["n_chars"], r["text"]) for r in rows) == [(0, ""), (0, ""), (1, "é")]
