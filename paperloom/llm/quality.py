@@ -1,80 +1,87 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-Each view has a logistic regression of its own: the text view over which known
-words a text has and some measures of its characters, the metadata view over
-language, source and length. Over rounds, each view labels the documents of an
-unlabelled pool that it is most sure of, and the other learns from them too. Both
-views are then calibrated on labelled documents that neither has learnt from, and
-their calibrated log-odds are combined by a last regression on the same.
-
-A document is good when its quality label is 1 and its toxic label isn't.
-
-The models are fitted on bounded samples, chosen by a seeded order: ``LABELLED``
-labelled documents (a fifth of them kept for calibration) and ``POOL`` unlabelled
-ones, each with at most ``SAMPLE_WORDS`` words of its text, evenly spread. All
-documents are scored, over their whole texts.
-
-Defined results: null texts are empty; unknown or null languages and sources add
-nothing to the metadata view; without labels, or with labels of one kind only,
-every document is accepted with score 1; equal rows score alike; further columns
-are kept by ``keep_good``; an empty table gives an empty result.
+Each view has a logistic regression of its own: the text view over which words
+a text has (hashed to ``BUCKETS`` places) and over measures of its characters and
+repeats, all of them shares, so that a text's length is none of its features; the
+metadata view over language, source and length. Over rounds, each view labels
+the unlabelled documents that it is surest of, and the other learns from them
+too. Both views are then calibrated on labelled documents that neither has
+learnt from, and their calibrated log-odds are combined by a last regression on
+the same.
+
+A document is good when its quality label is 1 and its toxic label isn't. A
+toxic label alone makes a document bad; a label with neither says nothing.
+
+All texts are read whole. Features are made on the executors; the driver
+gathers only integers and shares, of samples whose sizes are parameters: about
+``LABELLED`` labelled documents (a fifth of them kept for calibration) and, each
+round, about ``PSEUDO`` documents that a view has labelled. A sample is a share
+of all rows by a seeded hash of the doc_id. In each round every document is
+scored; sure ones of all of them stand for choice.
+
+Defined results: null texts are empty; null languages and sources add nothing to
+the metadata view; without labels, or with labels of one kind only, every
+document is accepted with score 1; equal rows score alike; of rows that repeat a
+doc_id one is learnt from; further columns are kept by ``keep_good``; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batch, own_columns, read, slices, words
+from paperloom.llm.common import NOT_ALNUM, batch, discard, materialise, own_columns, read, slices, words
 
 LABELLED = 12_000
-POOL = 4_000
-SAMPLE_WORDS = 4_000
-MIN_DOCUMENTS = 4
-VOCABULARY = 40_000
-ROUNDS = 3
-#: How sure a view must be of a pseudo-label, and the share of the pool that it gives away a round.
+PSEUDO = 2_000
+BUCKETS = 1 << 18
+META_BUCKETS = 1 << 14
+ROUNDS = 2
+#: How sure a view must be of a pseudo-label.
 SURE = 0.95
-SHARE = 0.1
 PSEUDO_WEIGHT = 0.3
 THRESHOLD = 0.5
 SEED = 11
+STEPS, MORE_STEPS = 150, 40
+#: A word of fewer training rows has no weight.
+MIN_ROWS = 4
 
 
 def _kinds() -> np.ndarray:
-    kind = np.full(256, 5, np.int8)  # other ASCII signs
-    for i, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r\v\f", ".,;:!?'\"()-")):
+    """Kinds of bytes: letters of either case, digits, white space, bytes of other letters, controls, and each ASCII sign by itself."""
+    kind = np.full(256, 5, np.int64)
+    for i, chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\r\v\f")):
         kind[[ord(c) for c in chars]] = i
-    kind[128:] = 6
+    kind[128:] = 4
+    signs = [i for i in range(33, 127) if not chr(i).isalnum()]
+    kind[signs] = 6 + np.arange(len(signs))
     return kind
 
 
 KINDS = _kinds()
-N_KINDS = 7
-
-
-def measures(data: np.ndarray, offsets: np.ndarray, w) -> np.ndarray:
-    """Per row: shares of kinds of bytes, words in logarithm, mean word length, share of one-byte words."""
-    n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    share = np.bincount(row * N_KINDS + KINDS[data], minlength=n * N_KINDS).reshape(n, N_KINDS) / np.maximum(np.diff(offsets), 1)[:, None]
-    count = np.diff(w.first)
-    size = w.end - w.start
-    mean = np.bincount(w.row, size, n) / np.maximum(count, 1)
-    short = np.bincount(w.row, size == 1, n) / np.maximum(count, 1)
-    return np.column_stack([share * 4, np.log1p(count) / 5, mean / 10, short * 4])
-
-
-def word_sets(w, n: int, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, places) of the distinct known words of each row."""
-    if not len(vocabulary) or not len(w.hash):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
-    known = vocabulary[at] == w.hash
-    pairs = np.unique(w.row[known] * len(vocabulary) + at[known])
-    return pairs // len(vocabulary), pairs % len(vocabulary)
+N_KINDS = int(KINDS.max()) + 1
+MEASURES = 2 * N_KINDS + 4
+
+
+def text_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, row and place of each distinct word, measures by row) of runs of rows, over whole texts."""
+    for first, upto, data, offsets in slices(column):
+        n, w = upto - first, words(data, offsets, NOT_ALNUM)
+        pairs = np.unique(w.row * BUCKETS + (w.hash >> np.uint64(46)).astype(np.int64))
+        row, place = pairs // BUCKETS, pairs % BUCKETS
+        of_byte = np.repeat(np.arange(n), np.diff(offsets))
+        share = np.bincount(of_byte * N_KINDS + KINDS[data], minlength=n * N_KINDS).reshape(n, N_KINDS) / np.maximum(np.diff(offsets), 1)[:, None]
+        count, size = np.maximum(np.diff(w.first), 1), w.end - w.start
+        # Where a word repeats the one before it in its row.
+        again = np.zeros(len(w.row), bool)
+        again[1:] = (w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1])
+        other = [np.bincount(w.row, x, n) / count for x in (size / 10, size == 1, again)]
+        yield first, n, row, place, np.column_stack([share * 20, np.sqrt(share) * 10, *other, np.ones(n)])
 
 
 class Sparse:
@@ -98,16 +105,27 @@ class Sparse:
         inside = place[self.rows] >= 0
         return Sparse(place[self.rows][inside], self.columns[inside], self.dense[keep], self.width)
 
+    def with_rows(self, other: Sparse) -> Sparse:
+        return Sparse(np.concatenate([self.rows, other.rows + np.int32(len(self))]), np.concatenate([self.columns, other.columns]), np.concatenate([self.dense, other.dense]), self.width)
+
+    def compact(self) -> tuple[Sparse, np.ndarray]:
+        """The same rows over the columns that MIN_ROWS of them have, and which these are."""
+        often = np.bincount(self.columns, minlength=self.width) >= MIN_ROWS
+        keep, seen = often[self.columns], np.flatnonzero(often)
+        return Sparse(self.rows[keep], np.searchsorted(seen, self.columns[keep]).astype(np.int32), self.dense, len(seen)), seen
+
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float = 2.0, steps: int = 120) -> np.ndarray:
-    """Weights by full-batch steps of adaptive size; the last dense feature is the constant and isn't penalised."""
-    out = np.zeros(x.width + x.dense.shape[1])
-    square = np.full_like(out, 1e-8)
-    momentum = np.zeros_like(out)
+def fit_logistic(full: Sparse, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, steps: int = STEPS, l2: float = 1.0) -> np.ndarray:
+    """Weights by full-batch steps of adaptive size, from ``start`` on; the last dense feature is the constant and isn't penalised."""
+    x, seen = full.compact()
+    at = np.concatenate([seen, full.width + np.arange(full.dense.shape[1])])
+    whole = np.zeros(full.width + full.dense.shape[1]) if start is None else start.copy()
+    out = whole[at]
+    square, momentum = np.full_like(out, 1e-8), np.zeros_like(out)
     penalty = np.full_like(out, l2 / max(weight.sum(), 1))
     penalty[-1] = 0
     for step in range(steps):
@@ -115,7 +133,8 @@ def fit_logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, l2: float = 2.0,
         square = 0.95 * square + 0.05 * grad**2
         momentum = 0.8 * momentum + 0.2 * grad
         out -= 0.15 * (1 - step / steps) * momentum / (np.sqrt(square) + 1e-6)
-    return out
+    whole[at] = out
+    return whole
 
 
 def fit_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -129,132 +148,156 @@ def fit_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-class CoTrained:
-    """Both views and their combination, fitted on rows of (text, lang, source, n_chars, good or None)."""
-
-    def __init__(self, rows: list[tuple], seed: int = SEED, rounds: int = ROUNDS):
-        rng = np.random.default_rng(seed)
-        column = pa.array([thin(r[0]) for r in rows], pa.string())
-        seen, count = np.unique(np.concatenate([np.unique(w.hash[w.first[i] : w.first[i + 1]]) for _, _, _, w in _words(column) for i in range(len(w.first) - 1)] or [np.zeros(0, np.uint64)]), return_counts=True)
-        often = np.sort(count)[::-1][min(VOCABULARY, len(count)) - 1] if len(count) else 0
-        self.vocabulary = seen[count >= max(MIN_DOCUMENTS, often)][:VOCABULARY]
-        self.langs = sorted({r[1] for r in rows if r[1] is not None})
-        self.sources = sorted({r[2] for r in rows if r[2] is not None})[:10_000]
-        content = self._content(column)
-        del column
-        meta = self.metadata([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
-        good = np.array([np.nan if r[4] is None else float(r[4]) for r in rows])
-        labelled, pool = np.flatnonzero(~np.isnan(good)), np.flatnonzero(np.isnan(good))
-        order = rng.permutation(len(labelled))
-        held, learn = labelled[order[: len(order) // 5]], labelled[order[len(order) // 5 :]]
-        self.trivial = len(held) < 5 or any(len(np.unique(good[x])) < 2 for x in (held, learn))
-        if self.trivial:
-            return
-        views, added = [content, meta], [{}, {}]  # what each view has been told: row -> label
-        for turn in range(rounds + 1):
-            self.weights = []
-            for x, told in zip(views, added, strict=True):
-                more = np.array(sorted(told), np.int64)
-                use = np.concatenate([learn, more]).astype(np.int64)
-                y = np.concatenate([good[learn], [told[i] for i in more.tolist()]])
-                self.weights.append(fit_logistic(x.take(use), y, np.concatenate([np.ones(len(learn)), np.full(len(more), PSEUDO_WEIGHT)])))
-            odds = [x.dot(w) for x, w in zip(views, self.weights, strict=True)]
-            self.calibration = [fit_pair(o[held][:, None], good[held]) for o in odds]
-            if turn == rounds or not len(pool):
-                break
-            for giver, taker in ((0, 1), (1, 0)):
-                p = sigmoid(odds[giver][pool] * self.calibration[giver][0] + self.calibration[giver][1])
-                sure = pool[np.argsort(-np.abs(p - 0.5), kind="stable")[: int(len(pool) * SHARE * (turn + 1))]]
-                chosen = np.isin(pool, sure) & (np.maximum(p, 1 - p) >= SURE)
-                added[taker].update(dict(zip(pool[chosen].tolist(), (p[chosen] >= 0.5).astype(float).tolist(), strict=True)))
-        both = np.column_stack([o * c[0] + c[1] for o, c in zip(odds, self.calibration, strict=True)])
-        self.combination = fit_pair(both[held], good[held])
-
-    def _content(self, column: pa.Array) -> Sparse:
-        rows, columns, dense = [], [], []
-        for row, n, extra, w in _words(column):
-            r, c = word_sets(w, n, self.vocabulary)
-            rows.append((r + row).astype(np.int32))
-            columns.append(c.astype(np.int32))
-            dense.append(extra)
-        dense = np.concatenate(dense) if dense else np.zeros((0, N_KINDS + 3))
-        cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return Sparse(cat(rows), cat(columns), np.column_stack([dense, np.ones(len(dense))]), len(self.vocabulary))
-
-    def metadata(self, langs: list, sources: list, n_chars: list) -> Sparse:
-        place = {("l", v): i for i, v in enumerate(self.langs)} | {("s", v): len(self.langs) + i for i, v in enumerate(self.sources)}
-        pairs = [(i, place[k]) for i, values in enumerate(zip(langs, sources, strict=True)) for k in zip("ls", values, strict=True) if k in place]
-        r, c = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
-        size = np.log1p(np.array([max(x or 0, 0) for x in n_chars], float))
-        return Sparse(r, c, np.column_stack([size / 5, (size / 5) ** 2, np.ones(len(size))]), len(place))
-
-    def scores(self, text: pa.Array, langs: list, sources: list, n_chars: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(content, metadata, combined) probabilities of being good."""
+class Model:
+    """What scores documents: the views' weights, their calibrations and the combination of the two; trivial without any."""
+
+    trivial = True
+
+    def scores(self, text: pa.Array, langs: np.ndarray, sources: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text view's, metadata view's, combined) probabilities of being good."""
         if self.trivial:
             return (np.ones(len(text)),) * 3
-        odds = [self._content(text).dot(self.weights[0]), self.metadata(langs, sources, n_chars).dot(self.weights[1])]
+        content = np.concatenate([Sparse(row, place, dense, BUCKETS).dot(self.weights[0]) for _, _, row, place, dense in text_features(text)] or [np.zeros(0)])
+        odds = [content, metadata(langs, sources, sizes).dot(self.weights[1])]
         odds = [o * c[0] + c[1] for o, c in zip(odds, self.calibration, strict=True)]
-        return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(np.column_stack([*odds, np.ones(len(odds[0]))]) @ self.combination)
+        return sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(np.column_stack([*odds, np.ones(len(content))]) @ self.combination)
 
 
-def thinned(text: Column) -> Column:
-    """``thin`` before the sample's texts are gathered."""
-    parts = F.split(text, " ", -1)
-    step = F.ceil(F.size(parts) / SAMPLE_WORDS)
-    return F.when(F.size(parts) <= SAMPLE_WORDS, text).otherwise(F.array_join(F.filter(parts, lambda _, i: i % step == 0), " "))
+def metadata(langs: np.ndarray, sources: np.ndarray, sizes: np.ndarray) -> Sparse:
+    """The metadata view of rows: places of language and source (-1: none), and the length's logarithm."""
+    rows = np.concatenate([np.flatnonzero(langs >= 0), np.flatnonzero(sources >= 0)]).astype(np.int32)
+    places = np.concatenate([langs[langs >= 0], sources[sources >= 0] + META_BUCKETS])
+    size = np.log1p(np.maximum(sizes, 0)) / 5
+    return Sparse(rows, places, np.column_stack([size, size**2, np.ones(len(size))]), 2 * META_BUCKETS)
 
 
-def thin(text: str | None) -> str:
-    """At most SAMPLE_WORDS words of a sample's text, evenly spread."""
-    parts = (text or "").split(" ")
-    return " ".join(parts[:: -(-len(parts) // SAMPLE_WORDS)])
+class CoTrained(Model):
+    """A model under training; each view keeps the rows that the other has labelled for it beside those labelled from the start."""
 
+    def __init__(self, views: list[Sparse], good: np.ndarray, seed: int):
+        order = np.random.default_rng(seed).permutation(len(good))
+        held, learn = order[: len(order) // 5], order[len(order) // 5 :]
+        if len(held) < 5 or any(len(np.unique(good[x])) < 2 for x in (held, learn)):
+            return
+        self.trivial = False
+        self.held, self.truth = [v.take(held) for v in views], good[held]
+        self.x, self.y, self.w = [v.take(learn) for v in views], [good[learn]] * 2, [np.ones(len(learn))] * 2
+        self.weights = [None, None]
+        self.fit(STEPS)
 
-def _words(column: pa.Array):
-    for row, upto, data, offsets in slices(column):
-        w = words(data, offsets)
-        yield row, upto - row, measures(data, offsets, w), w
+    def fit(self, steps: int) -> None:
+        self.weights = [fit_logistic(*z, steps=steps) for z in zip(self.x, self.y, self.w, self.weights, strict=True)]
+        odds = [x.dot(w) for x, w in zip(self.held, self.weights, strict=True)]
+        self.calibration = [fit_pair(o[:, None], self.truth) for o in odds]
+        self.combination = fit_pair(np.column_stack([o * c[0] + c[1] for o, c in zip(odds, self.calibration, strict=True)]), self.truth)
 
+    def told(self, view: int, rows: Sparse, good: np.ndarray) -> None:
+        """Gives a view rows that the other has labelled, in place of those of the round before."""
+        n = int((self.w[view] == 1).sum())
+        self.x[view] = self.x[view].take(np.arange(n)).with_rows(rows)
+        self.y[view] = np.concatenate([self.y[view][:n], good])
+        self.w[view] = np.concatenate([np.ones(n), np.full(len(good), PSEUDO_WEIGHT)])
 
-def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> CoTrained:
-    """The model from the bounded samples; a document with several labels is good only if all say so."""
-    one = own_columns(labels, "doc_id", "quality", "toxic").where("quality is not null").groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    known = own_columns(docs, "doc_id", "text", "lang", "source", "n_chars")
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    # Seeded orders are taken of ids first, so that texts are read for the samples alone.
-    chosen = one.orderBy(order, "doc_id").limit(LABELLED)
-    ids = [r["doc_id"] for r in known.select("doc_id").join(one, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL).collect()]
-    spark = docs.sparkSession
-    pool = spark.createDataFrame([(i, None) for i in ids], "doc_id long, good int")
-    rows = known.join(F.broadcast(chosen.union(pool)), "doc_id").select("doc_id", thinned(F.coalesce("text", F.lit(""))).alias("text"), "lang", "source", "n_chars", "good").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    return CoTrained([(r["text"], r["lang"], r["source"], r["n_chars"], r["good"]) for r in rows], seed)
+    def model(self) -> Model:
+        """The model without its training rows."""
+        out = Model()
+        out.trivial = self.trivial
+        if not self.trivial:
+            out.weights, out.calibration, out.combination = [w.astype(np.float32) for w in self.weights], self.calibration, self.combination
+        return out
 
 
-def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """Per document: doc_id, content_score, metadata_score, quality_score (probabilities of being good) and accepted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("content_score", pa.float64()), ("metadata_score", pa.float64()), ("quality_score", pa.float64()), ("accepted", pa.bool_())])
+def _place(column: str) -> Column:
+    """A value's place by its hash, -1 for null."""
+    return F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(META_BUCKETS))).otherwise(-1).cast("int")
+
+
+def _inputs() -> list[Column]:
+    """What the features are made of: text, places of language and source, length."""
+    return [F.col("text"), _place("lang"), _place("source"), F.coalesce("n_chars", F.lit(0)).cast("long")]
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return own_columns(docs, "doc_id", "text", "lang", "source", "n_chars")
+
+
+def _gathered(rows: DataFrame, answer: str) -> tuple[list[Sparse], np.ndarray]:
+    """Both views' features of a bounded number of rows, and their answers. Integers and shares reach the driver, no text does."""
+    schema = pa.schema([("doc_id", pa.int64()), ("answer", pa.float64()), ("places", pa.binary()), ("measures", pa.binary()), ("lang", pa.int32()), ("source", pa.int32()), ("size", pa.int64())])
+
+    def make(batches):
+        for b in batches:
+            for first, n, row, place, dense in text_features(b.column(2)):
+                bounds = np.searchsorted(row, np.arange(n + 1))
+                place = place.astype(np.int32)
+                yield batch(schema, b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array([place[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([x.tobytes() for x in dense], pa.binary()), *[b.column(i).slice(first, n) for i in (3, 4, 5)])
+
+    made = rows.select("doc_id", F.col(answer).cast("double"), *_inputs()).mapInArrow(make, "doc_id long, answer double, places binary, measures binary, lang int, source int, size long")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("answer", "places", "measures", "lang", "source", "size")).alias("r")).select("doc_id", "r.*")
+    found = sorted(one.collect(), key=lambda r: r["doc_id"])
+    places = [np.frombuffer(r["places"], np.int32) for r in found]
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(p) for p in places]) if found else np.zeros(0, np.int32)
+    content = Sparse(rows, np.concatenate(places) if found else np.zeros(0, np.int32), np.array([np.frombuffer(r["measures"]) for r in found]).reshape(-1, MEASURES), BUCKETS)
+    meta = metadata(*[np.array([r[c] for r in found], np.int64) for c in ("lang", "source", "size")])
+    return [content, meta], np.array([r["answer"] for r in found], float)
+
+
+def _share(n: int, of: int, seed: int) -> Column:
+    """Whether a doc_id is among about n of so many, by a seeded hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) < F.lit(int(min(1.0, n / max(of, 1)) * (1 << 40)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED, rounds: int = ROUNDS) -> Model:
+    """The co-trained model; a document with several labels is good only if all say so."""
+    good = F.when(F.col("toxic") == 1, 0).when(F.col("quality").isNotNull(), (F.col("quality") == 1).cast("int"))
+    one = own_columns(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min(good).alias("good")).where("good is not null")
+    one = materialise(one, "quality-labels")
+    known = _known(docs)
+    views, answers = _gathered(known.join(F.broadcast(one.where(_share(LABELLED, one.count(), seed))), "doc_id"), "good")
+    trained = CoTrained(views, answers, seed)
+    for turn in range(0 if trained.trivial else rounds):
+        # Scores of all documents; what is kept of them are those that a view is sure of and nobody has labelled.
+        sure = _scored(known, trained.model()).where("doc_id is not null").select("doc_id", *[F.when(F.greatest(F.col(c), 1 - F.col(c)) >= SURE, (F.col(c) >= 0.5).cast("int")).alias(c) for c in ("content", "meta")])
+        sure = materialise(sure.where("content is not null or meta is not null").join(one.hint("merge"), "doc_id", "left_anti"), "quality-sure")
+        n = sure.agg(F.count("content").alias("content"), F.count("meta").alias("meta")).first()
+        for giver, taker in ((0, 1), (1, 0)):
+            side = ("content", "meta")[giver]
+            chosen = sure.where(F.col(side).isNotNull() & _share(PSEUDO, n[side], seed + 1 + 2 * turn + giver)).select("doc_id", F.col(side).alias("told"))
+            views, answers = _gathered(known.join(F.broadcast(chosen), "doc_id"), "told")
+            trained.told(taker, views[taker], answers)
+        discard(sure)
+        trained.fit(MORE_STEPS)
+    discard(one)
+    return trained.model()
+
+
+def _scored(known: DataFrame, model: Model) -> DataFrame:
+    """doc_id, content, meta and both: probabilities of being good."""
+    shared = known.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.float64()), ("meta", pa.float64()), ("both", pa.float64())])
 
     def judge(batches):
         for b in batches:
-            c, m, q = shared.value.scores(b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4)))
-            yield batch(schema, b.column(0), c, m, q, q >= THRESHOLD)
+            yield batch(schema, b.column(0), *shared.value.scores(b.column(1), *[b.column(i).to_numpy() for i in (2, 3, 4)]))
 
-    return own_columns(docs, "doc_id", "text", "lang", "source", "n_chars").mapInArrow(judge, "doc_id long, content_score double, metadata_score double, quality_score double, accepted boolean")
+    return known.select("doc_id", *_inputs()).mapInArrow(judge, "doc_id long, content double, meta double, both double")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Per document: doc_id, content_score, metadata_score, quality_score (probabilities of being good) and accepted."""
+    return _scored(_known(docs), model).select("doc_id", F.col("content").alias("content_score"), F.col("meta").alias("metadata_score"), F.col("both").alias("quality_score"), (F.col("both") >= THRESHOLD).alias("accepted"))
 
 
-def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = [docs.columns.index(c) for c in ("text", "lang", "source", "n_chars")]
+    shared, n = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns)
 
     def keep(batches):
         for b in batches:
-            q = shared.value.scores(b.column(at[0]), *(b.column(i).to_pylist() for i in at[1:]))[2]
-            yield b.filter(pa.array(q >= THRESHOLD))
+            q = shared.value.scores(b.column(n), *[b.column(n + i).to_numpy() for i in (1, 2, 3)])[2]
+            yield b.select(range(n)).filter(pa.array(q >= THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.select("*", *_inputs()).mapInArrow(keep, docs.schema)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

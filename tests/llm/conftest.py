@@ -21,4 +21,4 @@ def words():
 
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
-    return lambda n, seed: " ".join(random.Random(seed).choice(vocabulary) for _ in range(n))
+    return lambda n, seed: " ".join(random.Random(seed).choices(vocabulary, k=n))

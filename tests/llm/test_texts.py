@@ -212,14 +212,39 @@ def test_scores_are_those_of_the_automaton_of_all_words(make, words):
     assert by_id[2]["score"] > by_id[2]["base_score"] + 10
 
 
-def test_quality_on_labelled_documents(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.fit(docs, labels)
-    out = quality.score(docs, model).join(labels, "doc_id").selectExpr("accepted", "quality = 1 and toxic = 0 as good").collect()
-    assert sum(r["accepted"] == r["good"] for r in out) >= 0.9 * len(out)
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = quality.fit(docs, labels.where(~held), rounds=1)
+    out = quality.score(docs, model).join(labels.where(held), "doc_id").selectExpr("*", "quality = 1 and toxic = 0 as good").collect()
+    right = lambda column: sum((r[column] >= 0.5) == r["good"] for r in out) / len(out)
+    assert right("quality_score") >= 0.93 and right("content_score") >= 0.93 and right("metadata_score") >= 0.7
+    assert sum(r["accepted"] for r in out if r["good"]) >= 0.97 * sum(r["good"] for r in out)
     assert quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_quality_learns_toxic_words_and_repeats(spark, make, words):
+    rows = [(i, words(80, i) + (" vile slur" if i % 3 == 0 else " good word")) for i in range(240)]
+    labels = [(i, None if i % 3 == 0 else 1, 1 if i % 3 == 0 else None) for i in range(200)] + [(7, 1, 0), (500, 1, 1), (None, 1, 0), (3, None, None)]
+    model = quality.fit(make(rows + rows[:5]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = {r["doc_id"]: r["accepted"] for r in quality.score(make(rows + [(None, rows[0][1]), (900, None), (901, "word " * 200_000)]), model).collect()}
+    assert len(out) == 243 and sum(out[i] == (i % 3 != 0) for i in range(200, 240)) >= 38 and out[None] is False
+
+
+def test_logistic_regression_is_the_brute_force_one():
+    rng = np.random.default_rng(0)
+    on = rng.random((400, 6)) < 0.4
+    y = (on @ np.array([2.0, -2, 1, 0, 0, 0]) + rng.normal(size=400) > 0.3).astype(float)
+    rows, columns = np.nonzero(on)
+    got = quality.fit_logistic(quality.Sparse(rows.astype(np.int32), columns.astype(np.int32), np.ones((400, 1)), 6), y, np.ones(400), steps=600)
+    x, w = np.column_stack([on, np.ones(400)]).astype(float), np.zeros(7)
+    for _ in range(50):  # Newton steps on the same loss
+        p = quality.sigmoid(x @ w)
+        ridge = np.diag([1.0] * 6 + [0.0])
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+    assert np.allclose(got, w, atol=0.1)
+
+
 def test_quality_without_labels_accepts_all(spark, make):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = make([(1, None), (2, ""), (2, ""), (None, "x " * 100_000)])
