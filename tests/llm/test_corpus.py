@@ -40,23 +40,47 @@ def test_mix(make, words):
         target[r["source"]] = r["target"]
         assert 0 <= r["copies"] <= 2 and r["source_size"] is not None
     expected = level_targets(sizes)
+    lengths = lambda s: [r["size"] for r in got if r["source"] == s]
     for s in sizes:
-        assert target[s] == pytest.approx(expected[s]) and abs(taken[s] - target[s]) <= max(2, 0.01 * target[s])
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        assert target[s] == pytest.approx(expected[s])
+        assert abs(taken[s] - round(target[s])) == min(abs(x - (round(target[s]) - whole * sizes[s])) for x in subset_sums(lengths(s)))
     again = mixing.mix(make(rows)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mixing.mix(make([])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_fit_is_as_near_as_can_be(seed):
+def subset_sums(lengths):
+    """All sums of some of the lengths, as a set, by shifts of a bit string."""
+    bits = 1
+    for n in lengths:
+        bits |= bits << n
+    return {i for i, c in enumerate(reversed(bin(bits)[2:])) if c == "1"}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fit_is_the_nearest_sum(seed):
     rng = np.random.default_rng(seed)
     lengths, counts = np.array(sorted(rng.choice(np.arange(3, 40), 4, replace=False))), rng.integers(1, 4, 4)
-    sums = {sum(int(n) * int(x) for n, x in zip(take, lengths)) for take in itertools.product(*[range(c + 1) for c in counts])}
     budget = int(rng.integers(0, (lengths * counts).sum() + 1))
     took = mixing.fit(lengths, counts, budget)
-    assert (took <= counts).all() and (took >= 0).all() and (took * lengths).sum() <= budget
-    share = (counts * budget // (lengths * counts).sum() * lengths).sum()
-    assert (took * lengths).sum() >= min(max(s for s in sums if s <= budget), share)
+    assert (took <= counts).all() and (took >= 0).all()
+    assert abs((took * lengths).sum() - budget) == min(abs(x - budget) for x in subset_sums(np.repeat(lengths, counts).tolist()))
+
+
+@pytest.mark.parametrize(("lengths", "counts", "budget", "best"), [([80000, 1], [1, 50000], 99000, 99000), ([100, 7], [1, 10], 149, 149), ([30000], [1], 29999, 30000), ([0, 5], [9, 3], 7, 5), ([], [], 0, 0)])
+def test_fit_from_both_sides(lengths, counts, budget, best):
+    assert (mixing.fit(np.array(lengths, np.int64), np.array(counts, np.int64), budget) * np.array(lengths, np.int64)).sum() == best
+
+
+def test_fit_beyond_the_table_keeps_the_mix_of_lengths():
+    rng = np.random.default_rng(1)
+    lengths, counts = np.arange(1, 2001), rng.integers(1, 500, 2000)
+    budget = int((lengths * counts).sum() * 0.4) + 1
+    took = mixing.fit(lengths, counts, budget, limit=1 << 16)
+    assert (took <= counts).all() and (took * lengths).sum() == budget
+    short, long = (took[x].sum() / counts[x].sum() for x in (slice(0, 1000), slice(1000, 2000)))
+    assert abs(short - long) < 0.05
 
 
 def brute_components(texts, size=4, percent=85):
