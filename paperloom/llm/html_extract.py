@@ -1,17 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read as a sequence of text blocks, each with its root-to-leaf path of
-block elements. Per path the text length, the punctuation and the number of
-blocks are summed; text per block and punctuation per block are smoothed over
-the block sequence by a Gaussian, fused by multiplication and compared with a
-threshold. The paths that pass vote, by text, for the element that holds the
-article; what is not boilerplate inside that element is the main text, short
-headings and list items among long paragraphs included.
-
-Elements that HTML itself names as no content (``NO_CONTENT``), that declare
-such a role or are hidden never take part. Forms, and elements that a class or id
-names so (``NO_CONTENT_WORDS``), take part only as wrappers: where they hold a
-declared article, or, on pages that declare none, most of the prose.
+block elements (their names, first classes and evidence). Per path the length of
+text that isn't linked, the punctuation and the number of blocks are summed; both
+ratios are smoothed over the block sequence by a Gaussian, averaged by path and
+fused by multiplication with the path's evidence. Paths above ``THRESHOLD`` times
+the mean are content. Content blocks vote, by text, for the deepest element that
+holds nearly all of them; the main text is what stands in it, headings, lists and
+code among long paragraphs included, but for paths that evidence speaks against
+and that don't pass, and for lists of links.
+
+Evidence are weights of elements: ``NAMED`` for classes, ids and forms that are
+called what menus, adverts and the like are called, ``DECLARED`` for an article
+or main element. The first is void for an element that holds a declared article
+or, on pages without one, most of the page's prose: such an element is a wrapper.
+What HTML itself names as no content (``NO_CONTENT``), has such a role, holds
+readers' comments or is hidden never takes part.
+
+Time and memory are linear in a page, however deep its elements are nested.
 
 Defined results: null and empty html give an empty text; unclosed, overlapping
 and stray tags are read as browsers do for blocks (a block start ends an open
@@ -24,8 +30,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
-from dataclasses import dataclass, field
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +48,7 @@ BLOCKS = frozenset(
 ENDS_P = BLOCKS - {"option", "optgroup", "button", "label", "select", "legend"}
 #: A start of the first ends an open one of these, within the nearest list or table.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+P_SCOPES = frozenset("table td th button body html".split())
 SCOPES = frozenset("ul ol menu dl table select body html article section div".split())
 NO_CONTENT = frozenset("head nav footer aside fieldset button select menu dialog search dir".split())
 NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -53,26 +60,55 @@ OTHERS_PROSE = frozenset("comment comments disqus reply replies respond related
 #: These may stand inside an article, with its own title in them.
 HEADERS = frozenset("header masthead banner".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？…]")
+#: Children of a page's body that hold nothing of its text when no content path is in them.
+PARTS = frozenset("div section center table header form article".split())
+PAGE = frozenset(["", "html", "body"])
+#: Elements that hold blocks; what holds one block only is a block by itself.
+GROUPS = frozenset("article main section div center form table tbody tr td address details dl ol ul".split()) | PAGE
 SIGMA = 1.0
-THRESHOLD = 0.5
+THRESHOLD = 0.3
+NAMED, DECLARED = 0.001, 4.0
+#: The share of the content's text that the article's element holds.
+HOLDS = 0.9
+#: A list of links: so many blocks, and this share of the text linked.
+LINKS, LINKED = 3, 0.9
 
 
-@dataclass
 class Element:
-    name: str
-    parent: Element | None
-    out: bool = False
-    named_out: bool = False
-    no_wrapper: bool = False
-    article: bool = False
-    path: str = ""
-    holds_main: bool = False
-
-    def chain(self):
-        e = self
-        while e is not None:
-            yield e
-            e = e.parent
+    """An open or closed block element; ``near`` are the open items that a new item of its list or table would end, ``p`` the open paragraph."""
+
+    __slots__ = ("article", "declared", "depth", "header", "holds", "label", "name", "named", "near", "out", "p", "parent", "path", "total", "weight", "inner", "prose", "linked", "blocks", "content", "gone", "at", "wrapper")
+
+    def __init__(self, name: str, parent: Element | None, source: str = ""):
+        self.name, self.parent = name, parent
+        self.depth = parent.depth + 1 if parent else 0
+        inside = bool(parent and parent.article)
+        self.declared = name in ("article", "main")
+        self.out, self.named, self.header, self.wrapper = name in NO_CONTENT, name == "form", name == "header" and not inside, True
+        self.label = name
+        if source.strip():
+            a = _attributes(source)
+            role, words = a.get("role", "").lower(), _named(a) if name not in ("html", "body", "main") else set()
+            self.declared |= role == "main"
+            self.header |= bool(words & HEADERS or role == "banner") and not inside
+            self.wrapper = not words & OTHERS_PROSE
+            self.named |= bool(words - HEADERS) or role == "form"
+            self.out |= role in NO_CONTENT_ROLES or "hidden" in a or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
+            if first := (a.get("class") or a.get("id") or "").split():
+                self.label += f".{first[0]}"
+        self.out |= bool(parent and parent.out)
+        self.article = inside or self.declared
+        self.p = self if name == "p" else None if parent is None or name in P_SCOPES else parent.p
+        self.near = {} if parent is None or name in SCOPES else parent.near
+        if name in ITEMS:
+            self.near = self.near | {name: self}
+        self.holds = False  # a declared article
+        self.total = self.prose = self.linked = self.blocks = 0  # of all in it: text, unlinked text with punctuation, linked text, blocks
+        self.content = 0.0  # text of content paths in it
+        self.gone = False
+
+
+ITEMS = frozenset(ENDS) | {n for names in ENDS.values() for n in names}
 
 
 @dataclass
@@ -80,8 +116,7 @@ class Block:
     text: str
     element: Element
     linked: int
-    score: float = 0.0
-    marks: int = field(default=0)
+    marks: int
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -93,49 +128,28 @@ def _named(attributes: dict[str, str]) -> set[str]:
     return set(re.findall(r"[a-z]+", value.lower())) & NO_CONTENT_WORDS
 
 
-def _element(name: str, source: str, parent: Element) -> Element:
-    e = Element(name, parent, path=f"{parent.path}/{name}", article=parent.article or name in ("article", "main"))
-    e.out = name in NO_CONTENT or name == "header" and not parent.article
-    e.named_out = name == "form"
-    if source.strip():
-        a = _attributes(source)
-        words = _named(a)
-        if parent.article:
-            words -= HEADERS
-        if name in ("html", "body", "main"):
-            words = set()
-        role = a.get("role", "").lower()
-        e.article |= role == "main"
-        e.no_wrapper = role in NO_CONTENT_ROLES - {"form"} and not (parent.article and role == "banner")
-        e.no_wrapper |= bool(words & OTHERS_PROSE)
-        e.named_out |= bool(words) or e.no_wrapper or role == "form"
-        e.out |= "hidden" in a or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
-        if first := (a.get("class") or a.get("id") or "").split():
-            e.path += f".{first[0]}"
-    if name in ("article", "main") and not e.named_out:
-        for up in parent.chain():
-            up.holds_main = True
-    return e
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, those without letters, digits or signs left out."""
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's text blocks in order, and its block elements, each after its parent."""
     root = Element("", None)
-    top, found, text, linked, in_link, at = root, [], [], 0, 0, 0
+    stack, elements, found, text, linked, in_link, at = [root], [root], [], [], 0, 0, 0
+    names: Counter = Counter()  # of the open elements
 
     def flush():
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                found.append(Block(joined, top, linked, marks=len(PUNCTUATION.findall(joined))))
+                found.append(Block(joined, stack[-1], min(linked, len(joined)), len(PUNCTUATION.findall(joined))))
             text.clear()
         linked = 0
 
     def close(upto: Element):
-        nonlocal top
         flush()
-        top = upto.parent or root
+        while len(stack) > 1:
+            e = stack.pop()
+            names[e.name] -= 1
+            if e is upto:
+                break
 
     search = TOKEN.search
     while m := search(page, at):
@@ -157,54 +171,26 @@ def blocks(page: str) -> list[Block]:
             in_link = 0 if end else 1
         elif name in BLOCKS:
             if end:
-                for e in top.chain():
-                    if e.name == name:
-                        close(e)
-                        break
+                if names[name] > 0:
+                    close(next(e for e in reversed(stack) if e.name == name))  # each element passed is closed
                 else:
                     flush()
             else:
                 flush()
                 in_link = 0 if name not in ("p", "div", "li", "h1", "h2", "h3") else in_link
-                if name in ENDS_P and any(e.name == "p" for e in _scope(top)):
-                    close(next(e for e in _scope(top) if e.name == "p"))
-                for e in _scope(top, SCOPES):
-                    if e.name in ENDS.get(name, ()):
-                        close(e)
-                        break
+                if name in ENDS_P and stack[-1].p is not None:
+                    close(stack[-1].p)
+                if ended := [stack[-1].near[n] for n in ENDS.get(name, ()) if n in stack[-1].near]:
+                    close(max(ended, key=lambda e: e.depth))
                 if name not in VOID:
-                    top = _element(name, source, top)
+                    e = Element(name, stack[-1], source)
+                    stack.append(e)
+                    elements.append(e)
+                    names[name] += 1
     if at < len(page):
         text.append(page[at:])
     flush()
-    return found
-
-
-def _scope(top: Element, stop: frozenset = frozenset("table td th button body html".split())):
-    """Open elements from the innermost up to the first of ``stop``."""
-    for e in top.chain():
-        if e.name in stop:
-            return
-        yield e
-
-
-def _wrappers(found: list[Block]) -> set[int]:
-    """On a page without a declared article, the ids of the elements that hold most of its prose (text with punctuation that isn't linked)."""
-    held, total = defaultdict(int), 0
-    for b in found:
-        chain = list(b.element.chain())
-        if any(e.holds_main for e in chain[-1:]):
-            return set()
-        if b.marks and not any(e.out or e.no_wrapper for e in chain):
-            n = len(b.text) - min(b.linked, len(b.text))
-            total += n
-            for e in chain:
-                held[id(e)] += n
-    return {i for i, n in held.items() if n > total / 2}
-
-
-def _out(e: Element, wrappers: set[int]) -> bool:
-    return any(x.out or x.named_out and not x.holds_main and id(x) not in wrappers for x in e.chain())
+    return found, elements
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -216,59 +202,89 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: its blocks, joined by an empty line."""
-    found = blocks(page or "")
-    wrappers = _wrappers(found)
-    kept = [b for b in found if not _out(b.element, wrappers)]
-    if not kept:
-        return ""
-    length, marks, number = defaultdict(int), defaultdict(int), defaultdict(int)
+def _weigh(found: list[Block], elements: list[Element]) -> None:
+    """Sums of what elements hold, then each element's path and weights; a path is known by its parent's and its own label and evidence."""
+    for b in found:
+        e, n = b.element, len(b.text)
+        e.total += n
+        e.linked += b.linked
+        e.blocks += 1
+        e.prose += (n - b.linked) * bool(b.marks)
+    for e in reversed(elements[1:]):
+        up = e.parent
+        up.total, up.linked, up.blocks = up.total + e.total, up.linked + e.linked, up.blocks + e.blocks
+        # What readers or other pages wrote is nobody's reason to be a wrapper.
+        up.prose += e.prose if e.wrapper and not e.out else 0
+        up.holds |= e.holds or e.declared and not e.out and not e.named
+    declared, paths = elements[0].holds, {}
+    for e in elements:
+        wraps = e.wrapper and (e.holds if declared else 2 * e.prose > elements[0].prose)
+        named = NAMED if e.named and not wraps else 1.0
+        header = NAMED if e.header and not wraps else 1.0
+        e.out |= not e.wrapper or bool(e.parent and e.parent.out)
+        up = (e.parent.path, e.parent.weight, e.parent.inner) if e.parent else (-1, 1.0, 1.0)
+        e.weight = up[1] * named * header * (DECLARED if e.declared and not (e.parent and e.parent.article) else 1.0)
+        e.inner = up[2] * named
+        e.path = paths.setdefault((up[0], e.label, named * header), len(paths))
+
+
+def content_paths(kept: list[Block], threshold: float = THRESHOLD) -> set[int]:
+    """The paths whose fused ratio is at least ``threshold`` times the mean over blocks."""
+    length, marks, number, weight = defaultdict(int), defaultdict(int), Counter(), {}
     for b in kept:
-        length[b.element.path] += len(b.text) - min(b.linked, len(b.text))
-        marks[b.element.path] += b.marks
-        number[b.element.path] += 1
+        path = b.element.path
+        length[path] += len(b.text) - b.linked
+        marks[path] += b.marks
+        number[path] += 1
+        weight[path] = b.element.weight
     by_text = _smooth([length[b.element.path] / number[b.element.path] for b in kept])
     by_marks = _smooth([(1 + marks[b.element.path]) / number[b.element.path] for b in kept])
+    text_of, marks_of = Counter(), Counter()
     for b, x, y in zip(kept, by_text, by_marks, strict=True):
-        b.score = x * y
-    mean = sum(b.score for b in kept) / len(kept)
-    chosen = [b for b in kept if b.score >= THRESHOLD * mean and b.linked < len(b.text) / 2] or kept
-    holder = _holder(chosen)
-    inside = [b for b in kept if any(e is holder for e in b.element.chain())]
-    if holder.article:  # a declared article holds nothing but its text and lists of links
-        return "\n\n".join(b.text for b in inside if not _link_list(b))
-    first, last = (f(i for i, b in enumerate(inside) if b in chosen) for f in (min, max))
-    while first and re.fullmatch(r".*/h[1-6](\.[^/]*)?", inside[first - 1].element.path):
-        first -= 1
-    return "\n\n".join(b.text for b in inside[first : last + 1] if not _link_list(b))
-
-
-def _link_list(b: Block) -> bool:
-    """A list item or cell that is a link and nothing else."""
-    return b.element.name in ("li", "td", "th", "dd", "dt") and b.linked >= 0.9 * len(b.text) and not b.marks
-
-
-def _holder(chosen: list[Block]) -> Element:
-    """The declared article with most of the chosen text, or the deepest element with nine tenths of it."""
-    articles, elements, total = defaultdict(int), defaultdict(int), 0
-    by_id = {}
-    for b in chosen:
-        total += len(b.text)
-        outer = None
-        for e in b.element.chain():
-            by_id[id(e)] = e
-            elements[id(e)] += len(b.text)
-            if e.name == "main" or e.article and (e.parent is None or not e.parent.article):
-                outer = e
-        if outer is not None:
-            articles[id(outer)] += len(b.text)
-    if articles:
-        best = max(articles, key=articles.get)
-        if articles[best] >= total / 3:
-            return by_id[best]
-    depth = lambda e: sum(1 for _ in e.chain())
-    return max((by_id[i] for i, n in elements.items() if n >= 0.9 * total), key=depth)
+        text_of[b.element.path] += x
+        marks_of[b.element.path] += y
+    fused = {p: text_of[p] / n * (marks_of[p] / n) * weight[p] for p, n in number.items()}
+    mean = sum(fused[b.element.path] for b in kept) / len(kept)
+    return {p for p, x in fused.items() if x >= threshold * mean}
+
+
+def _holder(elements: list[Element]) -> Element:
+    """The deepest element with nearly all of the content; from there up to a declared article, or to what has a heading of its own, around it."""
+    holder = max((e for e in elements if e.content >= HOLDS * elements[0].content), key=lambda e: e.depth)
+    titled = {e.parent for e in elements if e.name in ("h1", "h2") and e.blocks}
+    while holder.name not in PAGE and (holder.name not in GROUPS or holder.blocks == 1):
+        holder = holder.parent
+    up = best = holder
+    while up.name not in PAGE:
+        best = up if up.declared or up in titled else best
+        up = up.parent
+    return best
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
+    """The page's main text: its blocks, joined by an empty line."""
+    found, elements = blocks(page or "")
+    _weigh(found, elements)
+    kept = [b for b in found if not b.element.out]
+    if not kept:
+        return ""
+    paths = content_paths(kept, threshold)
+    for b in kept:
+        if b.element.path in paths:
+            b.element.content += len(b.text) * b.element.weight
+    for e in reversed(elements[1:]):
+        e.parent.content += e.content
+    holder = _holder(elements)
+    whole_page = holder.name in PAGE
+    inside = {holder}
+    for e in elements:  # each after its parent
+        if e.parent in inside:
+            inside.add(e)
+            links = e.blocks >= LINKS and e.linked >= LINKED * e.total
+            part = whole_page and e.parent is holder and e.name in PARTS
+            e.gone = e.parent.gone or not e.content and (links or part)
+    of_it = [b for b in kept if b.element in inside and (b.element.path in paths or not b.element.gone and b.element.inner >= holder.inner and not (whole_page and b.element.weight < holder.weight))]
+    return "\n\n".join(b.text for b in of_it)
 
 
 def extract(pages: DataFrame) -> DataFrame:

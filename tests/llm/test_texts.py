@@ -40,7 +40,7 @@ def test_words_are_those_of_the_patterns(texts):
         ("<p>Only   &amp; \n text.</p>", "Only & text."),
         (f"<html><head><title>t</title></head><body><nav><a href=x>Home</a></nav><div class=ad>Buy!</div><article><h1>Title</h1><p><b>One <i>two</i><br>three.<p>{BODY}</article><footer>(c)</footer></body></html>", f"Title\n\nOne two three.\n\n{BODY.strip()}"),
         (f"<body><div id=sidebar>{BODY}</div><div class=content><p>{BODY}</p><p>Short.</p><p>{BODY * 2}</p></div><div class=comments><p>{BODY}</p></div><script>var a='<p>no</p>';</script></body>", f"{BODY.strip()}\n\nShort.\n\n{(BODY * 2).strip()}"),
-        (f"<main><header><h1>T</h1></header><p>{BODY}</p><form>Mail <input></form><ul><li>{BODY}</li><li><a href=y>More</a></li></ul><aside>no</aside></main>", f"T\n\n{BODY.strip()}\n\n{BODY.strip()}"),
+        (f"<main><header><h1>T</h1></header><p>{BODY}</p><form>Mail <input></form><ul><li>{BODY}</li><li><a href=y>More</a></li></ul><aside>no</aside></main>", f"T\n\n{BODY.strip()}\n\n{BODY.strip()}\n\nMore"),
         (f"<article><p>A &lt;b&gt; &eacute;&nbsp;x<!-- <p>no</p> --></p><div hidden>no</div><p>{BODY}", f"A <b> é x\n\n{BODY.strip()}"),
         ("<nav>only</nav>", ""),
     ],
@@ -55,6 +55,44 @@ def test_wrappers_of_the_text_are_kept(wrapper):
     assert main_text(page) == f"{BODY.strip()}\n\nShort.\n\n{(BODY * 2).strip()}"
 
 
+def plain_page(names=("a", "b", "c", "d")):
+    """A page without article, main, nav or telling names: links, a notice, the text, other links and a last line."""
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(8))
+    return f"<body><div class={names[0]}><ul>{links}</ul></div><div class={names[1]}>Prices may change</div><div class={names[2]}><h2>Title</h2><p>{BODY}</p><p>Short.</p><p>{BODY * 2}</p><pre>x = 1</pre><h3>Note</h3><ul><li>one</li><li><a href=y>See the 2019 report</a></li></ul><blockquote>Short end</blockquote></div><div class={names[3]}><ul>{links}</ul>All rights reserved</div></body>"
+
+
+def test_paths_decide_without_telling_names():
+    text = f"Title\n\n{BODY.strip()}\n\nShort.\n\n{(BODY * 2).strip()}\n\nx = 1\n\nNote\n\none\n\nSee the 2019 report\n\nShort end"
+    assert main_text(plain_page()) == text == main_text(plain_page(("x1", "has-sidebar", "menu-none", "z")))
+    assert main_text(plain_page(), threshold=0.0) != text  # every path passes: the whole page is the article
+    assert "Prices may change" in main_text(plain_page(), threshold=0.0)
+
+
+def test_ratios_of_paths_by_brute_force():
+    from paperloom.llm import html_extract as H
+
+    found, elements = H.blocks(plain_page())
+    H._weigh(found, elements)
+    path = lambda e: (*path(e.parent), e.label) if e else ()
+    mine = [(path(b.element), len(b.text) - b.linked, b.marks) for b in found]
+    ratio = lambda k, plus: [sum(plus + m[k] for m in mine if m[0] == x[0]) / sum(m[0] == x[0] for m in mine) for x in mine]
+    near = lambda v, i: sum(math.exp(-(d * d) / 2) * v[i + d] for d in range(-2, 3) if 0 <= i + d < len(v)) / sum(math.exp(-(d * d) / 2) for d in range(-2, 3) if 0 <= i + d < len(v))
+    mean = lambda v: [sum(near(v, j) for j in range(len(v)) if mine[j][0] == x[0]) / sum(m[0] == x[0] for m in mine) for x in mine]
+    marks = [(1 + sum(m[2] for m in mine if m[0] == x[0])) / sum(m[0] == x[0] for m in mine) for x in mine]
+    score = [a * b for a, b in zip(mean(ratio(1, 0)), mean(marks))]
+    passing = {x[0] for x, y in zip(mine, score) if y >= 0.3 * sum(score) / len(score)}
+    assert {path(b.element) for b in found if b.element.path in H.content_paths(found)} == passing
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + BODY, "<ul><li>a" * 20_000 + BODY, "<p>x</section><blockquote>" * 20_000, f"<p>{BODY * 30_000}"])
+def test_deep_and_long_pages_take_linear_time(page):
+    import time
+
+    start = time.process_time()
+    assert main_text(page)
+    assert time.process_time() - start < 20
+
+
 def test_comments_longer_than_the_text_are_no_wrapper():
     assert main_text(f"<body><div class=text><p>{BODY}</p></div><div class=comments>{f'<div><p>{BODY}</p></div>' * 5}</div>") == BODY.strip()
 
