@@ -310,7 +310,7 @@ def brute_contamination(texts, bench, window=13):
         yield i, len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 20])
+@pytest.mark.parametrize("limit", [1_000_000, 20, 1])
 def test_contamination(spark, make, limit):
     import random
 
@@ -323,6 +323,16 @@ def test_contamination(spark, make, limit):
     assert all(r["contaminated"] == (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in got)
 
 
+def test_scan_of_an_unlucky_text_is_linear():
+    import time
+
+    one = np.full(40_000, 7, np.uint64)
+    automaton = decontaminate.Automaton([("long", one), ("short", one[:3])], 13)
+    start, found = time.process_time(), set()
+    ends = [i for i, _ in automaton.matches([0] * 200_000, found)]
+    assert len(ends) == 199_998 and found == {"long", "short"} and time.process_time() - start < 10
+
+
 def test_decontaminate(spark, make, words):
     passage = words(40, 9)
     docs = make([(1, words(30, 1) + " " + passage + " " + words(30, 2)), (2, words(50, 3)), (3, None)])
@@ -331,5 +341,8 @@ def test_decontaminate(spark, make, words):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3] and kept.columns == docs.columns
     cut = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, action="cut").collect()}
     assert passage not in cut[1] and cut[1].startswith(words(30, 1)) and cut[2] == words(50, 3)
+    two = items(spark, [(1, passage, "x"), (2, words(30, 1), "y")])
+    assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, two, action="cut", limit=5).collect()}[1].split() == words(30, 2).split()
+    assert decontaminate.decontaminate(docs, two, limit=5).columns == docs.columns
     assert decontaminate.decontaminate(docs, items(spark, [])).count() == 3
     assert decontaminate.contamination(make([]), bench).count() == 0
