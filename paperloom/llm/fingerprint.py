@@ -3,17 +3,20 @@
 A sketch keeps every shingle hash that lies below a fixed fraction of the hash
 range, so that sketches of very unequal documents stay comparable: they can be
 merged, and containment and likeness of the documents are estimated by those of
-the sketches. A document none of whose hashes lies below the threshold keeps
-its least one, so no text with words has an empty sketch; ``merge`` keeps that
-rule.
+the sketches. Of at most ``SMALL`` shingles a sketch keeps all, and says so by
+``FULL`` as its first entry. Two sketches are compared over what both know:
+all hashes where both are full, else those below the fraction. A larger
+document none of whose hashes lies below the fraction keeps its least one, for
+its fingerprint alone: estimates leave it out.
 
 Defined results: null texts are empty; a text without words has the empty
 fingerprint, and two empty fingerprints have likeness 1; fewer words than a
-shingle's make one shingle. Rows with a null doc_id stand outside the order:
-they have no next document, so their edited text loses its last quarter only
-and near_next is null. Of rows with the same doc_id the next is the one whose
-text sorts next. An empty table gives an empty result; further columns are
-ignored.
+shingle's make one shingle; where neither sketch has a hash that both know,
+likeness is 1 for equal sketches and 0 for others, and containment is null (1 for
+an empty sketch). Rows with a null doc_id stand outside the order: they have no
+next document, so their edited text loses its last quarter only and near_next is
+null. Of rows with the same doc_id the next is the one whose text sorts next. An
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ SIZE = 5
 #: One hash in FRACTION is kept. Hashes have 48 bits: 12 hex digits each in the fingerprint.
 FRACTION = 8
 BITS = 48
+LIMIT = (1 << BITS) // FRACTION
+#: Up to so many shingles a sketch keeps all.
+SMALL = 64
+FULL = -1
 
 
 def _let(value: Column, body) -> Column:
@@ -34,8 +41,8 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sketch(text: Column, size: int = SIZE, fraction: int = FRACTION) -> Column:
-    """The sorted hashes of a text's distinct word shingles that lie below 1/fraction of the range, or else the least of all."""
+def sketch(text: Column, size: int = SIZE) -> Column:
+    """FULL and the sorted hashes of all of a text's distinct word shingles if they are few, else the hashes below LIMIT, or else the least of all."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
@@ -43,68 +50,94 @@ def sketch(text: Column, size: int = SIZE, fraction: int = FRACTION) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.element_at(w, i + j) for j in range(size)]), 64 - BITS))
         return F.when(F.size(w) >= size, runs).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(_let(words, hashes), lambda h: _below(h, fraction))
+    return _let(F.array_distinct(_let(words, hashes)), lambda h: F.when(F.size(h) == 0, h).when(F.size(h) <= SMALL, F.array_sort(F.concat(F.array(F.lit(FULL).cast("long")), h))).otherwise(_below(h)))
 
 
-def _below(hashes: Column, fraction: int) -> Column:
-    limit = F.greatest(F.lit((1 << BITS) // fraction - 1).cast("long"), F.array_min(hashes))
-    return F.array_sort(F.array_distinct(_let(limit, lambda most: F.filter(hashes, lambda x: x <= most))))
+def _below(hashes: Column) -> Column:
+    return _let(_within(hashes), lambda h: F.when(F.size(h) > 0, F.array_sort(h)).otherwise(F.array(F.array_min(F.filter(hashes, lambda x: x >= 0)))))
 
 
-def merge(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+def _within(hashes: Column) -> Column:
+    """Those that every sketch knows of."""
+    return F.filter(hashes, lambda x: (x >= 0) & (x < LIMIT))
+
+
+def _full(a: Column) -> Column:
+    return F.coalesce(F.get(a, F.lit(0)) == FULL, F.lit(False))
+
+
+def merge(a: Column, b: Column) -> Column:
     """The sketch of two documents together."""
-    return _let(F.array_union(a, b), lambda h: _below(h, fraction))
+    both = F.array_union(a, b)
+    few = _full(a) & _full(b) & (F.size(both) <= SMALL + 1)
+    return F.when(F.size(a) == 0, b).when(F.size(b) == 0, a).when(few, F.array_sort(both)).otherwise(_let(both, _below))
+
+
+def _known(a: Column, b: Column) -> Column:
+    """struct<a, b>: the hashes of each that both sketches know of."""
+    full = _full(a) & _full(b)
+    of = lambda x: F.when(full, F.filter(x, lambda h: h >= 0)).otherwise(_within(x))
+    return F.struct(of(a).alias("a"), of(b).alias("b"))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The estimated share of a's shingles that b has too; 1 if a has none."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """The estimated share of a's shingles that b has too; 1 if a has none, null if b's sketch can't tell."""
+    shared = lambda k: F.when(F.size(k["a"]) > 0, F.size(F.array_intersect(k["a"], k["b"])) / F.size(k["a"]))
+    return F.when(F.size(a) == 0, 1.0).otherwise(_let(_known(a, b), shared))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The estimated Jaccard similarity, by what both sketches can tell: hashes up to the lower of their reaches."""
-    def shared(n: Column) -> Column:
-        return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n))
+    """The estimated Jaccard similarity, by the hashes that both sketches know of."""
+    def shared(k: Column) -> Column:
+        n, m = F.size(F.array_intersect(k["a"], k["b"])), F.size(k["a"]) + F.size(k["b"])
+        return F.when(m == 0, F.when(a == b, 1.0).otherwise(0.0)).otherwise(n / (m - n))
 
-    return _let(F.size(F.array_intersect(a, b)), shared)
+    return _let(_known(a, b), shared)
 
 
 def fingerprint(sketched: Column) -> Column:
-    """A sketch as a string: its hashes in order, 12 hex digits each."""
-    return F.array_join(F.transform(sketched, lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))), "")
+    """A sketch as a string: "f" if it is full, and its hashes in order, 12 hex digits each."""
+    digits = F.array_join(F.transform(F.filter(sketched, lambda x: x >= 0), lambda x: F.lower(F.lpad(F.hex(x), BITS // 4, "0"))), "")
+    return F.concat(F.when(_full(sketched), "f").otherwise(""), digits)
+
+
+def _place(cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most doc_id, by binary search in one constant."""
+    known = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    # Past the end the search meets null, which is no step either.
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text, the text of the next document in ascending doc_id, the first one's after the last.
+    """The documents (doc_id, text and further columns), and next: a struct of all of them, that of the next document in ascending doc_id, of the first one after the last.
 
-    The ids are cut into ranges at quantiles that are ids themselves, so each
-    range's first id is known beforehand: a window inside each range gives the
-    next text, and the texts at the cuts, one a range, are looked up for the
-    last rows.
+    The ids are cut into ranges at quantiles that are ids themselves, and the
+    rows at a cut stand in the range before it, too, behind its own: a window
+    inside each range gives every row's next. Null texts are empty.
     """
-    ranges = max(2, 2 * n_tasks(docs.sparkSession))
+    ranges = 4 * n_tasks(docs.sparkSession)
     ids = docs.where("doc_id is not null")
-    steps = [i / ranges for i in range(ranges)]
-    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", steps, 10 * ranges).alias("q"), F.min("doc_id").alias("m")).selectExpr("array_append(coalesce(q, array()), m) q").first()["q"])) if steps else []
-    cuts = [c for c in cuts if c is not None]
-    at = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(ranges)) * -1 - 1).otherwise(at))
-    heads = docs.where(F.col("doc_id").isin(cuts)).groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("head")) if cuts else docs.selectExpr("doc_id", "text head").limit(0)
-    before = F.create_map(*[F.lit(x).cast("long") for i, c in enumerate(cuts) for x in (c, i if i else len(cuts))]) if cuts else F.lit(None)
-    heads = heads.select((F.element_at(before, F.col("doc_id")) if cuts else F.lit(0)).cast("bigint").alias("range"), "head")
-    order = Window.partitionBy("range").orderBy("doc_id", "text")
-    # Null texts count as empty, so a null lead can only mean the end of a range.
-    joined = placed.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("lead", F.lead("text").over(order)).join(F.broadcast(heads), "range", "left")
-    return joined.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.coalesce("lead", "head")).alias("next_text"))
+    found = ids.agg(F.percentile_approx("doc_id", [i / ranges for i in range(ranges)], 10 * ranges).alias("q"), F.min("doc_id").alias("m")).first()
+    cuts = sorted({*(found["q"] or ()), found["m"]} - {None}) or [0]
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    at = F.coalesce(_place(cuts), F.pmod(F.xxhash64("text"), F.lit(ranges)).cast("int") * -1)
+    placed = docs.select(F.struct(*docs.columns).alias("own"), at.alias("at"), "doc_id", "text")
+    cut = F.coalesce(F.element_at(F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>"), F.greatest("at", F.lit(1))) == F.col("doc_id"), F.lit(False))
+    before = F.when(F.col("at") == 1, len(cuts)).otherwise(F.col("at") - 1)
+    places = F.when(cut, F.array(F.struct(F.col("at").alias("range"), F.lit(False).alias("extra")), F.struct(before.alias("range"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("at").alias("range"), F.lit(False).alias("extra"))))
+    rows = placed.select("own", "doc_id", "text", F.explode(places).alias("place")).select("own", "doc_id", "text", "place.*")
+    led = rows.withColumn("next", F.lead("own").over(Window.partitionBy("range").orderBy("extra", "doc_id", "text")))
+    return led.where("not extra").select("own.*", F.when(F.col("doc_id").isNotNull(), F.col("next")).alias("next"))
 
 
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """The operator over ``documents`` and over their edited texts; only the ids' quantiles and one text a range are gathered."""
+    """The operator over ``documents`` and over their edited texts; only the ids' quantiles are gathered."""
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.coalesce(F.substring("next_text", F.lit(1), quarter), F.lit("")))
-    docs = with_next(own_columns(read(spark, sf_dir, "documents"), "doc_id", "text"))
-    sketched = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("a"), sketch(edited).alias("b"), sketch(F.col("next_text")).alias("c"), F.col("next_text").isNotNull().alias("has_next"))
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.coalesce(F.substring("next.text", F.lit(1), quarter), F.lit("")))
+    docs = with_next(own_columns(read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("a", sketch(F.col("text"))))
+    sketched = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "a", sketch(edited).alias("b"), F.col("next.a").alias("c"), F.col("next").isNotNull().alias("has_next"))
     return sketched.select(
         "doc_id",
         "n_chars",
@@ -114,3 +147,16 @@ def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:
         likeness(F.col("a"), F.col("b")).alias("near_edited"),
         F.when(F.col("has_next"), likeness(F.col("a"), F.col("c"))).alias("near_next"),
     )
+
+
+def edited_texts(spark, sf_dir: str) -> DataFrame:
+    """What of ``op4_document_fingerprints`` SQL can express."""
+    return op4_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nxt FROM documents
+)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(nxt, length(t) // 4)) AS edited_sha256 FROM t
+"""

@@ -135,8 +135,26 @@ def test_sketches_merge(spark, words):
     assert set(row["m"]) <= set(row["c"]) and row["in_c"] == 1.0 and len(row["c"]) - len(row["m"]) <= 6
 
 
-def test_next_of_an_empty_table(spark, make):
+def test_short_texts_are_compared_exactly_and_never_wrongly_with_long_ones(spark, words):
+    long = words(3000, 1).split()
+    short = [(" ".join(long[i : i + 5 + i % 9]), " ".join(long[i + i % 4 : i + 9]), " ".join(long)) for i in range(200)] + [("", "", "x"), ("one two", "one two", "ONE two"), ("a b", "c d", "")]
+    a, b, c = (fingerprint.sketch(F.col(x)) for x in "abc")
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(len(t.split()) - 4, 1 if t else 0))}
+    rows = spark.createDataFrame(short, "a string, b string, c string").select("a", "b", fingerprint.likeness(a, b).alias("j"), fingerprint.containment(a, b).alias("in_b"), fingerprint.containment(a, c).alias("in_c"), fingerprint.fingerprint(a).alias("f"), fingerprint.merge(a, b).alias("m"), fingerprint.sketch(F.concat_ws(" ", "a", "b")).alias("all")).collect()
+    for r in rows:
+        x, y = sets(r["a"]), sets(r["b"])
+        assert r["j"] == pytest.approx(len(x & y) / len(x | y) if x | y else 1) and r["in_b"] == pytest.approx(len(x & y) / len(x) if x else 1)
+        assert bool(r["f"]) == bool(x) and len(r["m"]) == (len(x | y) + 1 if x | y else 0)
+    assert {r["in_c"] for r in rows[:200]} <= {1.0, None} and sum(r["in_c"] == 1.0 for r in rows[:200]) > 60
+
+
+def test_next_documents(spark, make):
     assert fingerprint.with_next(make([]).select("doc_id", "text")).count() == 0
+    texts = [(i * 7 % 501, f"t{i}") for i in range(501)] + [(3, "again"), (3, None), (None, "x"), (None, "y")]
+    rows = fingerprint.with_next(make(texts).select("doc_id", "text")).collect()
+    ordered = sorted((i, t or "") for i, t in texts if i is not None)
+    assert len(rows) == len(texts) and {(r["doc_id"], r["text"], r["next"]["text"]) for r in rows if r["next"]} == {(*x, y[1]) for x, y in zip(ordered, ordered[1:] + ordered[:1])}
+    assert sum(r["next"] is None for r in rows) == 2
 
 
 def test_languages_of_held_out_documents(spark):
