@@ -3,11 +3,11 @@
 A word's features are its affixes of one to three bytes, its byte trigrams and
 the word itself (the lexicon), all hashed into weight tables per language;
 learned transitions join the words' labels to a chain. The model is fitted on a
-bounded sample of labelled documents (``PER_LANGUAGE`` a language, a seeded
-choice): their words are strung together in runs of changing languages, so that
-the transitions are those of code-switched text. All words of all texts are then
-labelled by forward-backward, in chains of ``CHAIN`` words, and a document's
-language is the one with most expected words.
+bounded sample of labelled documents (about ``PER_LANGUAGE`` whole texts a
+language, a share by a seeded hash): their words are strung together in runs of
+changing languages, so that the transitions are those of code-switched text. All
+words of all texts are then labelled by forward-backward, a text being one chain
+however long it is, and a document's language is the one with most expected words.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 and so is every text if nothing is labelled; of equally likely languages the
@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import LOWER, batch, own_columns, prefix_hash, range_hash, read, slices, words
 
 PER_LANGUAGE = 400
-SAMPLE_CHARS = 3000
+#: Words of a stretch of a chain: stretches are worked on side by side, and messages pass between them.
 CHAIN = 64
 TABLE = 1 << 17
 EPOCHS = 4
@@ -92,46 +92,78 @@ class Crf:
         out = forward * backward
         return out / out.sum(axis=2, keepdims=True), pairs
 
-    def posteriors(self, scores: np.ndarray) -> np.ndarray:
-        """As ``marginals``, without the pairs."""
-        move = np.exp(self.transition)
-        emit = np.exp(scores - scores.max(axis=2, keepdims=True))
-        forward = np.empty_like(emit)
-        f = emit[:, 0] / emit[:, 0].sum(axis=1, keepdims=True)
-        forward[:, 0] = f
-        for t in range(1, emit.shape[1]):
-            f = (f @ move) * emit[:, t]
-            f /= f.sum(axis=1, keepdims=True)
-            forward[:, t] = f
-        r = np.ones_like(f)
-        for t in range(emit.shape[1] - 1, 0, -1):
-            r = (r * emit[:, t]) @ move.T
-            r /= r.sum(axis=1, keepdims=True)
-            forward[:, t - 1] *= r
-        return forward / forward.sum(axis=2, keepdims=True)
+    def posteriors(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The posteriors of chains one after the other: words first[r]:first[r + 1] of the scores are the r-th.
+
+        Chains are cut into stretches. What a stretch does to a message is a
+        matrix; by these the messages at all cuts are found, and the words
+        inside the stretches after that.
+        """
+        move, k = np.exp(self.transition), scores.shape[1]
+        counts = np.diff(first)
+        n = -(-counts // CHAIN)
+        at = np.concatenate([[0], np.cumsum(n)])
+        row = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(row)) - first[row] + at[row] * CHAIN
+        emit, real = np.ones((at[-1] * CHAIN, k), np.float32), np.zeros(at[-1] * CHAIN, bool)
+        emit[place], real[place] = np.exp(scores - scores.max(axis=1, keepdims=True, initial=-np.inf)), True
+        emit, real = emit.reshape(-1, CHAIN, k), real.reshape(-1, CHAIN)
+        unit = lambda x: x / x.sum(axis=-1, keepdims=True)
+        forward, before, after = np.empty_like(emit), np.ones((len(emit), k), np.float32), np.ones((len(emit), k), np.float32)
+
+        def onward(which: np.ndarray, f: np.ndarray, begun: bool) -> None:
+            e = emit[which]
+            for t in range(CHAIN):
+                f = unit((f @ move if begun or t else f) * e[:, t])
+                forward[which, t] = f
+
+        heads = at[:-1][n > 0]
+        onward(heads, before[heads], begun=False)
+        if (n > 1).any():
+            inner = np.setdiff1d(np.arange(len(emit)), heads)
+            does = np.broadcast_to(np.eye(k, dtype=np.float32), (len(inner), k, k))
+            for t in range(CHAIN):
+                grown = (does @ move) * emit[inner, t, None, :]
+                does = np.where(real[inner, t, None, None], grown / grown.sum(axis=(1, 2), keepdims=True), does)
+            of = np.zeros(len(emit), np.int64)
+            of[inner] = np.arange(len(inner))
+            for j in range(1, int(n.max())):
+                here = at[:-1][n > j] + j
+                out = forward[here - 1, -1] if j == 1 else np.einsum("ni,nij->nj", before[here - 1], does[of[here - 1]])
+                before[here] = unit(out)
+            for j in range(int(n.max()) - 1, 0, -1):
+                here = at[:-1][n > j] + j
+                after[here - 1] = unit(np.einsum("nij,nj->ni", does[of[here]], after[here]))
+            onward(inner, before[inner], begun=True)
+        r = after
+        for t in range(CHAIN - 1, -1, -1):
+            e = emit[:, t]
+            back = unit((r * e) @ move.T)
+            forward[:, t] *= r
+            r = np.where(real[:, t, None], back, r)
+        return unit(forward.reshape(-1, k)[place])
 
 
 def fit(texts: list[tuple[str, str]], seed: int = SEED, epochs: int = EPOCHS) -> Crf:
     """A model from (text, language) pairs, by stochastic gradient steps on the chains' log-likelihood."""
     labels = sorted({lang for _, lang in texts})
     model, rng = Crf(labels), np.random.default_rng(seed)
-    places, grams, by_label = [], [], {k: [] for k in range(len(labels))}
+    places, grams, by_label, at = [np.zeros((0, 2 * len(AFFIXES) + 1), np.int64)], [], {k: [] for k in range(len(labels))}, 0
+    starts, lengths, reach = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for text, lang in texts:
         data = np.frombuffer(text.encode(), np.uint8)
         w = words(data, np.array([0, len(data)]))
-        tri = _trigrams(data)
-        at = len(places)
-        places.extend(_affixes(data, w))
-        grams.extend(tri[a : max(b - 2, a)] for a, b in zip(w.start, w.end, strict=True))
-        by_label[labels.index(lang)].append(np.arange(at, len(places)))
+        places.append(_affixes(data, w))
+        grams.append(_trigrams(data))
+        starts.append(w.start + reach)
+        lengths.append(np.maximum(w.end - w.start - 2, 0))
+        by_label[labels.index(lang)].append(np.arange(at, at + len(w.start)))
+        at, reach = at + len(w.start), reach + len(data)
+    places, starts, lengths = np.concatenate(places), np.concatenate(starts), np.concatenate(lengths)
     pools = {k: np.concatenate(v) for k, v in by_label.items() if v and sum(map(len, v)) > STEP}
-    if not pools or not places:
+    if not pools:
         return model
-    places, k = np.stack(places), len(labels)
-    longest = 24
-    padded = np.full((len(grams), longest), -1)
-    for i, g in enumerate(grams):
-        padded[i, : min(len(g), longest)] = g[:longest]
+    grams, k = np.concatenate(grams), len(labels)
     square = {name: np.full_like(table, 1e-6) for name, table in (("affix", model.affix), ("trigram", model.trigram), ("transition", model.transition))}
     chains = max(1, sum(map(len, pools.values())) // STEP)
     keys = sorted(pools)
@@ -147,14 +179,16 @@ def fit(texts: list[tuple[str, str]], seed: int = SEED, epochs: int = EPOCHS) ->
                     seq[i, t : t + n], gold[i, t : t + n] = pools[label][a : a + n], label
                     t += n
             flat = seq.ravel()
-            tri = padded[flat]
-            scores = model.affix[places[flat]].sum(axis=1) + (model.trigram[tri] * (tri >= 0)[..., None]).sum(axis=1)
+            # The trigrams of all words of the batch, one after the other, and which word each is of.
+            n = lengths[flat]
+            word = np.repeat(np.arange(len(flat)), n)
+            tri = grams[np.repeat(starts[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            scores = model.affix[places[flat]].sum(axis=1) + np.stack([np.bincount(word, model.trigram[tri, j], len(flat)) for j in range(k)], axis=1)
             p, pairs = model.marginals(scores.reshape(256, STEP, k).astype(np.float32))
             error = (np.eye(k, dtype=np.float32)[gold] - p).reshape(-1, k)
             seen = np.zeros((k, k))
             np.add.at(seen, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-            keep = tri >= 0
-            for name, index, grad in (("affix", places[flat].ravel(), np.repeat(error, places.shape[1], axis=0)), ("trigram", tri[keep], np.repeat(error, keep.sum(axis=1), axis=0))):
+            for name, index, grad in (("affix", places[flat].ravel(), np.repeat(error, places.shape[1], axis=0)), ("trigram", tri, error[word])):
                 table, sq = getattr(model, name), square[name]
                 at, back = np.unique(index, return_inverse=True)
                 total = np.stack([np.bincount(back, grad[:, j], len(at)) for j in range(k)], axis=1)
@@ -165,25 +199,19 @@ def fit(texts: list[tuple[str, str]], seed: int = SEED, epochs: int = EPOCHS) ->
     return model
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS, seed: int = SEED) -> list[tuple[str, str]]:
-    """Up to ``per_language`` labelled texts of each language, a run of up to ``chars`` characters from a seeded place of each: what the model is fitted on."""
-    labelled = docs.where("lang is not null and text is not null").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    start = F.pmod(F.col("h"), F.greatest(F.char_length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    rows = labelled.withColumn("r", first).where(F.col("r") <= per_language).select("lang", "r", F.substring("text", start, F.lit(chars)).alias("text")).collect()
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["r"]))]
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, seed: int = SEED) -> list[tuple[str, str]]:
+    """About ``per_language`` labelled whole texts of each language (all, where there are no more): what the model is fitted on. No language's rows meet in a task."""
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    kept = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) < F.least(F.lit(1.0), per_language / F.col("n")) * (1 << 40)
+    rows = labelled.join(F.broadcast(counts), "lang").where(kept).select("doc_id", "text", "lang").collect()  # as many counts as languages
+    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"]))]
 
 
 def label_words(model: Crf, data: np.ndarray, offsets: np.ndarray):
     """The words of a run of rows, and their posteriors of each language."""
     w = words(data, offsets)
-    k, counts = len(model.labels), np.diff(w.first)
-    chains = -(-counts // CHAIN)
-    first = np.concatenate([[0], np.cumsum(chains)])
-    place = np.arange(len(w.row)) - w.first[w.row] + first[w.row] * CHAIN
-    grid = np.zeros((int(first[-1]) * CHAIN, k), np.float32)
-    grid[place] = model.emissions(data, w)
-    return w, model.posteriors(grid.reshape(-1, CHAIN, k)).reshape(-1, k)[place] if len(place) else grid
+    return w, model.posteriors(model.emissions(data, w), w.first)
 
 
 LETTER_BYTES = np.zeros(256, bool)

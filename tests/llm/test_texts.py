@@ -189,7 +189,13 @@ def test_forward_backward_is_exact():
     for t in range(4):
         for k in range(3):
             assert model.marginals(scores)[0][0, t, k] == pytest.approx(sum(w for p, w in weight.items() if p[t] == k) / sum(weight.values()), rel=1e-3)
-    assert np.allclose(model.marginals(scores)[0], model.posteriors(scores), atol=1e-4)
+    lengths = [0, 1, 63, 64, 65, 0, 200, 500]
+    first, many = np.concatenate([[0], np.cumsum(lengths)]), (3 * rng.normal(size=(sum(lengths), 3))).astype(np.float32)
+    got = model.posteriors(many, first)
+    for a, z in zip(first[:-1], first[1:]):
+        if z > a:
+            assert np.allclose(got[a:z], model.marginals(many[None, a:z])[0][0], atol=1e-4)
+    assert model.posteriors(many[:0], np.array([0, 0])).shape == (0, 3)
 
 
 def test_base_scores_and_training(spark, make, words):
