@@ -7,13 +7,19 @@ eighteen) are sorted:
 
 1. Anchors are counted by seed; those whose seed only one document has are let go.
 2. The suffixes that are left, with the bytes before them that a match can reach,
-   are range-partitioned by their leading bytes: Spark samples the splitters, and
-   suffixes with the same seed come into one bucket, so no seed crosses a boundary.
-3. A bucket sorts its suffixes by eight-byte keys, ties by the next key, and
-   compares neighbours: runs with a common prefix of a seed at least are groups.
-   Inside a group the strings of ``length`` bytes around the anchor are compared
-   and those that a smaller doc_id also has are marked.
-4. Marked strings are joined to the documents by doc_id, and their bytes removed.
+   are range-partitioned by their leading ``length`` bytes: Spark samples the
+   splitters. Suffixes of a seed that very many documents share are spread over
+   as many buckets as they need.
+3. A bucket sorts its suffixes by multikey quicksort over eight-byte keys. Runs
+   with a common prefix of a seed at least are groups. Inside a group the strings
+   of ``length`` bytes around the anchor are compared and those that a smaller
+   doc_id also has are marked.
+4. Groups at the ends of a block of sorted suffixes may go on in the next: of
+   their strings the least doc_id of each block is compared across boundaries.
+5. Marked strings are joined to the documents by doc_id, and their bytes removed.
+
+Strings of one group, which share sixteen bytes, are told apart by 64-bit hashes:
+the chance that two different ones of n are taken for equal is below n * n / 2**65.
 
 Copies of a whole text need none of this: all but the first lose every byte.
 Seeds that several documents of one slice share are settled there but for two,
@@ -42,6 +48,8 @@ LENGTH = 50
 SEED = 16
 #: Contexts that a bucket compares at once.
 BLOCK = 40_000
+#: Runs of suffixes so short are sorted at once.
+SHORT_RUN = 2048
 
 
 def _sliding(values: np.ndarray, width: int, function) -> np.ndarray:
@@ -164,9 +172,35 @@ def _mask(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.int64) << np.arange(bits.shape[1], dtype=np.int64)).sum(axis=1)
 
 
-def _compared(suffixes: DataFrame, length: int, seed: int) -> DataFrame:
-    """doc, h, pos, mask: which strings around each anchor a smaller doc_id has too. A partition holds a range of suffixes."""
-    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("mask", pa.int64())])
+def multikey_quicksort(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by their keys, the first first: each run is parted by a pivot of one key into less, equal and greater, and the equal part goes on with the next key."""
+    order = np.arange(len(keys[0]))
+    runs = [(0, len(order), 0)]
+    while runs:
+        a, z, d = runs.pop()
+        if z - a < 2 or d == len(keys):
+            continue
+        rows = order[a:z]
+        if z - a <= SHORT_RUN:
+            order[a:z] = rows[np.lexsort([k[rows] for k in keys[d:][::-1]])]
+            continue
+        key = keys[d][rows]
+        pivot = np.sort(key[:: max(1, len(key) // 9)])[4]
+        less, equal = key < pivot, key == pivot
+        parts = rows[less], rows[equal], rows[~(less | equal)]
+        order[a:z] = np.concatenate(parts)
+        m, n = a + len(parts[0]), a + len(parts[0]) + len(parts[1])
+        runs += [(a, m, d), (m, n, d + 1), (n, z, d)]
+    return order
+
+
+def _compared(suffixes: DataFrame, length: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """doc, h, pos, mask: which strings around each anchor a smaller doc_id has too. A partition holds a range of suffixes.
+
+    Rows with a key are strings (mask has its bit) of groups at the ends of
+    blocks, with the least doc_id that the block knows for them.
+    """
+    schema = pa.schema([("doc", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("mask", pa.int64()), ("key", pa.int64())])
     back = length - seed
     up, down = powers(length + back + 1)
 
@@ -177,23 +211,14 @@ def _compared(suffixes: DataFrame, length: int, seed: int) -> DataFrame:
         t = pa.Table.from_batches(tables).combine_chunks()
         doc, h, pos, lo, hi = (t.column(i).to_numpy() for i in range(5))
         around = flat_rows(t.column(5), back + length)
-        keys = [np.ascontiguousarray(around[:, back + i : back + i + 8]).view(">u8")[:, 0] for i in range(0, length - 7, 8)]
-        order = np.lexsort(keys[::-1])
-        same = np.ones(len(order), bool)
-        for k in keys[: seed // 8]:
-            same[1:] &= k[order][1:] == k[order][:-1]
-        same[0] = False
-        starts = np.flatnonzero(~same)
-        cuts = [0]
-        for s in starts[np.searchsorted(starts, np.arange(BLOCK, len(order), BLOCK))[np.searchsorted(starts, np.arange(BLOCK, len(order), BLOCK)) < len(starts)]]:
-            if s > cuts[-1]:
-                cuts.append(int(s))
-        for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            at = order[a:z]
-            group = np.cumsum(~same[a:z]).astype(np.uint64)
+        keys = [np.ascontiguousarray(around[:, back + i : back + i + 8]).view(">u8")[:, 0].astype(np.uint64) for i in range(0, length - 7, 8)]
+        order = multikey_quicksort(keys)
+        group = mix(keys[0] ^ mix(keys[1] + np.uint64(1)))
+        for a in range(0, len(order), block):
+            at = order[a : a + block]
             prefix = np.zeros((len(at), back + length + 1), np.uint64)
             np.cumsum((around[at].astype(np.uint64) + np.uint64(1)) * up[:-1], axis=1, out=prefix[:, 1:])
-            strings = mix((prefix[:, length : length + back + 1] - prefix[:, : back + 1]) * down[: back + 1] + mix(group)[:, None])
+            strings = mix((prefix[:, length : length + back + 1] - prefix[:, : back + 1]) * down[: back + 1] + group[at][:, None])
             inside = _inside(lo[at].astype(np.int64), hi[at].astype(np.int64), back, length)
             s, d = strings[inside], np.broadcast_to(doc[at][:, None], inside.shape)[inside]
             by = np.argsort(s, kind="stable")
@@ -203,9 +228,21 @@ def _compared(suffixes: DataFrame, length: int, seed: int) -> DataFrame:
             bits = np.zeros(inside.shape, bool)
             bits[inside] = least < d
             some = bits.any(axis=1)
-            yield batch(schema, doc[at][some], h[at][some], pos[at][some], _mask(bits[some]))
+            n = int(some.sum())
+            yield batch(schema, doc[at][some], h[at][some], pos[at][some], _mask(bits[some]), pa.nulls(n, pa.int64()))
+            edge = (group[at] == group[at[0]]) | (group[at] == group[at[-1]])
+            row, bit = np.nonzero(inside & ~bits & edge[:, None])
+            yield batch(schema, doc[at][row], h[at][row], pos[at][row], np.int64(1) << bit, signed(strings[row, bit]))
 
-    return suffixes.mapInArrow(compare, "doc long, h long, pos int, mask long")
+    return suffixes.mapInArrow(compare, "doc long, h long, pos int, mask long, key long")
+
+
+def _across(compared: DataFrame) -> DataFrame:
+    """doc, h, pos, mask of what blocks have marked, and of the strings at their ends that another block knows from a smaller doc_id."""
+    ends = compared.where("key is not null")
+    least = ends.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    marked = ["doc", "h", "pos", "mask"]
+    return compared.where("key is null").select(marked).union(ends.join(least, "key").where("least < doc").select(marked))
 
 
 def flat_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -226,9 +263,10 @@ def marks(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     places = materialise(shared.groupBy("doc").agg(F.collect_list("pos").alias("places")), "suffix-anchors")
     placed = keyed.join(places, F.col("doc") == F.col("doc_id")).drop("doc").join(whole.withColumnRenamed("doc", "doc_id"), ["doc_id", "h"], "left_anti")
     suffixes = _suffixes(placed.select("doc_id", "h", "text", "places"), length, seed)
-    lead = F.expr(f"substring(around, {length - seed + 1}, {seed})")
+    lead = F.expr(f"substring(around, {length - seed + 1}, {length})")
     open_ = suffixes.where("mask is null").drop("mask").repartitionByRange(n_tasks(spark), lead)
-    found = _compared(open_, length, seed).union(suffixes.where("mask is not null").select("doc", "h", "pos", "mask"))
+    settled = suffixes.where("mask is not null").select("doc", "h", "pos", "mask", F.lit(None).cast("long").alias("key"))
+    found = _across(materialise(_compared(open_, length, seed).union(settled), "suffix-compared"))
     marked = materialise(found.groupBy("doc", "h").agg(F.collect_list("pos").alias("places"), F.collect_list("mask").alias("masks"), F.lit(False).alias("whole")), "suffix-marks")
     return marked.union(whole.select("doc", "h", F.array().cast("array<int>"), F.array().cast("array<bigint>"), F.lit(True)))
 

@@ -151,6 +151,22 @@ def test_suffix_dedup(make, words):
     assert got == brute_removals(texts)
 
 
+def test_suffixes_are_compared_across_blocks(make, words, monkeypatch):
+    hot = words(9, 3)
+    rows = [(i, f"{words(4, 100 + i % 23)} {hot} {words(4, 200 + i % 17)}") for i in range(300)] + [(300 + i, hot * 3 + "z" * i) for i in range(40)]
+    kept, compared = suffix_dedup._compared, []
+    monkeypatch.setattr(suffix_dedup, "_compared", lambda *x: compared.append(1) or kept(*x, block=7))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.removals(make(rows)).collect()}
+    assert compared and got == brute_removals(rows)
+
+
+def test_multikey_quicksort():
+    rng = np.random.default_rng(0)
+    keys = [rng.integers(0, n, 20_000).astype(np.uint64) for n in (3, 1 << 40, 5, 2)]
+    keys[1][:9000] = 7
+    assert (np.stack(keys)[:, suffix_dedup.multikey_quicksort(keys)] == np.stack(keys)[:, np.lexsort(keys[::-1])]).all()
+
+
 def test_suffix_dedup_edges(make, words):
     long = words(60, 1)
     rows = suffix_dedup.removals(make([(1, long), (1, long), (None, long), (2, long), (2, "x" + long)])).collect()
