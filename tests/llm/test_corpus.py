@@ -199,6 +199,77 @@ def test_passages(make, words):
     assert compact_windows.passages(make([])).count() == 0
 
 
+def linked_groups(rows):
+    """A function from a document to its group by the passages found."""
+    label = {}
+
+    def find(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for r in rows:
+        label[find(r["doc_id"])] = find(r["first_doc"])
+    return find
+
+
+def test_common_phrases_do_not_hide_copied_passages(make, words):
+    from paperloom.llm.common import flat, mix, shingles
+    from paperloom.llm.common import words as split
+
+    import pyarrow as pa
+
+    passage = words(60, 1)
+    h, _ = shingles(split(*flat(pa.array([passage]))), 5)
+    phrases = {int(i) for salt in compact_windows.SALTS[: compact_windows.HASHES] for i in np.argsort(mix(h ^ np.uint64(salt)))[:10]}
+    rows, decoy = [(5000, f"{words(30, 2)} {passage} {words(30, 3)}"), (50000, f"{words(25, 4)} {passage} {words(40, 5)}")], 0
+    for i in sorted(phrases):
+        for _ in range(12):
+            decoy += 1
+            rows.append((decoy if decoy % 2 else 6000 + decoy, f"{words(50, 1000 + decoy)} {' '.join(passage.split()[i : i + 5])} {words(50, 9000 + decoy)}"))
+    got = compact_windows.passages(make(rows).coalesce(1)).collect()
+    assert {(r["first_doc"], r["doc_id"]) for r in got} == {(5000, 50000)}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_edited_copies_are_found(make, words, parts):
+    import random
+
+    rng, rows = random.Random(5), []
+    for group in range(12):
+        base = words(90, group).split()
+        for copy in range(5):
+            w = list(base)
+            for at in range(10 + 8 * copy, 90, 60):
+                w[at] = f"edit{rng.randrange(10**6)}"
+            rows.append((group * 5 + copy, " ".join(w)))
+    got = compact_windows.passages(make(rows).repartition(parts)).collect()
+    find = linked_groups(got)
+    pairs = [(g * 5 + i, g * 5 + j) for g in range(12) for i, j in itertools.combinations(range(5), 2)]
+    assert sum(find(i) == find(j) for i, j in pairs) >= 0.9 * len(pairs)
+    assert all(r["doc_id"] // 5 == r["first_doc"] // 5 and r["similarity"] >= 0.8 for r in got)
+
+
+def test_recall_of_shared_passages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    find = linked_groups(compact_windows.passages(docs).collect())
+    runs = {}
+    for i, t in ((r["doc_id"], r["text"]) for r in docs.collect()):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        for k in range(len(w) - 49):
+            runs.setdefault(" ".join(w[k : k + 50]), set()).add(i)
+    pairs = {p for ids in runs.values() for p in itertools.combinations(sorted(ids), 2)}
+    assert len(pairs) > 20 and sum(find(a) == find(b) for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_windows_of_repeated_phrases_are_few():
+    import time
+
+    start = time.process_time()
+    assert len(compact_windows.compact_windows(np.zeros(200_000, np.uint64), 46)) == 1
+    assert len(compact_windows.compact_windows(np.tile(np.arange(60, dtype=np.uint64), 3000), 46)) <= 14 * 3001 and time.process_time() - start < 10
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
