@@ -13,9 +13,11 @@ takes from it; each kept bigram pays its own probability and the next token's
 failure arc, and takes back what its words have paid in its place; each kept
 trigram does so for its bigram. (A kept trigram's bigrams are kept, too.) So
 each n-gram has one weight, and the documents' n-grams are joined to the
-weights and added up by document. Counts and weights grow with the corpus and
-stay in tables; only the weights of words of at least one in ``VOCABULARY``
-tokens are broadcast, so that no frequent word is a key of a join.
+weights and added up by document: all orders in one join, ``BATCHES`` shares of
+the documents one after the other, so that a share's n-grams are on disk at a
+time. Counts and weights grow with the corpus and stay in tables; only the
+weights of words of at least one in ``VOCABULARY`` tokens are broadcast, so that
+no frequent word is a key of a join.
 
 Tokens are 64-bit hashes of lower-cased words. Defined results: null texts are
 empty, of the end token only; a null doc_id is not held out; without training
@@ -26,6 +28,7 @@ result.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -33,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batch, discard, materialise, mix, own_columns, read, signed, slices, words
+from paperloom.llm.common import batch, discard, materialise, own_columns, read, signed, slices, words
 
 VOCABULARY = 10_000
 MINIMUM = 2
 DISCOUNT = 0.5
 END = 0x5EED0FE0D0C5E11D
 COUNT_SLICE = 4 << 20
+BATCHES = 5
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,43 +79,53 @@ def _ids(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == h, at + 1, 0)
 
 
-def _ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(row, the n tokens) of each n-gram of a run of rows; none crosses a row."""
-    h, bounds = tokens(data, offsets)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    at = np.flatnonzero(row[n - 1 :] == row[: max(len(row) - n + 1, 0)])
-    return row[at], [h[at + j] for j in range(n)]
+def _rotated(h: np.ndarray, bits: int) -> np.ndarray:
+    return h << np.uint64(bits) | h >> np.uint64(64 - bits)
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two long columns."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.uint64(42)
+    for x in (a, b):
+        h = (h + p5 + np.uint64(8)) ^ _rotated(x * p2, 31) * p1
+        h = _rotated(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h ^= h >> np.uint64(32)
+    return h
 
 
-def _names(n: int) -> list[str]:
-    return [f"t{j}" for j in range(n)]
+def _ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, their rows, bigrams' keys by their first place, whether a row goes on after each place) of a run of rows."""
+    h, bounds = tokens(data, offsets)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return h, row, pair_hash(h[:-1], h[1:]), row[1:] == row[:-1]
 
 
-def _parts(n: int) -> list:
-    """What tells an n-gram: t0 and t1 of a bigram; of a trigram t01 and t12, the keys of its two bigrams. Its key is their hash."""
-    return [F.col("t0"), F.col("t1")] if n == 2 else [F.xxhash64("t0", "t1").alias("t01"), F.xxhash64("t1", "t2").alias("t12")]
+#: What tells an n-gram: the two words of a bigram; the keys of a trigram's two bigrams. Its key is their hash.
+PARTS = {2: ("t0", "t1"), 3: ("t01", "t12")}
 
 
 def ngram_counts(training: DataFrame, n: int) -> DataFrame:
     """The parts and c of the n-grams that occur at least MINIMUM times in all training texts."""
-    schema = pa.schema([(t, pa.int64()) for t in [*_names(n), "c"]])
+    names = PARTS[n]
+    schema = pa.schema([(t, pa.int64()) for t in [*names, "c"]])
 
     def count(batches):
         for b in batches:
             for _, _, data, offsets in slices(b.column(0), COUNT_SLICE):
-                _, t = _ngrams(data, offsets, n)
-                key = t[0]
-                for x in t[1:]:
-                    key = mix(key) + x
-                _, first, c = np.unique(key, return_index=True, return_counts=True)
-                yield batch(schema, *[signed(x[first]) for x in t], c)
+                h, _, two, on = _ngrams(data, offsets)
+                a, z = (h[:-1][on], h[1:][on]) if n == 2 else (two[:-1][on[:-1] & on[1:]], two[1:][on[:-1] & on[1:]])
+                _, first, c = np.unique(pair_hash(a, z), return_index=True, return_counts=True)
+                yield batch(schema, signed(a[first]), signed(z[first]), c)
 
-    counted = training.select("text").mapInArrow(count, ", ".join(f"{t} long" for t in [*_names(n), "c"])).select(*_parts(n), "c")
-    return counted.groupBy(*counted.columns[:-1]).agg(F.sum("c").alias("c")).where(F.col("c") >= MINIMUM)
+    counted = training.select("text").mapInArrow(count, ", ".join(f"{t} long" for t in [*names, "c"]))
+    return counted.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= MINIMUM)
 
 
-def weights(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What each n-gram adds to a score: (token, c, v) of words, (key, v) of kept bigrams and of kept trigrams."""
+def weights(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataFrame, DataFrame]:
+    """What each n-gram adds to a score: (token, c, v) of words, (key, v) of kept bigrams and trigrams."""
     p1 = lambda c: F.log10(c + 1.0) - floor
     p2, p3 = F.log10((F.col("c") - DISCOUNT) / F.col("c0")), F.log10((F.col("c") - DISCOUNT) / F.col("c01"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -122,7 +136,7 @@ def weights(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataF
     fail1 = two.groupBy("t0", "c0").agg(F.log10(left / F.greatest(1 - F.sum(F.pow(F.lit(10.0), p1(F.col("c1")))), F.lit(1e-12))).alias("fail1")).drop("c0")
     fail1 = materialise(fail1, "lm-word-failures")
     triples = materialise(ngram_counts(training, 3), "lm-triples")
-    key = F.xxhash64(*_parts(2))
+    key = F.xxhash64("t0", "t1")
     suffix = two.select(key.alias("t12"), F.col("c").alias("c12"), F.col("c0").alias("c1"), p2.alias("p2"))
     three = triples.join(suffix, "t12").join(two.select(key.alias("t01"), F.col("c").alias("c01")), "t01")
     arcs = Window.partitionBy("t01")
@@ -132,27 +146,29 @@ def weights(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataF
     discard(triples)
     fail2 = three.groupBy(F.col("t01").alias("key")).agg(F.max("fail2").alias("fail2"))
     of_two = two.join(fail1, "t0").select(key.alias("key"), (p2 - p1(F.col("c1")) - F.col("fail1")).alias("v")).join(fail2, "key", "left").select("key", (F.col("v") + zero("fail2")).alias("v"))
-    of_two = materialise(of_two, "lm-bigram-weights")
+    of_grams = materialise(of_two.union(three.select("key", "v")), "lm-weights")
     discard(two)
+    discard(three)
     of_words = counts.join(fail1.withColumnRenamed("t0", "token"), "token", "left").select("token", "c", (p1(F.col("c")) + zero("fail1")).alias("v"))
-    return materialise(of_words, "lm-word-weights"), of_two, three.select("key", "v")
+    return materialise(of_words, "lm-word-weights"), of_grams
 
 
-def ngram_sums(keyed: DataFrame, weighed: DataFrame, n: int) -> DataFrame:
-    """doc_id, h, v: the sum of the weights of a document's kept n-grams."""
-    schema = pa.schema([(c, pa.int64()) for c in ["doc_id", "h", *_names(n)]])
+def gram_sums(keyed: DataFrame, weighed: DataFrame, vocabulary) -> DataFrame:
+    """doc_id, h and the sums of v, base and seen: over a document's kept bigrams and trigrams, and its words outside the broadcast vocabulary."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "key")])
 
     def emit(batches):
         for b in batches:
             ids, hs = (b.column(i) for i in (0, 1))
-            for row, _, data, offsets in slices(b.column(2)):
-                at, t = _ngrams(data, offsets, n)
-                at = pa.array(row + at)
-                yield batch(schema, ids.take(at), hs.take(at), *map(signed, t))
+            for first, _, data, offsets in slices(b.column(2)):
+                h, row, two, on = _ngrams(data, offsets)
+                rare = (_ids(h, vocabulary.value[0]) == 0) & (h != np.uint64(END))
+                three = on[:-1] & on[1:]
+                at = pa.array(first + np.concatenate([row[rare], row[:-1][on], row[: len(three)][three]]))
+                yield batch(schema, ids.take(at), hs.take(at), signed(np.concatenate([h[rare], two[on], pair_hash(two[:-1][three], two[1:][three])])))
 
-    found = keyed.select("doc_id", "h", "text").mapInArrow(emit, ", ".join(f"{c} long" for c in ["doc_id", "h", *_names(n)]))
-    joined = found.select("doc_id", "h", F.xxhash64(*_parts(n)).alias("key")).join(weighed.hint("shuffle_hash"), "key")
-    return joined.groupBy("doc_id", "h").agg(F.sum("v").alias("v"))
+    found = keyed.select("doc_id", "h", "text").mapInArrow(emit, "doc_id long, h long, key long")
+    return found.join(weighed.hint("shuffle_hash"), "key").groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("v", "base", "seen")])
 
 
 class Automaton:
@@ -242,13 +258,14 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     counts = materialise(word_counts(training), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     floor = math.log10(total + distinct + 1)
-    of_words, of_two, of_three = weights(training, counts, floor)
+    of_words, of_grams = weights(training, counts, floor)
     end = np.array([END], np.uint64).view(np.int64)[0]
     rows = of_words.where((F.col("c") * VOCABULARY >= total) | (F.col("token") == F.lit(int(end)))).collect()  # at most VOCABULARY + 1
     rows.sort(key=lambda r: r["token"] % (1 << 64))
     vocabulary = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    base_of = np.concatenate([[0.0], np.log10(np.array([r["c"] for r in rows], float) + 1) - floor])
-    known = spark.sparkContext.broadcast((vocabulary, base_of, np.array([0.0, *[r["v"] for r in rows]])))
+    # Other words count as unknown here; what the known ones of them have more is joined to them.
+    base_of = np.concatenate([[-floor], np.log10(np.array([r["c"] for r in rows], float) + 1) - floor])
+    known = spark.sparkContext.broadcast((vocabulary, base_of, np.array([-floor, *[r["v"] for r in rows]])))
 
     scored_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("auto", pa.float64())])
 
@@ -261,27 +278,14 @@ def score(docs: DataFrame, held_out) -> DataFrame:
                 base, auto, seen = (np.add.reduceat(x, bounds[:-1]) for x in (base_of[ids], weight_of[ids], (ids > 0).astype(np.int64)))
                 yield batch(scored_schema, *[b.column(i).slice(row, upto - row) for i in range(3)], np.diff(bounds), seen, base, auto)
 
-    other_schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("token", pa.int64())])
-
-    def others(batches):
-        for b in batches:
-            ids, hs = (b.column(i) for i in (0, 1))
-            for row, _, data, offsets in slices(b.column(2)):
-                h, bounds = tokens(data, offsets)
-                rare = np.flatnonzero((_ids(h, known.value[0]) == 0) & (h != np.uint64(END)))
-                at = pa.array(row + np.searchsorted(bounds, rare, "right") - 1)
-                yield batch(other_schema, ids.take(at), hs.take(at), signed(h[rare]))
-
     keyed = marked.withColumn("h", F.xxhash64("text"))
     scored = keyed.select("doc_id", "held_out", "h", "text").mapInArrow(frequent, "doc_id long, held_out boolean, h long, n_tokens long, n_known long, base double, auto double")
-    rare = keyed.select("doc_id", "h", "text").mapInArrow(others, "doc_id long, h long, token long")
-    # Words outside the vocabulary are each less than one in VOCABULARY tokens, so no key of this join is frequent.
-    c = F.coalesce("c", F.lit(0))
-    of_rare = rare.join(of_words.hint("shuffle_hash"), "token", "left").groupBy("doc_id", "h").agg(F.sum(F.coalesce("v", F.lit(-floor))).alias("v"), F.sum(F.log10(c + 1.0) - floor).alias("base"), F.sum((c > 0).cast("long")).alias("seen"))
-    none = [F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("seen")]
-    # Each is written on its own, so that one join's shuffle files are there at a time.
-    parts = [materialise(of_rare, "lm-sums-1"), *[materialise(ngram_sums(keyed, w, n).select("doc_id", "h", "v", *none), f"lm-sums-{n}") for n, w in ((2, of_two), (3, of_three))]]
-    sums = parts[0].union(parts[1]).union(parts[2]).groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(*[F.sum(x).alias(f"{x}_sum") for x in ("v", "base", "seen")])
+    # Words outside the vocabulary are each less than one in VOCABULARY tokens.
+    rest_of = of_words.select(F.col("token").alias("key"), (F.col("v") + floor).alias("v"), F.log10(F.col("c") + 1.0).alias("base"), F.lit(1).cast("long").alias("seen"))
+    weighed = of_grams.select("key", "v", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("seen")).union(rest_of)
+    # Each share is written on its own, so that one share's shuffle files are there at a time.
+    parts = [materialise(gram_sums(keyed.where(F.pmod("h", F.lit(BATCHES)) == i), weighed, known), f"lm-sums-{i}") for i in range(BATCHES)]
+    sums = functools.reduce(DataFrame.union, parts).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), *[F.col(x).alias(f"{x}_sum") for x in ("v", "base", "seen")])
     same = Window.partitionBy("doc_id", "h")  # equal rows: their n-grams have been summed together
     joined = scored.withColumn("times", F.count("*").over(same)).join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("k")), "left")
     rest = lambda x: F.coalesce(F.col(f"{x}_sum") / F.col("times"), F.lit(0.0))
@@ -299,3 +303,23 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+
+
+def base_scores(spark, sf_dir: str) -> DataFrame:
+    """What of ``op6_lm_scoring`` SQL can express."""
+    return op6_lm_scoring(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+#: The crc32 of an id's digits is a fold over its bytes and their bits.
+BASE_SQL = r"""
+WITH bytes AS (
+  SELECT doc_id, list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)) AS b FROM documents
+), held AS (
+  SELECT DISTINCT doc_id, xor(list_reduce(b, lambda acc, x: list_reduce(list_prepend(xor(acc, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 7 = 2 AS held_out FROM bytes
+), d AS (
+  SELECT doc_id, held_out, unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), '')) AS token FROM documents JOIN held USING (doc_id)
+), counts AS (SELECT token, count(*) AS c FROM d WHERE NOT held_out GROUP BY token
+), totals AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM counts)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+FROM d LEFT JOIN counts USING (token), totals GROUP BY doc_id, held_out
+"""

@@ -216,6 +216,12 @@ def test_base_scores_and_training(spark, make, words):
     assert lm_score.score(make([(1, "a b")]), F.lit(True)).first()["base_score"] == 0
 
 
+def test_pair_hash_is_that_of_spark(spark):
+    x = np.random.default_rng(0).integers(-(2**63), 2**63, (50, 2))
+    rows = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(x)], "i int, a long, b long").select(F.xxhash64("a", "b").alias("h")).orderBy("i").collect()
+    assert [r["h"] for r in rows] == lm_score.pair_hash(*x.astype(np.uint64).T).view(np.int64).tolist()
+
+
 def test_automaton_probabilities_sum_to_one(spark, make, words):
     text = words(400, 1).split()[:40] * 30
     h = np.sort(np.unique(np.array([zlib.crc32(w.encode()) for w in text], np.uint64)))
