@@ -42,7 +42,7 @@ VOCABULARY = 10_000
 MINIMUM = 2
 DISCOUNT = 0.5
 END = 0x5EED0FE0D0C5E11D
-COUNT_SLICE = 4 << 20
+COUNT_SLICE = 2 << 20
 BATCHES = 5
 
 

@@ -47,6 +47,7 @@ SURE = 0.95
 PSEUDO_WEIGHT = 0.3
 THRESHOLD = 0.5
 SEED = 11
+PAIRS = 1 << 20
 STEPS, MORE_STEPS = 150, 40
 #: A word of fewer training rows has no weight.
 MIN_ROWS = 4
@@ -66,11 +67,13 @@ def _kinds() -> np.ndarray:
 KINDS = _kinds()
 N_KINDS = int(KINDS.max()) + 1
 MEASURES = 2 * N_KINDS + 4
+#: Bytes of text whose features are made at once.
+SLICE = 1 << 18
 
 
 def text_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, rows, row and place of each distinct word, measures by row) of runs of rows, over whole texts."""
-    for first, upto, data, offsets in slices(column):
+    for first, upto, data, offsets in slices(column, SLICE):
         n, w = upto - first, words(data, offsets, NOT_ALNUM)
         pairs = np.unique(w.row * BUCKETS + (w.hash >> np.uint64(46)).astype(np.int64))
         row, place = pairs // BUCKETS, pairs % BUCKETS
@@ -94,10 +97,16 @@ class Sparse:
         return len(self.dense)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights[: self.width][self.columns], len(self)) + self.dense @ weights[self.width :]
+        out = self.dense @ weights[self.width :]
+        for a in range(0, len(self.rows), PAIRS):  # a block at a time: few temporary arrays
+            out += np.bincount(self.rows[a : a + PAIRS], weights[: self.width][self.columns[a : a + PAIRS]], len(self))
+        return out
 
     def gradient(self, error: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.columns, error[self.rows], self.width), self.dense.T @ error])
+        out = np.zeros(self.width)
+        for a in range(0, len(self.rows), PAIRS):
+            out += np.bincount(self.columns[a : a + PAIRS], error[self.rows[a : a + PAIRS]], self.width)
+        return np.concatenate([out, self.dense.T @ error])
 
     def take(self, keep: np.ndarray) -> Sparse:
         place = np.full(len(self), -1, np.int32)
@@ -238,6 +247,7 @@ def _gathered(rows: DataFrame, answer: str) -> tuple[list[Sparse], np.ndarray]:
     places = [np.frombuffer(r["places"], np.int32) for r in found]
     rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(p) for p in places]) if found else np.zeros(0, np.int32)
     content = Sparse(rows, np.concatenate(places) if found else np.zeros(0, np.int32), np.array([np.frombuffer(r["measures"]) for r in found]).reshape(-1, MEASURES), BUCKETS)
+    del places
     meta = metadata(*[np.array([r[c] for r in found], np.int64) for c in ("lang", "source", "size")])
     return [content, meta], np.array([r["answer"] for r in found], float)
 
@@ -255,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = SEED, rounds: int = ROUN
     known = _known(docs)
     views, answers = _gathered(known.join(F.broadcast(one.where(_share(LABELLED, one.count(), seed))), "doc_id"), "good")
     trained = CoTrained(views, answers, seed)
+    del views
     for turn in range(0 if trained.trivial else rounds):
         # Scores of all documents; what is kept of them are those that a view is sure of and nobody has labelled.
         sure = _scored(known, trained.model()).where("doc_id is not null").select("doc_id", *[F.when(F.greatest(F.col(c), 1 - F.col(c)) >= SURE, (F.col(c) >= 0.5).cast("int")).alias(c) for c in ("content", "meta")])
