@@ -113,21 +113,22 @@ FUZZY_THRESHOLD, FUZZY_BONUS = 0.6, 0.9
 TABLE_ROWS = 50
 
 # Line items.
+ITEM_LABELS = r"(?i)(Product:|Quantity:|Unit\s*Price:|Total:)"
 PRODUCT_LABEL = r"(?i)\bProduct\s*:"
 TOTAL_TOLERANCE = 0.01
 
 # Domains in order, with their words.
 DOMAINS = {
-    "Finance": "invoice, payment, receipt, tax, gst, amount, balance, credit, debit, bank, account, transaction, upi, total, revenue, expense, profit, loss, budget, salary, payroll, refund, billing, ledger, audit".split(", "),
-    "Legal": "contract, agreement, clause, penalty, liability, terms and conditions, indemnity, arbitration, jurisdiction, warranty, confidential, non-disclosure, nda, compliance, regulation, statute, court, legal, attorney, law".split(", "),
-    "Medical": "patient, diagnosis, prescription, hospital, doctor, medical, health, clinical, treatment, pharmacy, lab report, blood, test result, symptom, disease".split(", "),
-    "HR": "employee, resume, cv, hire, onboarding, leave, attendance, appraisal, performance review, designation, department, human resource, training, offer letter".split(", "),
-    "Operations": "shipment, delivery, logistics, warehouse, inventory, supply chain, purchase order, vendor, procurement, shipping, tracking, dispatch".split(", "),
+    "Finance": ("invoice", "payment", "receipt", "tax", "gst", "amount", "balance", "credit", "debit", "bank", "account", "transaction", "upi", "total", "revenue", "expense", "profit", "loss", "budget", "salary", "payroll", "refund", "billing", "ledger", "audit"),
+    "Legal": ("contract", "agreement", "clause", "penalty", "liability", "terms and conditions", "indemnity", "arbitration", "jurisdiction", "warranty", "confidential", "non-disclosure", "nda", "compliance", "regulation", "statute", "court", "legal", "attorney", "law"),
+    "Medical": ("patient", "diagnosis", "prescription", "hospital", "doctor", "medical", "health", "clinical", "treatment", "pharmacy", "lab report", "blood", "test result", "symptom", "disease"),
+    "HR": ("employee", "resume", "cv", "hire", "onboarding", "leave", "attendance", "appraisal", "performance review", "designation", "department", "human resource", "training", "offer letter"),
+    "Operations": ("shipment", "delivery", "logistics", "warehouse", "inventory", "supply chain", "purchase order", "vendor", "procurement", "shipping", "tracking", "dispatch"),
 }
 STRONG_DOMAIN = 3
 # Risk words, amounts and vendors.
-HIGH_RISK = "penalty, liability, termination, breach, dispute, overdue, default, fraud, violation, critical, urgent, lawsuit, damages, forfeiture".split(", ")
-MEDIUM_RISK = "warning, caution, review, amendment, exception, delay, escalation, discrepancy, pending".split(", ")
+HIGH_RISK = ("penalty", "liability", "termination", "breach", "dispute", "overdue", "default", "fraud", "violation", "critical", "urgent", "lawsuit", "damages", "forfeiture")
+MEDIUM_RISK = ("warning", "caution", "review", "amendment", "exception", "delay", "escalation", "discrepancy", "pending")
 AMOUNT_BUCKETS = ((1_000, "Under1K"), (5_000, "1K-5K"), (50_000, "5K-50K"), (None, "Over50K"))
 HIGH_AMOUNT = 50_000
 VENDOR_PATTERNS = (
@@ -140,6 +141,7 @@ RISK_TAGS = ("Risk:High", "Risk:Medium")
 
 # Chunks, retrieval and memory.
 WHOLE_PAGE, WINDOW, OVERLAP = 800, 400, 80
+SENTENCE_ENDS = (". ", ".\n", "\n\n")
 EMBED_SIZE, EMBED_OVERLAP = 500, 50
 TOP_K, MAX_K, POOL, BALANCE, EXCHANGES = 5, 50, 4, 0.5, 10
 PREVIEW, STORED_CHUNK = 200, 500

@@ -9,7 +9,6 @@ from paperloom.functions import rules as R
 from paperloom.functions.text import blank, find_all, first_match, lines, number, safe, strip
 from paperloom.operators.classify import value_of
 
-LABELS = r"(?i)(Product:|Quantity:|Unit\s*Price:|Total:)"
 ITEM = "struct<product string, quantity double, unit_price double, line_total double>"
 STATE = f"struct<done array<{ITEM}>, now {ITEM}>"
 
@@ -23,8 +22,8 @@ def document_mode(text: Column, tables: Column | None = None) -> Column:
 def _events(text: Column) -> Column:
     """Per line what each label is followed by, or the line itself where it has none."""
     def of(line: Column) -> Column:
-        labels = F.transform(find_all(line, LABELS, 1), lambda x: F.regexp_replace(F.lower(x), r"[\s:]", ""))
-        values = F.transform(F.slice(F.split(line, LABELS), 2, 1 << 20), strip)
+        labels = F.transform(find_all(line, R.ITEM_LABELS, 1), lambda x: F.regexp_replace(F.lower(x), r"[\s:]", ""))
+        values = F.transform(F.slice(F.split(line, R.ITEM_LABELS), 2, 1 << 20), strip)
         return F.when(F.size(labels) > 0, F.zip_with(labels, values, lambda k, v: F.struct(k.alias("kind"), v.alias("value")))).otherwise(F.array(F.struct(F.lit("more").alias("kind"), line.alias("value"))))
 
     full = F.filter(F.transform(lines(safe(text)), strip), lambda x: x != "")

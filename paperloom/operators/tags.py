@@ -11,7 +11,10 @@ from paperloom.functions.text import amount, hits, let, safe_lower, strip, title
 
 def domain_scores(text: Column) -> Column:
     """An array of struct<score, order, name>, one a domain."""
-    low = safe_lower(text)
+    return let(safe_lower(text), _scores)
+
+
+def _scores(low: Column) -> Column:
     return F.array(*[F.struct(hits(low, words).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(R.DOMAINS.items())])
 
 
@@ -27,8 +30,11 @@ def domains(text: Column) -> Column:
 
 
 def risk(text: Column, amount_text: Column) -> Column:
-    low = safe_lower(text)
-    high, medium = hits(low, R.HIGH_RISK), hits(low, R.MEDIUM_RISK)
+    counts = lambda low: F.struct(hits(low, R.HIGH_RISK).alias("high"), hits(low, R.MEDIUM_RISK).alias("medium"))
+    return let(let(safe_lower(text), counts), lambda n: _risk(n["high"], n["medium"], amount_text))
+
+
+def _risk(high: Column, medium: Column, amount_text: Column) -> Column:
     level = F.when((high >= 2) | (F.coalesce(amount(amount_text), F.lit(0.0)) >= R.HIGH_AMOUNT), "High").when((high >= 1) | (medium >= 2), "Medium").otherwise("Low")
     return F.concat(F.lit("Risk:"), level)
 
@@ -43,11 +49,11 @@ def amount_bucket(amount_text: Column) -> Column:
 
 def vendor(text: Column) -> Column:
     """What follows a vendor label, else a sender label: its first 50 characters in title case, without final punctuation."""
-    def named(pattern: str) -> Column:
-        name = F.regexp_replace(title(F.substring(strip(F.regexp_extract(safe_lower(text), pattern, 1)), 1, 50)), r"[.,;:]+$", "")
-        return F.when(F.char_length(name) > 1, name)
+    def named(low: Column, pattern: str) -> Column:
+        name = F.regexp_replace(title(F.substring(strip(F.regexp_extract(low, pattern, 1)), 1, 50)), r"[.,;:]+$", "")
+        return let(name, lambda n: F.when(F.char_length(n) > 1, n))
 
-    return F.coalesce(*[named(p) for p in R.VENDOR_PATTERNS])
+    return let(safe_lower(text), lambda low: F.coalesce(*[named(low, p) for p in R.VENDOR_PATTERNS]))
 
 
 def tags(text: Column, document_type: Column, amount_text: Column) -> Column:

@@ -1,9 +1,11 @@
 """Exact vector search, retrieval and diversity re-ranking.
 
-Queries meet vectors in blocks: a block of at most ``BLOCK`` queries is sent to
-the tasks that scan the vectors, each batch of vectors keeps its best k of each
-query by one matrix product, and only those are shuffled to be ranked. What is
-sent is bounded by the block, what is shuffled by k a query and batch.
+A stated set of queries meets all vectors in blocks: a block of at most
+``BLOCK_BYTES`` of query vectors is sent to the tasks that scan the vectors, each
+task keeps the best k of each query by matrix products of ``ROWS`` queries at a
+time, and only those are shuffled to be ranked. What is sent is bounded by the
+block, what is shuffled by k a query and task; the vectors are scanned once a
+block (some 40,000 queries of 384 dimensions).
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
 
-BLOCK = 512
+BLOCK_BYTES = 128 << 20
+ROWS = 256
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -81,8 +84,8 @@ def _blocks(queries: DataFrame, qid: str, vector: str) -> Iterator[tuple[np.ndar
     ids, rows = [], []
     for r in queries.select(qid, vector).toLocalIterator():
         ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == BLOCK:
+        rows.append(np.array(r[1], float))
+        if len(ids) * rows[0].nbytes >= BLOCK_BYTES:
             yield np.array(ids), np.array(rows, float)
             ids, rows = [], []
     if ids:
@@ -98,19 +101,24 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = R.TOP_K, qid: str =
 
         def best(batches, shared=shared):
             ids, block = shared.value
+            top = np.full((len(ids), k), -np.inf)
+            named = np.full((len(ids), k), np.iinfo(np.int64).max)
             for b in batches:
                 if not b.num_rows:
                     continue
                 docs = b.column(0).to_numpy()
-                order = np.argsort(docs, kind="stable")
-                scores = block @ np.asarray(b.column(1).flatten()).astype(float).reshape(b.num_rows, -1)[order].T
-                docs = docs[order]
-                if without_self:
-                    scores[ids[:, None] == docs] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                at = np.repeat(np.arange(len(ids)), top.shape[1])
-                keep = np.isfinite(scores[at, top.ravel()])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at][keep]), pa.array(docs[top.ravel()][keep]), pa.array(scores[at, top.ravel()][keep])], schema=schema)
+                matrix = np.asarray(b.column(1).flatten()).astype(float).reshape(b.num_rows, -1)
+                for q in range(0, len(ids), ROWS):
+                    part = slice(q, q + ROWS)
+                    scores = block[part] @ matrix.T
+                    if without_self:
+                        scores[ids[part, None] == docs] = -np.inf
+                    scores = np.concatenate([top[part], scores], axis=1)
+                    names = np.concatenate([named[part], np.broadcast_to(docs, (len(scores), len(docs)))], axis=1)
+                    order = np.lexsort((names, -scores), axis=1)[:, :k]
+                    top[part], named[part] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+            at, place = np.nonzero(np.isfinite(top))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(named[at, place]), pa.array(top[at, place])], schema=schema)
 
         part = vectors.where(F.col(vector).isNotNull()).select(vid, vector).mapInArrow(best, "query_id long, doc_id long, score double")
         found = part if found is None else found.union(part)

@@ -41,6 +41,7 @@ _SCORES = "scores AS (\n" + "\n  UNION ALL ".join(
     for i, (t, (must, may)) in enumerate(R.DOCUMENT_TYPES.items())
 ) + ")"
 
+_TABLED = f"(t IN ({', '.join(map(_quoted, R.TRADE_TYPES))}))::INT * {R.TABLE_BOOST}"
 _CLASSES = f"""source AS (SELECT doc_id, full_text FROM docs), {_LAYOUT}, {_SCORES}, best AS (
   SELECT doc_id, CASE WHEN max(score) > 0 THEN arg_max(document_type, score - ord * 1e-9) ELSE 'UNKNOWN' END AS t, max(score) AS s FROM scores GROUP BY doc_id
 ), boosted AS (
@@ -144,18 +145,47 @@ _TAGS = """all_tags AS (
   UNION ALL SELECT doc_id, 102, risk FROM risks UNION ALL SELECT doc_id, 103, bucket FROM buckets WHERE bucket IS NOT NULL UNION ALL SELECT doc_id, 104, 'Status:Under Review' FROM docs)"""
 _ALL_TAGS = f"WITH {DOCS}, {_CLASSES}, {_TOTAL}, {_RISK}, {_BUCKET}, {_DOMAINS}, {_VENDOR}, {_TAGS}"
 
-_TABLES = """raw AS (
-  SELECT 'DOC_' || l_orderkey AS doc_id, l_orderkey % 4 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, cells) AS i, cells, price FROM (
-    SELECT *, l_extendedprice::DECIMAL(12, 2) AS price, CASE l_orderkey % 4 WHEN 0 THEN ['Part ' || l_partkey, l_quantity::DECIMAL(12, 2)::VARCHAR, l_extendedprice::DECIMAL(12, 2)::VARCHAR]
-      WHEN 1 THEN ['Line ' || l_linenumber || ':', l_returnflag] ELSE [l_partkey::VARCHAR, l_suppkey::VARCHAR, l_quantity::DECIMAL(12, 2)::VARCHAR] END AS cells
-    FROM lineitem WHERE l_orderkey % 4 < 3)
-), totals AS (SELECT doc_id, kind, max(i) AS n, sum(price)::DECIMAL(14, 2)::VARCHAR AS total FROM raw GROUP BY ALL)"""
-_CELLS = f"""{_TABLES}, table_rows AS (
-  SELECT doc_id, CASE WHEN kind = 0 THEN i ELSE i - 1 END AS r, cells FROM raw UNION ALL SELECT doc_id, 0, ['Product:', 'Qty', 'Line Total'] FROM totals WHERE kind = 0
-  UNION ALL SELECT doc_id, n + 1, ['', 'Subtotal', total] FROM totals WHERE kind = 0)"""
+_TABLES = f"""raw AS (
+  SELECT l_orderkey, l_orderkey % 4 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, cells) AS i, cells, price FROM (
+    SELECT *, l_extendedprice::DECIMAL(12, 2) AS price, l_quantity::DECIMAL(12, 2)::VARCHAR AS quantity, CASE l_orderkey % 4 WHEN 0 THEN [' Part  ' || l_partkey, quantity, price::VARCHAR]
+      WHEN 1 THEN ['Line ' || l_linenumber || ':', l_returnflag] WHEN 2 THEN [l_partkey::VARCHAR, l_suppkey::VARCHAR, quantity]
+      ELSE CASE WHEN l_linenumber % 2 = 0 THEN [' Part  ' || l_partkey, quantity] ELSE [' Part  ' || l_partkey, quantity, NULL, 'note'] END END AS cells FROM lineitem)
+), sums AS (SELECT l_orderkey, kind, max(i) AS n, sum(price)::DECIMAL(14, 2)::VARCHAR AS total FROM raw GROUP BY ALL
+), given AS (
+  SELECT l_orderkey, i, cells FROM raw UNION ALL SELECT l_orderkey, 0, ['Product:', 'Qty', 'Line Total'] FROM sums WHERE kind = 0 UNION ALL SELECT l_orderkey, n + 1, ['', 'Subtotal', total] FROM sums WHERE kind = 0
+  UNION ALL SELECT l_orderkey, -1, ['1', '2'] FROM sums WHERE kind = 3 UNION ALL SELECT l_orderkey, 0, ['Item : ', 'Qty', 'Qty', ''] FROM sums WHERE kind = 3
+  UNION ALL SELECT l_orderkey, n + 1, ['', ' '] FROM sums WHERE kind = 3 UNION ALL SELECT l_orderkey, n + 2, [' Grand   Total ', '', total] FROM sums WHERE kind = 3
+), table_rows AS (
+  SELECT 'DOC_' || l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) - 1 AS r, list_transform(cells, lambda c: {_strip("regexp_replace(coalesce(c, ''), '\\s+', ' ', 'g')")}) AS cells FROM given
+)"""
+_BARE = lambda c: _strip(f"regexp_replace({c}, ':\\s*$', '')")
+_UNIQUE = "list_transform(range(1, len(hs) + 1), lambda i: hs[i] || CASE WHEN len(list_filter(hs[1:i], lambda x: x = hs[i])) > 1 THEN '_' || len(list_filter(hs[1:i], lambda x: x = hs[i])) ELSE '' END)"
+#: The rules over the rows: key/value tables by their left cells, the header among the first rows, unique names, and what is below.
+_SHAPES = f"""{_TABLES}, lefts AS (
+  SELECT doc_id, max(len(cells)) AS width, count(*) FILTER (cells[1] <> '') AS n, count(*) FILTER (cells[1] <> '' AND (suffix(cells[1], ':') OR regexp_matches(cells[1], '{R.KEY_CELL}'))) AS good FROM table_rows GROUP BY doc_id
+), kinds AS (SELECT doc_id, width, width = 2 AND n > 0 AND good >= {R.KEY_TABLE_SHARE} * n AS is_key_table FROM lefts
+), judged AS (
+  SELECT doc_id, r, cells, len(f) > 0 AND (len(list_filter(f, lambda c: NOT suffix(c, ':'))) = 0 OR (len(names) > 0 AND len(list_filter(names, lambda c: NOT regexp_matches(c, '{R.NUMBER_CELL}') AND regexp_matches(c, '{R.HEADER_CELL}'))) >= {R.HEADER_SHARE} * len(names))) AS fits
+  FROM (SELECT *, list_filter(cells, lambda c: c <> '') AS f, list_filter(list_transform(cells, lambda c: {_BARE('c')}), lambda c: c <> '') AS names FROM table_rows)
+), found AS (SELECT doc_id, coalesce(min(r) FILTER (r < {R.HEADER_ROWS} AND fits) + 1, 0) AS head FROM judged GROUP BY doc_id
+), named AS (
+  SELECT doc_id, head, CASE WHEN head > 0 THEN list_transform(cells, lambda c: coalesce(nullif({_BARE('c')}, ''), 'Column')) ELSE list_transform(range(1, greatest(width, 1) + 1), lambda i: 'Column_' || i) END AS hs
+  FROM kinds JOIN found USING (doc_id) LEFT JOIN table_rows t USING (doc_id) WHERE NOT is_key_table AND (head = 0 AND t.r = 0 OR t.r = head - 1)
+), once AS (SELECT doc_id, head, {_UNIQUE} AS hs FROM named
+), headed AS (SELECT doc_id, head, {_UNIQUE} AS hs FROM once
+), body AS (
+  SELECT doc_id, r, hs, c, len(list_filter(c, lambda x: lower(x) IN ({', '.join(map(_quoted, R.FOOTER_LABELS))}))) > 0 AS is_footer, list_filter(c, lambda x: x <> '') AS f
+  FROM (SELECT doc_id, r, hs, list_transform(range(1, len(hs) + 1), lambda i: coalesce(cells[i], '')) AS c FROM headed JOIN table_rows USING (doc_id) WHERE r >= head) WHERE len(list_filter(c, lambda x: x <> '')) > 0
+), footers AS (
+  SELECT doc_id, r, f[p] AS label, coalesce(f[p + 1], f[2], '') AS value FROM (SELECT *, list_position(list_transform(f, lambda x: lower(x) IN ({', '.join(map(_quoted, R.FOOTER_LABELS))})), true) AS p FROM body WHERE is_footer)
+), kv AS (
+  SELECT doc_id, key, arg_max(value, r) AS value, min(r) AS r FROM (SELECT doc_id, r, {_BARE("coalesce(cells[1], '')")} AS key, coalesce(cells[2], '') AS value FROM table_rows JOIN kinds USING (doc_id) WHERE is_key_table) WHERE key <> '' GROUP BY doc_id, key
+), lines AS (
+  SELECT doc_id, r, {_strip("array_to_string(list_transform(range(1, len(hs) + 1), lambda i: hs[i] || ': ' || c[i]), ' | ')")} AS t FROM body WHERE NOT is_footer
+)"""
 
 _DOT = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
-_PAIRED = f"scored AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_DOT('q.embedding', 'v.embedding')} AS s FROM embeddings q, embeddings v WHERE q.vec_id < 10)"
+_PAIRED = f"scored AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_DOT('q.embedding', 'v.embedding')} AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)"
 _META = "meta AS (SELECT e.vec_id AS doc_id, 'type' || label AS document_type, 'Tag' || (vec_id %% 3) AS tag, trim(coalesce(text, ''), chr(10) || chr(9) || chr(13) || ' ') AS content FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)".replace("%%", "%")
 _POOL = "pool AS (SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM scored QUALIFY rank <= 20)"
 
@@ -190,6 +220,7 @@ ORACLES = {
     "doc_layout_hints": f"WITH {DOCS}, source AS (SELECT doc_id, full_text FROM docs UNION ALL SELECT doc_id::VARCHAR, coalesce(text, '') FROM documents), {_LAYOUT} SELECT * EXCLUDE (full_text, avg_line_length, colon_ratio), round(avg_line_length, 6) AS avg_line_length, round(colon_ratio, 6) AS colon_ratio FROM layout",
     "doc_tier1_scores": f"WITH {DOCS}, {_SCORES} SELECT doc_id, document_type, round(score, 6) AS score FROM scores",
     "doc_classify": f"WITH {DOCS}, {_CLASSES} SELECT doc_id, document_type, round(class_confidence, 6) AS class_confidence FROM classes",
+    "doc_classify_tables": f"WITH {DOCS}, {_CLASSES.replace('least(1.0, s + CASE', f'least(1.0, s + {_TABLED} + CASE').replace('THEN NULL WHEN colon_ratio', "THEN NULL WHEN has_currency THEN 'FINANCIAL_DOCUMENT' WHEN colon_ratio")} SELECT doc_id, true AS has_tables, document_type, round(class_confidence, 6) AS class_confidence FROM classes",
     "known_docs": f"WITH {DOCS}, {_CLASSES} SELECT doc_id, document_type FROM classes WHERE document_type <> 'UNKNOWN' AND class_confidence >= 0.4",
     "kv_pairs": f"WITH {DOCS}, {_pairs(3)} SELECT * FROM pairs",
     "profile_dates_amounts": f"""WITH {DOCS}, dates AS (SELECT doc_id, i, d FROM (SELECT doc_id, unnest(ds) AS d, unnest(range(1, len(ds) + 1)) AS i FROM (
@@ -206,16 +237,21 @@ ORACLES = {
     "line_items": f"WITH {DOCS}, {_ITEMS} SELECT * FROM line_items",
     "total_validation": f"{_WITH_FIELDS}, {_ITEMS}, {_SCHEMA} SELECT doc_id, round(ext_total, 2) AS ext_total, round(calc_total, 2) AS calc_total, round(CASE WHEN abs(calc_total - ext_total) > 0.01 THEN calc_total ELSE ext_total END, 2) AS total_amount FROM final",
     "completeness_score": f"{_WITH_FIELDS}, {_ITEMS}, {_SCHEMA} SELECT doc_id, order_id, customer_id, customer_name, order_date, round(0.4 + CASE WHEN every THEN 0.2 ELSE 0 END + CASE WHEN abs(calc_total - ext_total) <= 0.01 THEN 0.2 ELSE 0 END + CASE WHEN order_id IS NULL THEN 0 ELSE 0.1 END + CASE WHEN customer_name IS NULL THEN 0 ELSE 0.1 END, 4)::DOUBLE AS confidence FROM final",
-    "table_cells_clean": f"WITH {_CELLS} SELECT doc_id, r::INT AS row, unnest(range(0, len(cells)))::INT AS col, unnest(cells) AS cell FROM table_rows",
-    "kv_table_detect": f"WITH {_TABLES} SELECT doc_id, kind = 1 AS is_key_table FROM totals",
-    "table_header_infer": f"WITH {_TABLES} SELECT doc_id, (kind = 0)::INT AS at, unnest(range(0, 3))::INT AS pos, unnest(CASE WHEN kind = 0 THEN ['Product', 'Qty', 'Line Total'] ELSE ['Column_1', 'Column_2', 'Column_3'] END) AS header FROM totals WHERE kind <> 1",
-    "table_footer_totals": f"WITH {_TABLES} SELECT doc_id, 'Subtotal' AS label, total AS value FROM totals WHERE kind = 0",
-    "table_normalise": f"""WITH {_TABLES}, kv AS (SELECT doc_id, cells[1][:-2] AS key, arg_max(cells[2], i) AS value, min(i) AS i FROM raw WHERE kind = 1 GROUP BY ALL),
-    texts AS (
-      SELECT doc_id, 'key_value' AS table_type, count(*)::INT AS n_headers, 1 AS n_rows, string_agg(key || ': ' || value, chr(10) ORDER BY i) AS t FROM kv GROUP BY doc_id
-      UNION ALL SELECT doc_id, 'data', 3, count(*)::INT, string_agg(CASE kind WHEN 0 THEN 'Product: ' || cells[1] || ' | Qty: ' || cells[2] || ' | Line Total: ' || cells[3] ELSE 'Column_1: ' || cells[1] || ' | Column_2: ' || cells[2] || ' | Column_3: ' || cells[3] END, chr(10) ORDER BY i)
-        || CASE WHEN kind = 0 THEN chr(10) || 'Subtotal: ' || any_value(total) ELSE '' END FROM raw JOIN totals USING (doc_id, kind) WHERE kind <> 1 GROUP BY doc_id, kind)
+    "table_cells_clean": f"WITH {_TABLES} SELECT doc_id, r::INT AS row, unnest(range(0, len(cells)))::INT AS col, unnest(cells) AS cell FROM table_rows",
+    "kv_table_detect": f"WITH {_SHAPES} SELECT doc_id, is_key_table FROM kinds",
+    "table_header_infer": f"""WITH {_SHAPES} SELECT doc_id, head::INT AS "at", unnest(range(0, len(hs)))::INT AS pos, unnest(hs) AS header FROM headed""",
+    "table_footer_totals": f"WITH {_SHAPES} SELECT doc_id, label, value FROM footers",
+    "table_normalise": f"""WITH {_SHAPES}, texts AS (
+      SELECT doc_id, 'key_value' AS table_type, count(*)::INT AS n_headers, 1 AS n_rows, string_agg(rtrim(key || ': ' || value), chr(10) ORDER BY r) AS t FROM kv GROUP BY doc_id
+      UNION ALL SELECT doc_id, 'data', len(any_value(hs))::INT, count(t)::INT, string_agg(coalesce(t, rtrim(label || ': ' || value)), chr(10) ORDER BY label IS NOT NULL, r) FROM headed LEFT JOIN (SELECT doc_id, r, t, NULL AS label, NULL AS value FROM lines UNION ALL SELECT doc_id, r, NULL, label, value FROM footers) USING (doc_id) GROUP BY doc_id)
     SELECT doc_id, table_type, n_headers, n_rows, md5(t) AS text_md5 FROM texts""",
+    "table_entities": f"""WITH {_SHAPES}, texts AS (
+      SELECT doc_id, t, min(r) AS r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS nth FROM lines) WHERE nth <= {R.TABLE_ROWS} AND t <> '' GROUP BY doc_id, t
+      UNION ALL SELECT doc_id, string_agg(key || ': ' || value, ' | ' ORDER BY r), 0 FROM kv GROUP BY doc_id
+    ), joined AS (SELECT doc_id, count(*)::INT AS n_rows, md5(string_agg(t, chr(10) ORDER BY r)) AS rows_md5 FROM texts GROUP BY doc_id
+    ), sums_of AS (SELECT doc_id, string_agg(value, ',' ORDER BY r) AS totals FROM footers GROUP BY doc_id
+    ), pairs_of AS (SELECT doc_id, count(*)::INT AS n_pairs FROM kv WHERE value <> '' GROUP BY doc_id)
+    SELECT doc_id, n_rows, rows_md5, coalesce(totals, '') AS totals, coalesce(n_pairs, 0) AS n_pairs FROM joined LEFT JOIN sums_of USING (doc_id) LEFT JOIN pairs_of USING (doc_id)""",
     "page_chunks_boundary": f"WITH RECURSIVE {_CHUNK_RULE % {'cut': _CUT}} SELECT doc_id, pos, md5(piece) AS text_md5 FROM page_parts",
     "char_chunks": "SELECT doc_id, (o // 450 + 1)::INT AS pos, md5(substr(text, o + 1, 500)) AS text_md5 FROM documents, unnest(range(0, CASE WHEN length(text) <= 500 THEN 1 ELSE length(text) END, 450)) AS t(o) WHERE text <> ''",
     "structured_sink": "SELECT doc_id, (o // 600 + 1)::INT AS pos, least(500, length(text) - o)::INT AS n_chars FROM documents, unnest(range(0, length(text), 600)) AS t(o) WHERE text <> ''",
@@ -237,12 +273,13 @@ ORACLES = {
       SELECT * FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY conv_id""",
     "chat_history": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "chat_clear": "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id <> 7 GROUP BY conv_id",
-    "metadata_upsert": "SELECT doc_id, source, 'new' AS status FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, source, 'old' FROM documents WHERE doc_id % 3 > 0 AND doc_id % 5 <> 0",
+    "metadata_upsert": "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS status FROM documents",
     "metadata_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "metadata_lookup": "SELECT doc_id, source, lang FROM documents WHERE doc_id = 11",
-    "index_insert_absent": "SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, -1 FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 2 <> 0",
+    "index_insert_absent": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label ELSE -1 END AS label FROM embeddings",
     "index_rebuild_count": "SELECT count(*) AS n FROM embeddings WHERE embedding IS NOT NULL",
-    "upload_validation": """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'tiff' WHEN 2 THEN '' WHEN 3 THEN 'jpeg' ELSE 'docx' END AS extension, doc_id % 5 IN (0, 3) AS ok FROM documents""",
+    "upload_validation": r"""SELECT doc_id, extension, extension IN ('pdf', 'png', 'jpg', 'jpeg') AS ok FROM (
+      SELECT doc_id, lower(regexp_extract(source || ['.PDF', '.tiff', '', '.scan.Jpeg', '.docx'][doc_id % 5 + 1], '\.([^./]*)$', 1)) AS extension FROM documents)""",
     "page_concat": r"""SELECT doc_id, length(t)::INT AS char_count, len(regexp_extract_all(t, '\S+'))::INT AS word_count, 2 AS page_count, CASE WHEN t = '' THEN 'empty' ELSE 'success' END AS ocr_status, md5(t) AS text_md5 FROM (
       SELECT doc_id, CASE WHEN a = '' OR b = '' THEN a || b ELSE a || chr(10) || chr(10) || b END AS t FROM (
         SELECT doc_id, regexp_replace(left(text, length(text) // 2), '^\s+|\s+$', '', 'g') AS a, regexp_replace(substr(text, length(text) // 2 + 1), '^\s+|\s+$', '', 'g') AS b FROM documents WHERE text IS NOT NULL))""",

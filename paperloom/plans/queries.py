@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
-from paperloom.functions.text import safe_lower, strip
+from paperloom.functions.text import let, safe_lower, strip
 from paperloom.operators import chat, chunks, classify, entities, items, tables, tags, vectors
 from paperloom.plans.rendered import raw_tables, rendered
 from paperloom.sources import ingest, store
@@ -138,7 +138,8 @@ def completeness_score(spark, sf_dir):
 
 @query
 def doc_summary(spark, sf_dir):
-    return _normalised(spark, sf_dir).select("doc_id", F.md5(chunks.summary_text()).alias("summary_md5"), F.char_length(chunks.summary_text()).alias("n_chars"))
+    text = let(chunks.summary_text(), lambda t: F.struct(F.md5(t).alias("summary_md5"), F.char_length(t).alias("n_chars")))
+    return _normalised(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", "t.*")
 
 
 @query
@@ -235,7 +236,7 @@ def mean_pool_vectors(spark, sf_dir):
 
 def _hits(spark, sf_dir, k, **more):
     e = _table(spark, sf_dir, "embeddings")
-    return vectors.search(e.where("vec_id < 10"), e, k, **more).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+    return vectors.search(e.where("vec_id % 20 = 0"), e, k, **more).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query
@@ -252,7 +253,7 @@ def _retriever(spark, sf_dir, doc_filter):
     e = _table(spark, sf_dir, "embeddings")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     metadata = e.join(docs, e.vec_id == docs.doc_id, "left").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("type"), F.col("label").cast("string")).alias("document_type"), F.array(F.concat(F.lit("Tag"), (F.col("vec_id") % 3).cast("string"))).alias("tags"), strip(F.coalesce("text", F.lit(""))).alias("cleaned_text"))
-    return vectors.Retriever(e.select(F.col("vec_id").alias("doc_id"), "embedding"), metadata, doc_filter=doc_filter), e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.Retriever(e.select(F.col("vec_id").alias("doc_id"), "embedding"), metadata, doc_filter=doc_filter), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query
@@ -303,7 +304,7 @@ def chat_clear(spark, sf_dir):
 @query
 def metadata_upsert(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.lit("old").alias("status"))
-    return store.upsert(docs.where("doc_id % 3 > 0"), docs.where("doc_id % 5 = 0").withColumn("status", F.lit("new")))
+    return store.upsert(docs.where("doc_id % 3 > 0"), docs.where("doc_id % 5 = 0 or doc_id % 3 = 0").withColumn("status", F.lit("new")))
 
 
 @query
@@ -319,7 +320,7 @@ def metadata_lookup(spark, sf_dir):
 @query
 def index_insert_absent(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    return store.insert_absent(e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0").withColumn("label", F.lit(-1))).select("vec_id", "label")
+    return store.insert_absent(e.where("vec_id % 2 = 0"), e.where("vec_id % 3 = 0 or vec_id % 2 = 1").withColumn("label", F.lit(-1))).select("vec_id", "label")
 
 
 @query
@@ -343,5 +344,22 @@ def page_concat(spark, sf_dir):
 
 @query
 def structured_sink(spark, sf_dir):
-    parts = chunks.exploded(_table(spark, sf_dir, "documents"), chunks.char_chunks(F.col("text"), 600, 0), "doc_id")
-    return parts.select("doc_id", "pos", F.char_length(F.substring("text", 1, R.STORED_CHUNK)).alias("n_chars"))
+    """What is persisted of each document, read back from its JSON."""
+    parts = F.transform(chunks.char_chunks(F.col("text"), 600, 0), lambda t, i: F.struct(F.format_string("c%d", i + 1).alias("chunk_id"), F.lit("page_text").alias("chunk_type"), (i + 1).alias("page_number"), t.alias("text")))
+    stored = store.structured(_table(spark, sf_dir, "documents").select("doc_id", "source", parts.alias("chunks")))
+    back = stored.select("doc_id", F.explode(F.from_json("json", "struct<source string, chunks array<struct<chunk_id string, page int, text string>>>")["chunks"]).alias("c"))
+    return back.select("doc_id", F.col("c.page").alias("pos"), F.char_length("c.text").alias("n_chars"))
+
+
+@query
+def doc_classify_tables(spark, sf_dir):
+    """Classification of documents that come with tables."""
+    docs = rendered(spark, sf_dir).join(raw_tables(spark, sf_dir), "doc_id", "left")
+    return classify.classified(docs, tables="raw_tables").select("doc_id", "has_tables", "document_type", F.round("class_confidence", 6).alias("class_confidence"))
+
+
+@query
+def table_entities(spark, sf_dir):
+    """What tables add to a document's entities: rows as strings, and footer values."""
+    docs = tables.normalise_tables(raw_tables(spark, sf_dir)).withColumns({"totals": F.array().cast("array<string>"), "key_value_pairs": F.array().cast(classify.PAIRS)})
+    return entities.with_table_entities(docs, "tables").select("doc_id", F.size("table_entities").alias("n_rows"), F.md5(F.array_join("table_entities", "\n")).alias("rows_md5"), F.array_join("totals", ",").alias("totals"), F.size("key_value_pairs").alias("n_pairs"))

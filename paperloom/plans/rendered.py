@@ -52,15 +52,20 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and raw_tables: an order's lines as a table with header and footer; a key/value table; a table without a header."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 4 < 3")
-    cells = F.array(F.concat(F.lit(" Part  "), F.col("l_partkey").cast("string")), F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
+    """doc_id and raw_tables: an order's lines as a table with header and footer; as a key/value table; without a header; or ragged, with a blank row and a footer in its first column."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kind, text = F.col("l_orderkey") % 4, lambda c, t: F.col(c).cast(t).cast("string")
+    part = F.concat(F.lit(" Part  "), F.col("l_partkey").cast("string"))
+    cells = F.array(part, text("l_quantity", "decimal(12,2)"), text("l_extendedprice", "decimal(12,2)"))
     kv = F.array(F.concat(F.lit("Line "), F.col("l_linenumber").cast("string"), F.lit(":")), F.col("l_returnflag"))
-    bare = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("decimal(12,2)").cast("string"))
-    row = F.when(F.col("l_orderkey") % 4 == 0, cells).when(F.col("l_orderkey") % 4 == 1, kv).otherwise(bare)
+    bare = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), text("l_quantity", "decimal(12,2)"))
+    ragged = F.when(F.col("l_linenumber") % 2 == 0, F.array(part, text("l_quantity", "decimal(12,2)"))).otherwise(F.array(part, text("l_quantity", "decimal(12,2)"), F.lit(None).cast("string"), F.lit("note")))
+    row = F.when(kind == 0, cells).when(kind == 1, kv).when(kind == 2, bare).otherwise(ragged)
     ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("cells"))))
     body = lines.groupBy("l_orderkey").agg(F.transform(ordered, lambda x: x["cells"]).alias("body"), F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("decimal(14,2)").cast("string").alias("total"))
-    header = F.array(F.array(F.lit("Product:"), F.lit("Qty"), F.lit("Line Total")))
-    footer = F.array(F.array(F.lit(""), F.lit("Subtotal"), F.col("total")))
-    table = F.when(F.col("l_orderkey") % 4 == 0, F.concat(header, F.col("body"), footer)).otherwise(F.col("body"))
+    strings = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    with_footer = F.concat(F.array(strings("Product:", "Qty", "Line Total")), "body", F.array(F.array(F.lit(""), F.lit("Subtotal"), F.col("total"))))
+    uneven = F.concat(F.array(strings("1", "2"), strings("Item : ", "Qty", "Qty", "")), "body", F.array(strings("", " "), F.array(F.lit(" Grand   Total "), F.lit(""), F.col("total"))))
+    kind = F.col("l_orderkey") % 4
+    table = F.when(kind == 0, with_footer).when(kind == 3, uneven).otherwise(F.col("body"))
     return body.select(F.concat(F.lit("DOC_"), F.col("l_orderkey").cast("string")).alias("doc_id"), F.array(table).alias("raw_tables"))

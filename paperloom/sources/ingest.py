@@ -18,7 +18,8 @@ PAGE = "struct<page_number int, text string, raw_tables array<array<array<string
 
 def extension(filename: Column) -> Column:
     """What follows the last dot, in lower case; empty without a dot."""
-    return F.when(F.contains(filename, F.lit(".")), F.lower(F.substring_index(filename, ".", -1))).otherwise("")
+    name = F.substring_index(filename, "/", -1)
+    return F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("")
 
 
 def accepted(filename: Column) -> Column:

@@ -15,14 +15,17 @@ def ingest(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], table:
     """Runs ``analyse`` on what arrives and upserts its rows by doc_id into a Parquet table.
 
     Each batch writes a version of its own beside the last; a reader takes the
-    highest. A batch that is run again after a failure writes its version anew.
+    highest. A batch that is run again after a failure writes its version anew; one
+    whose predecessor's version is gone fails rather than lose rows.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = analyse(batch)
         last = f"{table}/v={number - 1}"
-        if number and exists(spark, last):
+        if number and not exists(spark, last):
+            raise RuntimeError(f"{last} is missing: its rows would be lost")
+        if number:
             rows = upsert(spark.read.parquet(last), rows)
         rows.write.mode("overwrite").parquet(f"{table}/v={number}")
 

@@ -157,7 +157,7 @@ def test_dates_cap_before_repeats(value):
     assert value("01/02/2020 2020-01-01 2020-01-01", classify.detected_dates) == ["2020-01-01", "01/02/2020"]
 
 
-@pytest.mark.parametrize(("name", "ext", "ok"), [("a.PDF", "pdf", True), ("noext", "", False), ("a.b.tiff", "tiff", False), ("x.Jpeg", "jpeg", True)])
+@pytest.mark.parametrize(("name", "ext", "ok"), [("a.PDF", "pdf", True), ("noext", "", False), ("a.b.tiff", "tiff", False), ("x.Jpeg", "jpeg", True), ("/a.v1/report", "", False)])
 def test_upload(value, name, ext, ok):
     assert value(name, ingest.extension) == ext and value(name, ingest.accepted) is ok
 
