@@ -111,6 +111,10 @@ FOOTER_LABELS = ("totalprice", "total price", "grand total", "subtotal", "amount
 KEY_TABLE_SHARE, HEADER_SHARE, HEADER_ROWS = 0.7, 0.6, 4
 FUZZY_THRESHOLD, FUZZY_BONUS = 0.6, 0.9
 TABLE_ROWS = 50
+# Labels of the columns with a table's products, in order of preference, and how many a header shows.
+PRODUCT_LABELS = ("product name", "product", "description")
+QUANTITY_LABELS = ("quantity", "qty")
+HEADER_PRODUCTS = 10
 
 # Line items.
 ITEM_LABELS = r"(?i)(Product:|Quantity:|Unit\s*Price:|Total:)"

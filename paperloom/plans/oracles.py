@@ -215,6 +215,19 @@ _LAST = lambda p: f"(CASE WHEN instr(reverse(w), {p}) > 0 THEN length(w) - instr
 _BEST = f"greatest({_LAST(chr(39) + ' .' + chr(39))}, {_LAST('chr(10) || ' + chr(39) + '.' + chr(39))}, {_LAST('chr(10) || chr(10)')})"
 _CUT = f"(CASE WHEN {_BEST} >= length(w) // 2 THEN least(length(w), {_BEST} + 2) ELSE length(w) END)"
 
+_HEADER_FIELDS = ("order_id", "customer_name", "customer_id", "country", "city", "date", "total_amount")
+_HEADER = f"""header_values AS (
+  SELECT doc_id, field, arg_min(value, place) AS v FROM (
+    SELECT doc_id, field, value, 0 AS place FROM enriched WHERE value IS NOT NULL
+    UNION ALL SELECT doc_id, replace(lower(key), ' ', '_'), value, 1 FROM pairs WHERE {_strip('value')} <> '')
+  GROUP BY doc_id, field
+), header_fields AS (
+  SELECT doc_id, {', '.join(f"max(v) FILTER (field = '{f}') AS {f}" for f in _HEADER_FIELDS)} FROM header_values GROUP BY doc_id
+), header_items AS (
+  SELECT doc_id, string_agg(product || CASE WHEN quantity <> 0 THEN ' x' || quantity::VARCHAR ELSE '' END, ', ' ORDER BY pos) AS products
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM line_items WHERE product <> '') WHERE r <= {R.HEADER_PRODUCTS} GROUP BY doc_id
+)"""
+
 ORACLES = {
     "rendered_docs": DUCKDB,
     "doc_layout_hints": f"WITH {DOCS}, source AS (SELECT doc_id, full_text FROM docs UNION ALL SELECT doc_id::VARCHAR, coalesce(text, '') FROM documents), {_LAYOUT} SELECT * EXCLUDE (full_text, avg_line_length, colon_ratio), round(avg_line_length, 6) AS avg_line_length, round(colon_ratio, 6) AS colon_ratio FROM layout",
@@ -237,6 +250,10 @@ ORACLES = {
     "line_items": f"WITH {DOCS}, {_ITEMS} SELECT * FROM line_items",
     "total_validation": f"{_WITH_FIELDS}, {_ITEMS}, {_SCHEMA} SELECT doc_id, round(ext_total, 2) AS ext_total, round(calc_total, 2) AS calc_total, round(CASE WHEN abs(calc_total - ext_total) > 0.01 THEN calc_total ELSE ext_total END, 2) AS total_amount FROM final",
     "completeness_score": f"{_WITH_FIELDS}, {_ITEMS}, {_SCHEMA} SELECT doc_id, order_id, customer_id, customer_name, order_date, round(0.4 + CASE WHEN every THEN 0.2 ELSE 0 END + CASE WHEN abs(calc_total - ext_total) <= 0.01 THEN 0.2 ELSE 0 END + CASE WHEN order_id IS NULL THEN 0 ELSE 0.1 END + CASE WHEN customer_name IS NULL THEN 0 ELSE 0.1 END, 4)::DOUBLE AS confidence FROM final",
+    "header_chunk": f"""{_WITH_FIELDS}, {_ITEMS}, {_HEADER} SELECT doc_id, concat_ws(chr(10), 'Document: ' || doc_id, 'Type: ' || document_type, 'Order ID: ' || order_id,
+      coalesce('Customer: ' || customer_name || coalesce(' (' || customer_id || ')', ''), 'Customer: (' || customer_id || ')'),
+      'Country: ' || country, 'City: ' || city, 'Date: ' || "date", 'Total: ' || total_amount, 'Products: ' || products) AS text
+      FROM classes LEFT JOIN header_fields USING (doc_id) LEFT JOIN header_items USING (doc_id)""",
     "table_cells_clean": f"WITH {_TABLES} SELECT doc_id, r::INT AS row, unnest(range(0, len(cells)))::INT AS col, unnest(cells) AS cell FROM table_rows",
     "kv_table_detect": f"WITH {_SHAPES} SELECT doc_id, is_key_table FROM kinds",
     "table_header_infer": f"""WITH {_SHAPES} SELECT doc_id, head::INT AS "at", unnest(range(0, len(hs)))::INT AS pos, unnest(hs) AS header FROM headed""",

@@ -147,6 +147,13 @@ def header_chunk(spark, sf_dir):
     return _normalised(spark, sf_dir).select("doc_id", chunks.header_text().alias("text"))
 
 
+@query
+def header_products(spark, sf_dir):
+    """The products that a header chunk takes from a document's tables."""
+    docs = tables.normalise_tables(raw_tables(spark, sf_dir))
+    return docs.select("doc_id", tables.products(F.col("tables")).alias("products"))
+
+
 @query
 def doc_chunks(spark, sf_dir):
     out = chunks.document_chunks(_normalised(spark, sf_dir))

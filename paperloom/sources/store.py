@@ -59,3 +59,18 @@ def structured(df: DataFrame) -> DataFrame:
 def stored_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and text of a folder of ``{doc_id}.txt``."""
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
+
+
+def write_texts(df: DataFrame, path: str) -> None:
+    """Writes doc_id and text as a Parquet table, one row a document rather than one file each."""
+    df.select("doc_id", "text").write.mode("overwrite").parquet(path)
+
+
+def write_structured(df: DataFrame, path: str) -> None:
+    """Writes what ``structured`` keeps, one JSON object a line with its doc_id inside."""
+    structured(df).select("json").write.mode("overwrite").text(path)
+
+
+def write_vectors(df: DataFrame, path: str) -> None:
+    """Writes doc_id and embedding, without the ones that have no embedding, as a Parquet table in order of their keys."""
+    rebuilt(df.select("doc_id", "embedding"), "doc_id").write.mode("overwrite").parquet(path)

@@ -119,6 +119,44 @@ def test_table_entities(spark):
     assert [c["chunk_type"] for c in chunks.document_chunks(done, tables="tables").orderBy("chunk_id").collect()] == ["document_header", "page_text", "table", "table", "entity_summary"]
 
 
+def test_header_takes_products_from_tables_first(spark):
+    data = [["Description", "Quantty", "Code"], ["Nut", "3", "5"], ["", "4", "5"], ["Bolt", None, "5"]] + [[f"P{i}", "1", "5"] for i in range(20)]
+    raw = [[["Name:", "Bob"], ["City:", "Rome"]], [["Colour", "Size"], ["red", "big"]], data]
+    rows = [("a", "Product: X\nQuantity: 2", raw), ("b", "Product: X\nQuantity: 2", []), ("c", None, None)]
+    df = spark.createDataFrame(rows, f"doc_id string, full_text string, raw_tables array<{TABLE}>")
+    df = tables.normalise_tables(df).withColumn("document_type", F.lit("INVOICE"))
+    got = {r["doc_id"]: r["products"] for r in df.select("doc_id", tables.products(F.col("tables")).alias("products")).collect()}
+    assert got == {"a": ", ".join(["Nut x3", "Bolt"] + [f"P{i} x1" for i in range(8)]), "b": None, "c": None}
+    done = items.normalised(entities.extracted(df, tables="tables"))
+    headers = {r["doc_id"]: r["text"] for r in chunks.document_chunks(done, tables="tables").where("chunk_type = 'document_header'").collect()}
+    assert headers["a"].endswith("Products: " + got["a"]) and headers["b"].endswith("Products: X x2.0") and "Products" not in headers["c"]
+
+
+def test_products_of_all_documents_by_brute_force(spark):
+    from paperloom.plans.queries import header_products
+    from paperloom.plans.rendered import raw_tables
+
+    sf = "/root/testdata/sf0.001"
+    expected = {}
+    for doc, (rows,) in raw_tables(spark, sf).collect():
+        if int(doc[4:]) % 4 == 0:  # a header, the lines and a subtotal
+            expected[doc] = ", ".join(f"{' '.join(p.split())} x{q}" for p, q, _ in rows[1:-1][:10])
+    got = {r["doc_id"]: r["products"] for r in header_products(spark, sf).collect()}
+    assert {d: x for d, x in got.items() if int(d[4:]) % 4 == 0} == expected
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x"), ("b", None)], "doc_id string, text string")
+    store.write_texts(df, f"{tmp_path}/texts")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/texts").collect()), key=repr) == [("a", "x"), ("b", None)]
+    chunk = F.struct(F.lit("a_1").alias("chunk_id"), F.lit("page_text").alias("chunk_type"), F.lit(1).alias("page_number"), F.repeat(F.lit("y"), 600).alias("text"))
+    store.write_structured(df.select("doc_id", F.array(chunk).alias("chunks")), f"{tmp_path}/structured")
+    back = spark.read.json(f"{tmp_path}/structured").orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in back] == ["a", "b"] and len(back[0]["chunks"][0]["text"]) == 500
+    store.write_vectors(spark.createDataFrame([("a", [1.0]), ("b", None)], "doc_id string, embedding array<float>"), f"{tmp_path}/vectors")
+    assert [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/vectors").collect()] == ["a"]
+
+
 def test_fuzzy_column(spark):
     cases = [("product name", ["Product", "Qty"], "Product"), ("quantity", ["Quantty"], "Quantty"), ("zzz", ["Product"], None), (None, ["a"], None), ("q", None, None)]
     df = spark.createDataFrame([(q, c) for q, c, _ in cases], "q string, c array<string>").select(tables.fuzzy_column("q", "c").alias("x"))
