@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
-from paperloom.functions.text import blank, find_all, hits, let, lines, safe, safe_lower, strip, title
+from paperloom.functions.arrays import nth
+from paperloom.functions.keywords import hits, marks
+from paperloom.functions.text import blank, find_all, let, lines, safe, strip, title
 
 
 def layout(text: Column) -> Column:
@@ -59,19 +61,32 @@ def pairs(text: Column, shortest: int = 1, cap: int | None = R.PAIR_CAP) -> Colu
     if cap:
         good = F.slice(good, 1, cap)
 
-    def numbered(ps: Column) -> Column:
-        names = F.transform(ps, lambda p: p["key"])
-        return let(names, lambda ks: F.transform(ps, lambda p, i: F.struct(F.concat_ws(" ", p["key"], F.nullif(F.size(F.filter(F.slice(ks, F.lit(1), i + 1), lambda k: k == p["key"])), F.lit(1)).cast("string")).alias("key"), p["value"].alias("value"))))
+    # A key's number among its equals follows it, unless a text has a key like "Total 2" of its own: then the pairs with that stem are numbered one after the other.
+    key = lambda p: p["key"]
+    named = lambda ps: F.zip_with(ps, nth(F.transform(ps, key)), lambda p, n: F.struct(F.concat_ws(" ", p["key"], F.when(n > 1, n.cast("string"))).alias("key"), p["value"].alias("value")))
+    clash = lambda ns: F.size(F.array_distinct(F.transform(ns, key))) < F.size(ns)
+    return let(good, lambda ps: let(named(ps), lambda ns: F.when(clash(ns), _renumbered(ps, ns)).otherwise(ns)))
 
-    def add(done: Column, p: Column) -> Column:
-        taken = lambda key: F.exists(done, lambda d: d["key"] == key)
-        free = F.element_at(F.filter(F.sequence(F.lit(2), F.size(done) + 2), lambda i: ~taken(F.concat_ws(" ", p["key"], i.cast("string")))), 1)
-        key = F.when(taken(p["key"]), F.concat_ws(" ", p["key"], free.cast("string"))).otherwise(p["key"])
-        return F.concat(done, F.array(F.struct(key.alias("key"), p["value"].alias("value"))))
 
-    # A count of the same key so far gives its number, unless a text has a key like "Total 2" of its own: then the next free number is looked for.
-    distinct = lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: p["key"]))) == F.size(ps)
-    return let(good, lambda ps: let(numbered(ps), lambda ns: F.when(distinct(ns), ns).otherwise(F.aggregate(ps, F.array().cast(PAIRS), add))))
+def _renumbered(ps: Column, ns: Column) -> Column:
+    """``ns``, the pairs with their numbers, but those of a stem that gives some name twice with the next number that is free where they stand."""
+    stem = lambda k: F.regexp_replace(k, r"( \d+)+$", "")
+    twice = F.transform(F.filter(F.zip_with(ns, nth(F.transform(ns, lambda p: p["key"])), lambda p, n: F.struct(p["key"].alias("key"), n.alias("n"))), lambda x: x["n"] > 1), lambda x: stem(x["key"]))
+
+    def free(done: Column, p: Column) -> Column:
+        taken = lambda name: F.exists(done, lambda d: d["key"] == name)
+        number = F.element_at(F.filter(F.sequence(F.lit(2), F.size(done) + 2), lambda i: ~taken(F.concat_ws(" ", p["key"], i.cast("string")))), 1)
+        name = F.when(taken(p["key"]), F.concat_ws(" ", p["key"], number.cast("string"))).otherwise(p["key"])
+        return F.concat(done, F.array(F.struct(p["at"].alias("at"), name.alias("key"), p["value"].alias("value"))))
+
+    def mended(stems: Column) -> Column:
+        placed = lambda of: F.transform(of, lambda p, i: F.struct(i.alias("at"), p["key"].alias("key"), p["value"].alias("value")))
+        theirs = F.filter(placed(ps), lambda p: F.array_contains(stems, stem(p["key"])))
+        others = F.filter(F.transform(F.arrays_zip(placed(ns).alias("n"), ps.alias("p")), lambda x: x), lambda x: ~F.array_contains(stems, stem(x["p"]["key"])))
+        again = F.aggregate(theirs, F.array().cast("array<struct<at int, key string, value string>>"), free)
+        return F.transform(F.array_sort(F.concat(F.transform(others, lambda x: x["n"]), again)), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+
+    return let(F.array_distinct(twice), mended)
 
 
 def value_of(kv: Column, key: str) -> Column:
@@ -79,18 +94,19 @@ def value_of(kv: Column, key: str) -> Column:
     return blank(F.get(F.filter(kv, lambda p: p["key"] == key), F.lit(0))["value"])
 
 
-def type_scores(lower: Column) -> list[tuple[str, Column]]:
-    """For each type its share of the points that it can reach, 0 without a required word."""
+def type_scores(found: Column) -> list[tuple[str, Column]]:
+    """For each type its share of the points that it can reach, 0 without a required word. ``found``: a text's keywords, from ``marks``."""
     out = []
     for name, (required, optional) in R.DOCUMENT_TYPES.items():
-        must = hits(lower, required)
-        points = (must * 2 + hits(lower, optional)) / (2 * len(required) + len(optional))
+        must = hits(found, required)
+        points = (must * 2 + hits(found, optional)) / (2 * len(required) + len(optional))
         out.append((name, F.when(must > 0, points).otherwise(0.0)))
     return out
 
 
-def classification(text: Column, tabled: Column) -> Column:
-    """struct<document_type, class_confidence, layout>, as one expression: a filter on a part of it evaluates it once more and no oftener."""
+def classification(text: Column, tabled: Column, found: Column | None = None) -> Column:
+    """struct<document_type, class_confidence, layout>, as one expression: a filter on a part of it evaluates it once more and no oftener. ``found``: the text's keywords, if they are known."""
+    found = marks(text) if found is None else found
 
     def decide(x: Column) -> Column:
         best, L = x["best"], lambda name: x["layout"][name]
@@ -121,14 +137,15 @@ def classification(text: Column, tabled: Column) -> Column:
         return let(named, boosted)
 
     # The best score wins; of equal ones the earlier type does. Without any, the type is unknown.
-    ranked = lambda low: F.array_max(F.array(*[F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, score) in enumerate(type_scores(low))]))
-    return let(F.struct(let(safe_lower(text), ranked).alias("best"), layout(text).alias("layout"), tabled.alias("tabled")), decide)
+    ranked = F.array_max(F.array(*[F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, score) in enumerate(type_scores(found))]))
+    return let(F.struct(ranked.alias("best"), layout(text).alias("layout"), tabled.alias("tabled")), decide)
 
 
 def classified(df: DataFrame, text: str = "full_text", tables: str | None = None) -> DataFrame:
-    """Adds document_type, class_confidence, has_tables and layout (a struct)."""
+    """Adds document_type, class_confidence, has_tables, layout (a struct) and keywords (those found, as bits)."""
     tabled = has_tables(F.col(tables)) if tables else F.lit(False)
-    return df.withColumn("has_tables", tabled).withColumn("__class", classification(F.col(text), F.col("has_tables"))).select("*", "__class.*").drop("__class")
+    out = df.withColumn("has_tables", tabled).withColumn("keywords", marks(F.col(text)))
+    return out.withColumn("__class", classification(F.col(text), F.col("has_tables"), F.col("keywords"))).select("*", "__class.*").drop("__class")
 
 
 def known(df: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
-from paperloom.functions.text import blank, distinct_strings, find_all, first_match, safe, strip, title
+from paperloom.functions.arrays import firsts
+from paperloom.functions.text import blank, distinct_strings, find_all, first_match, let, safe, strip, title
 from paperloom.operators.classify import PAIRS, pairs, value_of
 
 FIELDS = sorted({f for fields in R.TYPED_FIELDS.values() for f in fields} | set(R.ENRICHED_FIELDS))
@@ -61,13 +62,15 @@ def with_table_entities(df: DataFrame, tables: str) -> DataFrame:
     rows = F.flatten(F.transform(t, lambda x: F.transform(F.slice(x["rows"], 1, R.TABLE_ROWS), row_text)))
     more = F.flatten(F.transform(F.filter(t, lambda x: x["table_type"] == "key_value"), lambda x: F.transform(x["kv_pairs"], lambda p: F.struct(title(strip(p["key"])).alias("key"), strip(p["value"]).alias("value")))))
     good = F.filter(more, lambda p: (p["key"] != "") & (p["value"] != ""))
-    add = lambda done, p: F.when(F.exists(done, lambda d: d["key"] == p["key"]), done).otherwise(F.concat(done, F.array(p)))
+    both = F.concat(F.col("key_value_pairs").cast(PAIRS), good.cast(PAIRS))
+    # The text's own pairs have distinct keys and come first, so that they stay, and of the tables' the first of each other key.
+    joined = let(both, lambda ps: F.transform(firsts(F.transform(ps, lambda p: p["key"])), lambda x: F.get(ps, x["first"])))
     totals = F.flatten(F.transform(t, lambda x: F.transform(x["totals"], lambda f: f["value"])))
     cap = F.greatest(F.size(t), F.lit(1)) * R.TABLE_ROWS
     return df.withColumns(
         {
             "table_entities": F.slice(F.array_distinct(F.filter(rows, lambda s: s != "")), F.lit(1), cap),
-            "key_value_pairs": F.aggregate(good, F.col("key_value_pairs").cast(PAIRS), add),
+            "key_value_pairs": joined,
             "totals": distinct_strings(F.concat("totals", totals), R.ENTITIES["totals"][2]),
         }
     )

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
-from paperloom.functions.text import let, safe_lower, strip
-from paperloom.operators import chat, chunks, classify, entities, items, tables, tags, vectors
+from paperloom.functions.keywords import marks
+from paperloom.functions.text import let, strip
+from paperloom.operators import chat, chunks, classify, entities, headers, items, tables, tags, vectors
 from paperloom.plans.rendered import raw_tables, rendered
 from paperloom.sources import ingest, store
 
@@ -49,8 +50,8 @@ def doc_layout_hints(spark, sf_dir):
 
 @query
 def doc_tier1_scores(spark, sf_dir):
-    docs = rendered(spark, sf_dir).select("doc_id", safe_lower(F.col("full_text")).alias("low"))
-    rows = F.array(*[F.struct(F.lit(n).alias("document_type"), F.round(c, 6).alias("score")) for n, c in classify.type_scores(F.col("low"))])
+    docs = rendered(spark, sf_dir).select("doc_id", marks(F.col("full_text")).alias("found"))
+    rows = F.array(*[F.struct(F.lit(n).alias("document_type"), F.round(c, 6).alias("score")) for n, c in classify.type_scores(F.col("found"))])
     return docs.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
@@ -150,8 +151,7 @@ def header_chunk(spark, sf_dir):
 @query
 def header_products(spark, sf_dir):
     """The products that a header chunk takes from a document's tables."""
-    docs = tables.normalise_tables(raw_tables(spark, sf_dir))
-    return docs.select("doc_id", tables.products(F.col("tables")).alias("products"))
+    return headers.products(tables.normalise_tables(raw_tables(spark, sf_dir)))
 
 
 @query
@@ -190,10 +190,29 @@ def table_normalise(spark, sf_dir):
     return docs.select("doc_id", F.col("t.table_type").alias("table_type"), F.size("t.headers").alias("n_headers"), F.size("t.rows").alias("n_rows"), F.md5("t.raw_text").alias("text_md5"))
 
 
+LABELS = sorted({x for labels in (*R.ENRICHED_FIELDS.values(), *headers.PRODUCTS.values()) for x in labels})
+
+
 @query
 def fuzzy_header_match(spark, sf_dir):
-    cases = spark.createDataFrame([("product name", ["Product", "Qty"]), ("quantity", ["Qty", "Quantty"]), ("date", ["Due Date", "Date"]), ("zzz", ["Product"])], "query string, candidates array<string>")
-    return cases.select("query", tables.fuzzy_column("query", "candidates").alias("found"))
+    """The column of each data table that each label is most like, if it is like any."""
+    data = headers.data_tables(tables.normalise_tables(raw_tables(spark, sf_dir)), "tables", "doc_id").drop("rows")
+    found = headers.label_columns(data.select("headers").distinct(), LABELS)
+    return data.join(found, "headers").select("doc_id", "no", "label", "column", F.round("score", 6).alias("score"))
+
+
+def _with_tables(spark, sf_dir):
+    """Documents with their tables, enriched from pairs, columns and footers."""
+    docs = rendered(spark, sf_dir).join(raw_tables(spark, sf_dir), "doc_id", "left")
+    known = entities.extracted(classify.classified(tables.normalise_tables(docs), tables="raw_tables"), tables="tables")
+    values = headers.column_values(tables.normalise_tables(raw_tables(spark, sf_dir)))
+    return entities.enriched(known.join(values, "doc_id", "left"), lambda f: F.col(f"column_values.{f}"), "tables")
+
+
+@query
+def typed_fields_tables(spark, sf_dir):
+    """Typed fields after all steps of enrichment: pairs, table columns by their names, and footer totals."""
+    return _field_rows(_with_tables(spark, sf_dir))
 
 
 @query
@@ -233,7 +252,7 @@ def vendor_tag(spark, sf_dir):
 
 @query
 def generate_tags(spark, sf_dir):
-    return _classified(spark, sf_dir).select("doc_id", F.posexplode(tags.tags(F.col("full_text"), F.col("document_type"), _amount())).alias("pos", "tag"))
+    return _classified(spark, sf_dir).select("doc_id", F.posexplode(tags.tags(F.col("full_text"), F.col("document_type"), _amount(), F.col("keywords"))).alias("pos", "tag"))
 
 
 @query
@@ -289,7 +308,7 @@ def rag_sources(spark, sf_dir):
 
 @query
 def risk_addendum_flag(spark, sf_dir):
-    docs = _classified(spark, sf_dir).withColumn("tags", tags.tags(F.col("full_text"), F.col("document_type"), _amount()))
+    docs = _classified(spark, sf_dir).withColumn("tags", tags.tags(F.col("full_text"), F.col("document_type"), _amount(), F.col("keywords")))
     return docs.groupBy("variant").agg(F.bool_or(chat.risky(F.col("document_type"), F.col("tags"))).alias("any_risk"), F.sum(chat.risky(F.col("document_type"), F.col("tags")).cast("long")).alias("n_risky"))
 
 

@@ -1,6 +1,5 @@
 """Rules of the document operators on small cases worked out by hand."""
 
-import difflib
 import re
 
 import pytest
@@ -9,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.operators import chunks, classify, entities, items, tables, tags
+from paperloom.operators import chunks, classify, entities, headers, items, tables, tags
 from paperloom.sources import ingest, store
 
 
@@ -111,10 +110,11 @@ def test_table_entities(spark):
     raw = [[["Name:", "Bob"], ["Order ID", "77"]], [["Qty", "Price"], ["3", "4"], ["Subtotal", "4"]]]
     df = spark.createDataFrame([("d", "Order ID: 5", raw)], f"doc_id string, full_text string, raw_tables array<{TABLE}>")
     df = entities.extracted(classify.classified(tables.normalise_tables(df), tables="raw_tables"), tables="tables")
-    row = entities.enriched(df, tables.column_value("tables"), "tables").first()
+    full = entities.enriched(df.join(headers.column_values(df), "doc_id", "left"), lambda f: F.col(f"column_values.{f}"), "tables")
+    row = full.first()
     assert {p["key"]: p["value"] for p in row["key_value_pairs"]} == {"Order Id": "5", "Name": "Bob"} and row["has_tables"]
     assert row["totals"] == ["4"] and "Qty: 3 | Price: 4" in row["table_entities"] and row["typed_fields"]["order_id"] == "5"
-    done = items.normalised(entities.enriched(df, tables.column_value("tables"), "tables"), tables="raw_tables")
+    done = items.normalised(full, tables="raw_tables")
     assert done.first()["document_mode"] == "TABLE_MODE"
     assert [c["chunk_type"] for c in chunks.document_chunks(done, tables="tables").orderBy("chunk_id").collect()] == ["document_header", "page_text", "table", "table", "entity_summary"]
 
@@ -125,11 +125,11 @@ def test_header_takes_products_from_tables_first(spark):
     rows = [("a", "Product: X\nQuantity: 2", raw), ("b", "Product: X\nQuantity: 2", []), ("c", None, None)]
     df = spark.createDataFrame(rows, f"doc_id string, full_text string, raw_tables array<{TABLE}>")
     df = tables.normalise_tables(df).withColumn("document_type", F.lit("INVOICE"))
-    got = {r["doc_id"]: r["products"] for r in df.select("doc_id", tables.products(F.col("tables")).alias("products")).collect()}
-    assert got == {"a": ", ".join(["Nut x3", "Bolt"] + [f"P{i} x1" for i in range(8)]), "b": None, "c": None}
-    done = items.normalised(entities.extracted(df, tables="tables"))
-    headers = {r["doc_id"]: r["text"] for r in chunks.document_chunks(done, tables="tables").where("chunk_type = 'document_header'").collect()}
-    assert headers["a"].endswith("Products: " + got["a"]) and headers["b"].endswith("Products: X x2.0") and "Products" not in headers["c"]
+    got = {r["doc_id"]: r["products"] for r in headers.products(df).collect()}
+    assert got == {"a": ", ".join(["Nut x3", "Bolt"] + [f"P{i} x1" for i in range(8)])}
+    done = items.normalised(entities.extracted(df.join(headers.products(df), "doc_id", "left"), tables="tables"))
+    shown = {r["doc_id"]: r["text"] for r in chunks.document_chunks(done, tables="tables", products="products").where("chunk_type = 'document_header'").collect()}
+    assert shown["a"].endswith("Products: " + got["a"]) and shown["b"].endswith("Products: X x2.0") and "Products" not in shown["c"]
 
 
 def test_products_of_all_documents_by_brute_force(spark):
@@ -157,11 +157,93 @@ def test_sinks(spark, tmp_path):
     assert [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/vectors").collect()] == ["a"]
 
 
-def test_fuzzy_column(spark):
-    cases = [("product name", ["Product", "Qty"], "Product"), ("quantity", ["Quantty"], "Quantty"), ("zzz", ["Product"], None), (None, ["a"], None), ("q", None, None)]
-    df = spark.createDataFrame([(q, c) for q, c, _ in cases], "q string, c array<string>").select(tables.fuzzy_column("q", "c").alias("x"))
-    assert [r["x"] for r in df.collect()] == [x for *_, x in cases]
-    assert difflib.SequenceMatcher(None, "quantity", "quantty").ratio() >= 0.6
+NAMES = st.text(alphabet="abAB _", max_size=9)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(NAMES, NAMES), min_size=1, max_size=40))
+def test_likeness_is_the_share_of_matching_blocks(spark, pairs):
+    import difflib
+
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", headers.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    for a, b, x in got:
+        low, name = a.strip().lower(), b.strip().lower()
+        share = difflib.SequenceMatcher(None, low, name).ratio()
+        expected = None if not low or not name else min(1.0, share + 0.9) if low in name or name in low else share
+        assert x == (expected if expected is None else pytest.approx(expected)), (a, b)
+
+
+def test_columns_by_names_that_are_alike(spark):
+    rows = [("a", ["Product", "Qty", " product "]), ("b", ["Quantty", None, ""]), ("c", []), ("d", ["zzz"])]
+    found = headers.label_columns(spark.createDataFrame(rows, "id string, headers array<string>").select("headers"), ["product name", "quantity", "qty"]).collect()
+    assert {(tuple(r["headers"]), r["label"], r["column"]) for r in found} == {(("Product", "Qty", " product "), "product name", "Product"), (("Product", "Qty", " product "), "qty", "Qty"), (("Quantty", None, ""), "quantity", "Quantty"), (("Quantty", None, ""), "qty", "Quantty")}
+
+
+def test_column_values_go_from_table_to_table(spark):
+    raw = [[["Order Nr", "City"], ["", "Rome"], ["7", "Oslo"]], [["Order ID", "Country"], ["8", ""], ["9", "Italy"]], [["City:", "Bonn"], ["Country:", "X"]]]
+    df = tables.normalise_tables(spark.createDataFrame([("a", raw), ("b", []), ("c", None)], f"doc_id string, raw_tables array<{TABLE}>"))
+    got = headers.column_values(df).collect()
+    assert [(r["doc_id"], r["column_values"]["order_id"], r["column_values"]["city"], r["column_values"]["country"], r["column_values"]["contact_name"]) for r in got] == [("a", "7", "Rome", "Italy", None)]
+    assert headers.column_values(df.where("false")).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet=" invoce-tpaylgrm\nİKé", max_size=60), max_size=6), st.integers(0, 700))
+def test_keywords_in_one_pass(texts, pad):
+    import numpy as np
+
+    from paperloom.functions.keywords import MATCHER
+
+    low = [("x" * pad + t + "total price lab report" * (i % 2)).lower() + "\n" for i, t in enumerate(texts)]
+    data = np.frombuffer("".join(low).encode(), np.uint8)
+    masks = MATCHER.masks(data, np.cumsum([0, *(len(t.encode()) for t in low)]))
+    got = [{w for w, i in MATCHER.bits.items() if int(m[i // 64]) >> i % 64 & 1} for m in masks]
+    assert got == [{w for w in MATCHER.words if w in t} for t in low]
+
+
+def test_matcher_of_nested_words():
+    import numpy as np
+
+    from paperloom.functions.keywords import LANE, Matcher
+
+    words = ["a", "ab", "bab", "abcab", "b" * 30, "é"]
+    m = Matcher(words)
+    for k in range(LANE - 40, LANE + 5):
+        text = ("x" * k + "abcab" + "b" * 31 + "é\n").encode()
+        mask = m.masks(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        assert [w for w in m.words if int(mask[m.bits[w] // 64]) >> m.bits[w] % 64 & 1] == [w for w in m.words if w in text.decode()]
+    assert m.masks(np.zeros(0, np.uint8), np.array([0])).shape == (0, 1)
+    with pytest.raises(ValueError, match="several lines"):
+        Matcher(["a\nb"])
+
+
+def numbered_one_by_one(keys):
+    done = []
+    for k in keys:
+        name, i = k, 2
+        while name in done:
+            name, i = f"{k} {i}", i + 1
+        done.append(name)
+    return done
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["Aa", "Bb", "Aa 2", "Aa 2 2", "Aa 3", "Cc Dd"]), max_size=14), min_size=1, max_size=12))
+def test_numbers_of_equal_keys(spark, lists):
+    rows = [(i, "\n".join(f"{k}: {j}" for j, k in enumerate(ks))) for i, ks in enumerate(lists)]
+    got = {r["i"]: [(p["key"], p["value"]) for p in r["p"]] for r in spark.createDataFrame(rows, "i long, t string").select("i", classify.pairs(F.col("t")).alias("p")).collect()}
+    assert got == {i: [(n, str(j)) for j, n in enumerate(numbered_one_by_one(ks))] for i, ks in enumerate(lists)}
+
+
+def test_a_hundred_thousand_pairs(spark):
+    """Sorted once, not compared two by two."""
+    import time
+
+    text = "\n".join(f"Key {'abcdefghij'[i % 10]}: {i}" for i in range(100_000))
+    start = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(entities.entity_pairs(F.col("t")).alias("p")).select(F.size("p").alias("n"), F.element_at("p", -1).alias("last")).first()
+    assert got["n"] == 100_000 and tuple(got["last"]) == ("Key J 10000", "99999")
+    assert time.time() - start < 60
 
 
 @pytest.mark.parametrize(("n", "number"), [(0, 0), (500, 1), (501, 2), (950, 3)])
