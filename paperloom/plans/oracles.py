@@ -204,7 +204,7 @@ def _mmr(source: str, k: int = 5) -> str:
 
 _FILTERED = f"WITH {_PAIRED}, {_POOL}, {_META}, kept AS (SELECT pool.*, document_type, content FROM pool JOIN meta USING (doc_id) WHERE contains(lower(tag), 'tag1') OR contains(lower(document_type), 'tag1')), {_mmr('kept')}"
 
-_CHUNK_RULE = """pages AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents
+_CHUNK_RULE = """pages AS (SELECT doc_id, regexp_replace(coalesce(%(text)s, ''), '^\\s+|\\s+$', '', 'g') AS t FROM %(table)s
 ), steps AS (
   SELECT doc_id, t, 0 AS s, 1 AS step FROM pages WHERE length(t) > 800
   UNION ALL SELECT doc_id, t, s + greatest(cut - 80, 1), step + 1 FROM (SELECT *, %(cut)s AS cut FROM (SELECT *, substr(t, s + 1, 400) AS w FROM steps)) WHERE s + 400 < length(t)
@@ -228,12 +228,58 @@ _HEADER = f"""header_values AS (
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM line_items WHERE product <> '') WHERE r <= {R.HEADER_PRODUCTS} GROUP BY doc_id
 )"""
 
+#: The rest of the fields in the order in which types list them.
+_FIELD_ORDER = list(dict.fromkeys([f for fields in R.TYPED_FIELDS.values() for f in fields] + list(R.ENRICHED_FIELDS)))
+_FIELD_LINES = lambda indent: f"string_agg('{indent}' || field || ': ' || value, chr(10) ORDER BY list_position([{', '.join(map(_quoted, _FIELD_ORDER))}], field)) FILTER (value IS NOT NULL)"
+#: What a document's summary and entities' text are made of.
+_PARTS = f"""date_lists AS (SELECT doc_id, string_agg(value, ', ' ORDER BY pos) AS dates FROM {_entity('dates', 'docs full_text')} GROUP BY doc_id
+), total_lists AS (SELECT doc_id, arg_min(value, pos) AS first_total, string_agg('Total Amount: ' || value, chr(10) ORDER BY pos) AS totals FROM {_entity('totals', 'docs full_text')} GROUP BY doc_id
+), field_lists AS (SELECT doc_id, {_FIELD_LINES('')} AS fields, {_FIELD_LINES('  ')} AS indented FROM enriched GROUP BY doc_id
+), pair_lists AS (SELECT doc_id, string_agg(key || ': ' || value, chr(10) ORDER BY pos) FILTER (pos < 8) AS some_pairs, string_agg('  ' || key || ': ' || value, chr(10) ORDER BY pos) AS all_pairs FROM pairs GROUP BY doc_id
+), item_lists AS (
+  SELECT doc_id, count(*) AS n, string_agg('  - ' || coalesce(nullif(product, ''), 'Item') || CASE WHEN coalesce(quantity, 0) <> 0 THEN ' x' || quantity::VARCHAR ELSE '' END || ' (Total: ' || coalesce(line_total::VARCHAR, 'N/A') || ')', chr(10) ORDER BY pos) FILTER (pos < 10) AS items FROM line_items GROUP BY doc_id
+)"""
+_JOINED_PARTS = "classes LEFT JOIN date_lists USING (doc_id) LEFT JOIN total_lists USING (doc_id) LEFT JOIN field_lists USING (doc_id) LEFT JOIN pair_lists USING (doc_id) LEFT JOIN item_lists USING (doc_id)"
+_HEADER_TEXT = """concat_ws(chr(10), 'Document: ' || doc_id, 'Type: ' || document_type, 'Order ID: ' || order_id,
+      coalesce('Customer: ' || customer_name || coalesce(' (' || customer_id || ')', ''), 'Customer: (' || customer_id || ')'),
+      'Country: ' || country, 'City: ' || city, 'Date: ' || "date", 'Total: ' || total_amount, 'Products: ' || products)"""
+
+#: Columns whose names are like a label: the longest common part of both, then the same on either side of it, gives the share of characters that match.
+_LONGEST = "list_sort(list_transform(range(1, length(a) + 1), lambda i: {'n': len(list_filter(range(1, length(a) - i + 2), lambda n: contains(b, substr(a, i, n)))), 'i': -i}), 'DESC')[1]"
+_LABELS = sorted({x for labels in (*R.ENRICHED_FIELDS.values(), R.PRODUCT_LABELS, R.QUANTITY_LABELS) for x in labels})
+_ALIKE = f"""{_SHAPES}, names AS (SELECT DISTINCT unnest(hs) AS name FROM headed
+), parts AS (
+  SELECT name, label, label AS a, lower(name) AS b FROM names, (SELECT unnest([{', '.join(map(_quoted, _LABELS))}]) AS label) WHERE name <> ''
+  UNION ALL SELECT name, label, unnest([left(a, i - 1), substr(a, i + n)]), unnest([left(b, j - 1), substr(b, j + n)]) FROM (
+    SELECT *, instr(b, substr(a, i, n)) AS j FROM (SELECT name, label, a, b, m.n AS n, -m.i AS i FROM (SELECT *, {_LONGEST} AS m FROM parts WHERE a <> '' AND b <> ''))) WHERE n > 0
+), shares AS (
+  SELECT name, label, 2 * sum(({_LONGEST}).n) / (length(label) + length(name)) AS share FROM parts WHERE a <> '' AND b <> '' GROUP BY name, label
+), alike AS (
+  SELECT name, label, CASE WHEN contains(lower(name), label) OR contains(label, lower(name)) THEN least(1.0, share + {R.FUZZY_BONUS}) ELSE share END AS score FROM shares
+), label_columns AS (
+  SELECT doc_id, label, arg_max(name, {{'s': score, 'p': -pos}}) AS name, max(score) AS score FROM (SELECT doc_id, unnest(hs) AS name, unnest(range(len(hs))) AS pos FROM headed) JOIN alike USING (name) WHERE score >= {R.FUZZY_THRESHOLD} GROUP BY doc_id, label
+)"""
+
+
+def _columns(fields) -> str:
+    """The column of each field, by the first of its labels that has one."""
+    places = ", ".join(f"({_quoted(f)}, {_quoted(x)}, {i})" for f, labels in fields.items() for i, x in enumerate(labels))
+    return f"SELECT doc_id, field, arg_min(name, place) AS name FROM label_columns JOIN (VALUES {places}) p(field, label, place) USING (label) GROUP BY doc_id, field"
+
+
+_OF_TABLES = f"""all_pairs AS (
+  SELECT doc_id, key, value FROM pairs UNION ALL SELECT doc_id, {_title('key')} AS key, value FROM kv WHERE value <> '' AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.doc_id = kv.doc_id AND p.key = {_title('kv.key')})
+), {_ENRICHED.replace('FROM pairs p', 'FROM all_pairs p')}, field_columns AS ({_columns(R.ENRICHED_FIELDS)}
+), table_values AS (SELECT doc_id, field, arg_min(v, r) AS value FROM (SELECT doc_id, field, r, c[list_position(hs, name)] AS v FROM body JOIN field_columns USING (doc_id) WHERE NOT is_footer) WHERE v <> '' GROUP BY doc_id, field
+), footer_values AS (SELECT doc_id, 'total_amount' AS field, arg_min(value, r) AS value FROM footers WHERE value <> '' GROUP BY doc_id)"""
+_TABLED_CLASSES = _CLASSES.replace("least(1.0, s + CASE", f"least(1.0, s + {_TABLED} + CASE").replace("THEN NULL WHEN colon_ratio", "THEN NULL WHEN has_currency THEN 'FINANCIAL_DOCUMENT' WHEN colon_ratio")
+
 ORACLES = {
     "rendered_docs": DUCKDB,
     "doc_layout_hints": f"WITH {DOCS}, source AS (SELECT doc_id, full_text FROM docs UNION ALL SELECT doc_id::VARCHAR, coalesce(text, '') FROM documents), {_LAYOUT} SELECT * EXCLUDE (full_text, avg_line_length, colon_ratio), round(avg_line_length, 6) AS avg_line_length, round(colon_ratio, 6) AS colon_ratio FROM layout",
     "doc_tier1_scores": f"WITH {DOCS}, {_SCORES} SELECT doc_id, document_type, round(score, 6) AS score FROM scores",
     "doc_classify": f"WITH {DOCS}, {_CLASSES} SELECT doc_id, document_type, round(class_confidence, 6) AS class_confidence FROM classes",
-    "doc_classify_tables": f"WITH {DOCS}, {_CLASSES.replace('least(1.0, s + CASE', f'least(1.0, s + {_TABLED} + CASE').replace('THEN NULL WHEN colon_ratio', "THEN NULL WHEN has_currency THEN 'FINANCIAL_DOCUMENT' WHEN colon_ratio")} SELECT doc_id, true AS has_tables, document_type, round(class_confidence, 6) AS class_confidence FROM classes",
+    "doc_classify_tables": f"WITH {DOCS}, {_TABLED_CLASSES} SELECT doc_id, true AS has_tables, document_type, round(class_confidence, 6) AS class_confidence FROM classes",
     "known_docs": f"WITH {DOCS}, {_CLASSES} SELECT doc_id, document_type FROM classes WHERE document_type <> 'UNKNOWN' AND class_confidence >= 0.4",
     "kv_pairs": f"WITH {DOCS}, {_pairs(3)} SELECT * FROM pairs",
     "profile_dates_amounts": f"""WITH {DOCS}, dates AS (SELECT doc_id, i, d FROM (SELECT doc_id, unnest(ds) AS d, unnest(range(1, len(ds) + 1)) AS i FROM (
@@ -250,10 +296,22 @@ ORACLES = {
     "line_items": f"WITH {DOCS}, {_ITEMS} SELECT * FROM line_items",
     "total_validation": f"{_WITH_FIELDS}, {_ITEMS}, {_SCHEMA} SELECT doc_id, round(ext_total, 2) AS ext_total, round(calc_total, 2) AS calc_total, round(CASE WHEN abs(calc_total - ext_total) > 0.01 THEN calc_total ELSE ext_total END, 2) AS total_amount FROM final",
     "completeness_score": f"{_WITH_FIELDS}, {_ITEMS}, {_SCHEMA} SELECT doc_id, order_id, customer_id, customer_name, order_date, round(0.4 + CASE WHEN every THEN 0.2 ELSE 0 END + CASE WHEN abs(calc_total - ext_total) <= 0.01 THEN 0.2 ELSE 0 END + CASE WHEN order_id IS NULL THEN 0 ELSE 0.1 END + CASE WHEN customer_name IS NULL THEN 0 ELSE 0.1 END, 4)::DOUBLE AS confidence FROM final",
-    "header_chunk": f"""{_WITH_FIELDS}, {_ITEMS}, {_HEADER} SELECT doc_id, concat_ws(chr(10), 'Document: ' || doc_id, 'Type: ' || document_type, 'Order ID: ' || order_id,
-      coalesce('Customer: ' || customer_name || coalesce(' (' || customer_id || ')', ''), 'Customer: (' || customer_id || ')'),
-      'Country: ' || country, 'City: ' || city, 'Date: ' || "date", 'Total: ' || total_amount, 'Products: ' || products) AS text
-      FROM classes LEFT JOIN header_fields USING (doc_id) LEFT JOIN header_items USING (doc_id)""",
+    "header_chunk": f"{_WITH_FIELDS}, {_ITEMS}, {_HEADER} SELECT doc_id, {_HEADER_TEXT} AS text FROM classes LEFT JOIN header_fields USING (doc_id) LEFT JOIN header_items USING (doc_id)",
+    "doc_summary": f"""{_WITH_FIELDS}, {_ITEMS}, {_PARTS}, texts AS (
+      SELECT doc_id, concat_ws(chr(10), 'Document: ' || doc_id, 'Document Type: ' || document_type, fields, 'Dates: ' || dates, 'Total: ' || first_total, 'Line Items (' || n || '):' || chr(10) || items, some_pairs) AS t FROM {_JOINED_PARTS})
+      SELECT doc_id, md5(t) AS summary_md5, length(t)::INT AS n_chars FROM texts""",
+    "doc_chunks": f"""{_WITH_FIELDS.replace('WITH', 'WITH RECURSIVE', 1)}, {_ITEMS}, {_HEADER}, {_PARTS}, {_CHUNK_RULE % {'cut': _CUT, 'table': 'docs', 'text': 'full_text'}}, texts AS (
+      SELECT doc_id, 0 AS o, 'document_header' AS chunk_type, NULL AS page_number, {_HEADER_TEXT} AS t FROM classes LEFT JOIN header_fields USING (doc_id) LEFT JOIN header_items USING (doc_id)
+      UNION ALL SELECT doc_id, pos, 'page_text', 1, '[' || doc_id || ' / ' || document_type || ']' || chr(10) || piece FROM page_parts JOIN classes USING (doc_id)
+      UNION ALL SELECT doc_id, 1000000, 'entity_summary', NULL, '[' || doc_id || ' / ' || document_type || ']' || chr(10) || concat_ws(chr(10), '[ / ' || document_type || ']', 'Key Fields:' || chr(10) || indented, totals, 'Dates: ' || dates, 'Document Fields:' || chr(10) || all_pairs) FROM {_JOINED_PARTS}
+    ) SELECT doc_id, doc_id || '_chunk_' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY o))::VARCHAR, 4, '0') AS chunk_id, chunk_type, page_number::INT AS page_number, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM texts""",
+    "fuzzy_header_match": f"WITH RECURSIVE {_ALIKE} SELECT doc_id, 0 AS no, label, name AS column, round(score, 6)::DOUBLE AS score FROM label_columns",
+    "header_products": f"""WITH RECURSIVE {_ALIKE}, found_columns AS ({_columns({'name': R.PRODUCT_LABELS, 'quantity': R.QUANTITY_LABELS})}
+    ), shown AS (
+      SELECT doc_id, r, c[list_position(hs, n.name)] AS p, coalesce(c[list_position(hs, q.name)], '') AS k FROM body JOIN (FROM found_columns WHERE field = 'name') n USING (doc_id) LEFT JOIN (FROM found_columns WHERE field = 'quantity') q USING (doc_id) WHERE NOT is_footer)
+    SELECT doc_id, string_agg(p || CASE WHEN k <> '' THEN ' x' || k ELSE '' END, ', ' ORDER BY r) AS products FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS nth FROM shown WHERE p <> '') WHERE nth <= {R.HEADER_PRODUCTS} GROUP BY doc_id""",
+    "typed_fields_tables": f"""WITH RECURSIVE {DOCS}, {_TABLED_CLASSES}, {_pairs(3)}, {_TYPED}, {_ALIKE}, {_OF_TABLES}
+    SELECT doc_id, field, coalesce(e.value, t.value, f.value) AS value FROM enriched e LEFT JOIN table_values t USING (doc_id, field) LEFT JOIN footer_values f USING (doc_id, field) WHERE coalesce(e.value, t.value, f.value) IS NOT NULL""",
     "table_cells_clean": f"WITH {_TABLES} SELECT doc_id, r::INT AS row, unnest(range(0, len(cells)))::INT AS col, unnest(cells) AS cell FROM table_rows",
     "kv_table_detect": f"WITH {_SHAPES} SELECT doc_id, is_key_table FROM kinds",
     "table_header_infer": f"""WITH {_SHAPES} SELECT doc_id, head::INT AS "at", unnest(range(0, len(hs)))::INT AS pos, unnest(hs) AS header FROM headed""",
@@ -269,7 +327,7 @@ ORACLES = {
     ), sums_of AS (SELECT doc_id, string_agg(value, ',' ORDER BY r) AS totals FROM footers GROUP BY doc_id
     ), pairs_of AS (SELECT doc_id, count(*)::INT AS n_pairs FROM kv WHERE value <> '' GROUP BY doc_id)
     SELECT doc_id, n_rows, rows_md5, coalesce(totals, '') AS totals, coalesce(n_pairs, 0) AS n_pairs FROM joined LEFT JOIN sums_of USING (doc_id) LEFT JOIN pairs_of USING (doc_id)""",
-    "page_chunks_boundary": f"WITH RECURSIVE {_CHUNK_RULE % {'cut': _CUT}} SELECT doc_id, pos, md5(piece) AS text_md5 FROM page_parts",
+    "page_chunks_boundary": f"WITH RECURSIVE {_CHUNK_RULE % {'cut': _CUT, 'table': 'documents', 'text': 'text'}} SELECT doc_id, pos, md5(piece) AS text_md5 FROM page_parts",
     "char_chunks": "SELECT doc_id, (o // 450 + 1)::INT AS pos, md5(substr(text, o + 1, 500)) AS text_md5 FROM documents, unnest(range(0, CASE WHEN length(text) <= 500 THEN 1 ELSE length(text) END, 450)) AS t(o) WHERE text <> ''",
     "structured_sink": "SELECT doc_id, (o // 600 + 1)::INT AS pos, least(500, length(text) - o)::INT AS n_chars FROM documents, unnest(range(0, length(text), 600)) AS t(o) WHERE text <> ''",
     "domain_tags": f"WITH {DOCS}, {_DOMAINS} SELECT * FROM domains",

@@ -157,7 +157,7 @@ def header_products(spark, sf_dir):
 @query
 def doc_chunks(spark, sf_dir):
     out = chunks.document_chunks(_normalised(spark, sf_dir))
-    return out.select("doc_id", "chunk_id", "chunk_type", "page_number", F.char_length("text").alias("n_chars"))
+    return out.select("doc_id", "chunk_id", "chunk_type", "page_number", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query
