@@ -22,8 +22,8 @@ def safe_lower(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end (``trim`` knows spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at either end (``trim`` of itself knows spaces only). Characters are compared from the ends; a pattern would be tried at every place of the text."""
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank(text: Column) -> Column:
