@@ -349,6 +349,8 @@ ORACLES = {
     "chat_history": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "chat_clear": "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id <> 7 GROUP BY conv_id",
     "metadata_upsert": "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS status FROM documents",
+    "metadata_upsert_bucketed": "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS status FROM documents",
+    "index_insert_bucketed": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label ELSE -1 END AS label FROM embeddings",
     "metadata_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "metadata_lookup": "SELECT doc_id, source, lang FROM documents WHERE doc_id = 11",
     "index_insert_absent": "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN label ELSE -1 END AS label FROM embeddings",

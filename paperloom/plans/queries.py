@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from paperloom.functions.text import let, strip
 from paperloom.operators import chat, chunks, classify, entities, headers, items, tables, tags, vectors
 from paperloom.plans.rendered import raw_tables, rendered
 from paperloom.sources import ingest, store
+from paperloom.sources.buckets import Bucketed
+from paperloom.sources.store import shared_dir
 
 QUERIES = {}
 
@@ -333,6 +337,26 @@ def metadata_upsert(spark, sf_dir):
     return store.upsert(docs.where("doc_id % 3 > 0"), docs.where("doc_id % 5 = 0 or doc_id % 3 = 0").withColumn("status", F.lit("new")))
 
 
+@query
+def metadata_upsert_bucketed(spark, sf_dir):
+    """Two batches of a bucketed table, the second over some of the first's keys, and the table after them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.lit("old").alias("status"))
+    table = Bucketed(spark, f"{shared_dir(spark)}/paperloom/metadata-{uuid.uuid4().hex}", buckets=32)
+    table.upsert(docs.where("doc_id % 3 > 0"), 0)
+    table.upsert(docs.where("doc_id % 5 = 0 or doc_id % 3 = 0").withColumn("status", F.lit("new")), 1)
+    return table.read()
+
+
+@query
+def index_insert_bucketed(spark, sf_dir):
+    """An index of vectors to which those with new keys are added, a bucket at a time."""
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    table = Bucketed(spark, f"{shared_dir(spark)}/paperloom/index-{uuid.uuid4().hex}", "vec_id", buckets=32)
+    table.insert_absent(e.where("vec_id % 2 = 0"), 0)
+    table.insert_absent(e.where("vec_id % 3 = 0 or vec_id % 2 = 1").withColumn("label", F.lit(-1)), 1)
+    return table.read().select("vec_id", "label")
+
+
 @query
 def metadata_latest(spark, sf_dir):
     return store.latest(_table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +16,19 @@ METADATA = (
 )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; in local mode without that setting, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "paperloom-shared")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata records of a JSON array; broken files give no rows."""
-    return spark.read.schema(METADATA + ", _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, mode="PERMISSIVE").cache().where("_corrupt is null and doc_id is not null").drop("_corrupt")
+    return spark.read.schema(METADATA + ", _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, mode="PERMISSIVE").where("_corrupt is null and doc_id is not null").drop("_corrupt")
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -4,39 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from paperloom.functions import rules as R
-from paperloom.sources.store import upsert
+from paperloom.sources.buckets import Bucketed
 
 
-def ingest(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
-    """Runs ``analyse`` on what arrives and upserts its rows by doc_id into a Parquet table.
+def ingest(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], table: Bucketed, checkpoint: str) -> StreamingQuery:
+    """Runs ``analyse`` on what arrives and upserts its rows by key into a bucketed table, a batch of the stream as a batch of the table.
 
-    Each batch writes a version of its own beside the last; a reader takes the
-    highest. A batch that is run again after a failure writes its version anew; one
-    whose predecessor's version is gone fails rather than lose rows.
+    A batch that comes again after a failure is left out if it was committed, and
+    written anew if not.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = analyse(batch)
-        last = f"{table}/v={number - 1}"
-        if number and not exists(spark, last):
-            raise RuntimeError(f"{last} is missing: its rows would be lost")
-        if number:
-            rows = upsert(spark.read.parquet(last), rows)
-        rows.write.mode("overwrite").parquet(f"{table}/v={number}")
+        table.upsert(analyse(batch), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def windowed_memory(turns: DataFrame, exchanges: int = R.EXCHANGES) -> DataFrame:
     """The last messages of each session of a stream of turns (conv_id, turn, role, text), kept as state: conv_id, n_messages, memory."""
     import pandas as pd

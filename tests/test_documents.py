@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.operators import chunks, classify, entities, headers, items, tables, tags
 from paperloom.sources import ingest, store
+from paperloom.sources.buckets import Bucketed
 
 
 @pytest.fixture(scope="module")
@@ -303,8 +304,12 @@ def test_files_to_documents_as_a_stream(spark, tmp_path):
     (files / "b.txt").write_bytes(b"no")
     stream = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(str(files))
     analyse = lambda b: classify.classified(ingest.finalised(ingest.converted(b.where(ingest.accepted(F.col("path"))).select(ingest.document_id(F.col("path")).alias("doc_id"), "path", ingest.extension(F.col("path")).alias("file_type"), "content")))).select("doc_id", "full_text", "page_count")
-    run(stream, analyse, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    rows = spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()
+    table = Bucketed(spark, str(tmp_path / "out"), buckets=4)
+    run(stream, analyse, table, str(tmp_path / "cp")).awaitTermination(60)
+    (files / "c.pdf").write_bytes(b"Receipt")
+    run(stream, analyse, table, str(tmp_path / "cp")).awaitTermination(60)
+    assert table.manifest()["batch"] == 1 and table.read().count() == 2
+    rows = table.read().where("full_text like 'Invoice%'").collect()
     assert len(rows) == 1 and rows[0]["full_text"] == "Invoice Number: INV-1\n\npage two" and rows[0]["page_count"] == 2
 
 
