@@ -1,11 +1,12 @@
 """Exact vector search, retrieval and diversity re-ranking.
 
-A stated set of queries meets all vectors in blocks: a block of at most
-``BLOCK_BYTES`` of query vectors is sent to the tasks that scan the vectors, each
-task keeps the best k of each query by matrix products of ``ROWS`` queries at a
-time, and only those are shuffled to be ranked. What is sent is bounded by the
-block, what is shuffled by k a query and task; the vectors are scanned once a
-block (some 40,000 queries of 384 dimensions).
+A stated set of queries meets all vectors block by block: both are cut into blocks
+of about ``BLOCK`` rows by a hash of their ids, each block of queries is joined with
+each block of vectors in a task of its own, by matrix products of ``ROWS`` queries
+at a time, and the best k of each query there are merged over the blocks. A task
+holds two blocks, nothing is sent to all tasks or through the driver, and a lost
+executor's block pairs are done again elsewhere. A vector is shuffled once for each
+block of queries: with the queries a twentieth of n vectors, n / 20 / ``BLOCK`` times.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
 
-BLOCK_BYTES = 128 << 20
+#: Rows of a block: 100 MB of 384 dimensions.
+BLOCK = 1 << 15
 ROWS = 256
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -80,50 +82,64 @@ def document_vectors(chunks: DataFrame, embed: Embedder) -> DataFrame:
     return rows.select("doc_id", unit(F.col("v")).alias("embedding"), F.col("chunk_count").cast("int"), "text_length")
 
 
-def _blocks(queries: DataFrame, qid: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select(qid, vector).toLocalIterator():
-        ids.append(r[0])
-        rows.append(np.array(r[1], float))
-        if len(ids) * rows[0].nbytes >= BLOCK_BYTES:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def best_of(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest finite scores of each row, of equal ones those of smaller docs; rows in order, best first."""
+    if scores.shape[1] > k:  # what is below a row's k-th greatest needs no sorting
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
+        row, column = np.nonzero((scores >= least) & np.isfinite(scores))
+    else:
+        row, column = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((docs[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = R.TOP_K, qid: str = "vec_id", vid: str = "vec_id", vector: str = "embedding", without_self: bool = False) -> DataFrame:
-    """query_id, doc_id, score, rank: the k vectors of highest inner product with each query, of equal ones the smaller id. Ids are integers."""
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, a row each."""
+    return np.asarray(column.combine_chunks().flatten()).astype(float).reshape(len(column), -1)
+
+
+def _dealt(df: DataFrame, id_: str, vector: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+    """id, vector, own and other: each vector in its block, once for each block of the other side."""
+    known = df.where(F.col(vector).isNotNull() & F.col(id_).isNotNull())
+    placed = known.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("vector"), F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias(own))
+    return placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int = R.TOP_K, qid: str = "vec_id", vid: str = "vec_id", vector: str = "embedding", without_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """query_id, doc_id, score, rank: the k vectors of highest inner product with each query, of equal ones the smaller id.
+
+    Ids are integers, those of queries distinct (rows that share one are one
+    query). Rows without an id or a vector are left out; without queries or vectors
+    there are no rows.
+    """
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    n_queries, n_vectors = queries.count(), vectors.count()
+    q_blocks = max(1, -(-n_queries // block))
+    # Small tables are cut finer, for as many blocks as there are tasks.
+    v_blocks = max(1, -(-n_vectors // block), min(-(-tasks // q_blocks), n_vectors // ROWS))
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-    found = None
-    for ids, block in _blocks(queries, qid, vector):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, block))
-
-        def best(batches, shared=shared):
-            ids, block = shared.value
-            top = np.full((len(ids), k), -np.inf)
-            named = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                docs = b.column(0).to_numpy()
-                matrix = np.asarray(b.column(1).flatten()).astype(float).reshape(b.num_rows, -1)
-                for q in range(0, len(ids), ROWS):
-                    part = slice(q, q + ROWS)
-                    scores = block[part] @ matrix.T
-                    if without_self:
-                        scores[ids[part, None] == docs] = -np.inf
-                    scores = np.concatenate([top[part], scores], axis=1)
-                    names = np.concatenate([named[part], np.broadcast_to(docs, (len(scores), len(docs)))], axis=1)
-                    order = np.lexsort((names, -scores), axis=1)[:, :k]
-                    top[part], named[part] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
-            at, place = np.nonzero(np.isfinite(top))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(named[at, place]), pa.array(top[at, place])], schema=schema)
-
-        part = vectors.where(F.col(vector).isNotNull()).select(vid, vector).mapInArrow(best, "query_id long, doc_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [pa.table([[], [], []], schema=schema)]
+        if left.num_rows and right.num_rows:
+            asked, docs = left["id"].to_numpy(), right["id"].to_numpy()
+            q, v = matrix(left["vector"]), matrix(right["vector"])
+            for at in range(0, len(asked), ROWS):
+                part = slice(at, at + ROWS)
+                # Equal vectors have equal scores wherever they stand in a product.
+                scores = np.round(q[part] @ v.T, 12)
+                if without_self:
+                    scores[asked[part, None] == docs] = -np.inf
+                row, column = best_of(scores, docs, k)
+                out.append(pa.table([asked[part][row], docs[column], scores[row, column]], schema=schema))
+        return pa.concat_tables(out)
+
+    sides = [_dealt(queries, qid, vector, "q", q_blocks, "v", v_blocks), _dealt(vectors, vid, vector, "v", v_blocks, "q", q_blocks)]
+    left, right = (s.select("q", "v", "id", "vector").groupBy("q", "v") for s in sides)
+    found = left.cogroup(right).applyInArrow(best, "query_id long, doc_id long, score double")
+    # Each task keeps the best k of a query before any is shuffled.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

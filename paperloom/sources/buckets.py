@@ -83,14 +83,14 @@ class Bucketed:
         last = self.manifest()
         if batch <= last["batch"]:
             return []
-        # The rows are worked out once; their folders tell which buckets they meet.
+        # The rows are worked out once.
         incoming, data = f"{self.path}/incoming/{batch:012d}", f"{self.path}/data/{batch:012d}"
         placed = rows.withColumn(BUCKET, F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-        placed.write.mode("overwrite").partitionBy(BUCKET).parquet(incoming)
-        touched = [int(n.split("=")[1]) for n in self._list("incoming", f"{batch:012d}") if n.startswith(BUCKET)]
+        placed.write.mode("overwrite").parquet(incoming)
+        new = self.spark.read.schema(placed.schema).parquet(incoming)
+        touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())  # at most as many as there are buckets
         schema = rows.schema
         if touched:
-            new = self.spark.read.schema(placed.schema).parquet(incoming)
             keyed = new.where(F.col(self.key).isNotNull())
             one = F.max_by if order else lambda row, _: F.first(row)
             fresh = keyed.groupBy(self.key).agg(one(F.struct(*[F.col(c) for c in placed.columns if c != self.key]), order).alias("row")).select(self.key, "row.*").select(placed.columns).union(new.where(F.col(self.key).isNull()))

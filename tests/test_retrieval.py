@@ -101,3 +101,32 @@ def test_memory_as_state(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["conv_id"]: r["memory"] for r in spark.sql("select * from mem").collect()} == {1: "User: a\nAssistant: b", 2: "User: c"}
+
+
+@pytest.mark.parametrize(("block", "k", "without_self"), [(1 << 15, 5, False), (40, 7, True), (7, 1, False), (1000, 600, False)])
+def test_block_join_is_the_full_scan(spark, block, k, without_self):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (150, 4)).astype(float)  # many equal scores
+    rows = [(i * 3, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, (1, None), (None, [1.0] * 4)], "vec_id long, embedding array<double>")
+    got = vectors.search(df, df, k, without_self=without_self, block=block)
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("Broadcast", "Cartesian", "Collect"))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    for i, q in enumerate(v):
+        order = sorted((-float(q @ x), j * 3) for j, x in enumerate(v) if not (without_self and i == j))[:k]
+        assert [(n, d, pytest.approx(-s)) for n, (s, d) in enumerate(order, 1)] == sorted(found[i * 3])
+    assert vectors.search(df.where("false"), df, k, block=block).count() == 0 and vectors.search(df, df.where("false"), k, block=block).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_of(seed):
+    rng = np.random.default_rng(seed)
+    scores = rng.integers(0, 4, (9, 30)).astype(float)
+    scores[rng.random(scores.shape) < 0.2] = -np.inf
+    docs = rng.permutation(30)
+    row, column = vectors.best_of(scores, docs, 6)
+    for i in range(9):
+        expected = sorted((-s, d) for s, d in zip(scores[i], docs) if np.isfinite(s))[:6]
+        assert [(-scores[i, c], docs[c]) for c in column[row == i]] == expected
