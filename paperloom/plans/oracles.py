@@ -339,6 +339,7 @@ ORACLES = {
     "mean_pool_vectors": """WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(0, len(embedding)))::INT AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL)
     SELECT label, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 4) AS value FROM m""",
     "vector_search_topk": f"WITH {_PAIRED} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank, round(s, 4) AS score FROM scored QUALIFY rank <= 5",
+    "vector_search_bounded": f"WITH {_PAIRED} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank, round(s, 4) AS score FROM scored QUALIFY rank <= 5",
     "similar_documents": f"WITH {_PAIRED} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id)::INT AS rank, round(s, 4) AS score FROM scored WHERE query_id <> doc_id QUALIFY rank <= 5",
     "filtered_retrieval": f"WITH {_PAIRED}, {_POOL}, {_META} SELECT query_id, doc_id, rank::INT AS rank, document_type FROM pool JOIN meta USING (doc_id) WHERE contains(lower(tag), 'tag1') OR contains(lower(document_type), 'tag1')",
     "mmr_retrieval": f"WITH {_PAIRED}, {_POOL}, {_mmr('pool')} SELECT query_id, pick::INT AS pick, doc_id FROM m5",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import rules as R
 from paperloom.functions.keywords import marks
 from paperloom.functions.text import let, strip
-from paperloom.operators import chat, chunks, classify, entities, headers, items, tables, tags, vectors
+from paperloom.operators import bounded, chat, chunks, classify, entities, headers, items, tables, tags, vectors
 from paperloom.plans.rendered import raw_tables, rendered
 from paperloom.sources import ingest, store
 from paperloom.sources.buckets import Bucketed
@@ -279,6 +279,13 @@ def similar_documents(spark, sf_dir):
     return _hits(spark, sf_dir, R.TOP_K, without_self=True)
 
 
+@query
+def vector_search_bounded(spark, sf_dir):
+    """The same hits by an index of groups, of which those that can't have any are left out."""
+    e = _table(spark, sf_dir, "embeddings")
+    return bounded.search(e.where("vec_id % 20 = 0"), bounded.index(e)).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
 def _retriever(spark, sf_dir, doc_filter):
     e = _table(spark, sf_dir, "embeddings")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")

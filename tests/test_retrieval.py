@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import chat, vectors
+from paperloom.operators import bounded, chat, vectors
 from paperloom.operators.vectors import Retriever, diverse, matches
 
 
@@ -130,3 +130,23 @@ def test_best_of(seed):
     for i in range(9):
         expected = sorted((-s, d) for s, d in zip(scores[i], docs) if np.isfinite(s))[:6]
         assert [(-scores[i, c], docs[c]) for c in column[row == i]] == expected
+
+
+@pytest.mark.parametrize(("groups", "k", "without_self", "block"), [(1, 3, False, 1 << 15), (12, 5, True, 20), (40, 1, False, 1 << 15), (7, 300, False, 50)])
+def test_bounded_search_is_the_full_scan(spark, groups, k, without_self, block):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 6)) * 4
+    v = centres[rng.integers(0, 8, 240)] + rng.normal(size=(240, 6)) * 0.1
+    v[200:] = v[:40]  # equal vectors, and so equal scores
+    df = spark.createDataFrame([*((i, x.tolist()) for i, x in enumerate(v)), (999, None), (None, [1.0] * 6)], "vec_id long, embedding array<double>")
+    full = {(r["query_id"], r["rank"]): (r["doc_id"], pytest.approx(r["score"])) for r in vectors.search(df, df, k, without_self=without_self).collect()}
+    rows = bounded.search(df, bounded.index(df, groups, block=block), k, without_self=without_self).collect()
+    assert {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in rows} == full
+    if groups == 12:
+        assert np.mean([r["looked_at"] for r in rows]) < 0.5
+    assert all(0 < r["looked_at"] <= 1 for r in rows)
+
+
+def test_bounded_search_of_nothing(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert bounded.search(df, bounded.index(df.where("false"))).count() == 0 and bounded.search(df.where("false"), bounded.index(df)).count() == 0
