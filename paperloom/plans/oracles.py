@@ -347,6 +347,8 @@ ORACLES = {
     "rag_sources": f"{_FILTERED} SELECT query_id, pick::INT AS pick, doc_id::VARCHAR AS doc_name, 1 AS page, round(s, 4) AS similarity_score, document_type, left(content, 200) AS content_preview FROM m5 JOIN kept USING (query_id, doc_id)",
     "chat_window": """SELECT conv_id, count(*) AS n_messages, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS memory FROM (
       SELECT * FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY conv_id""",
+    "chat_memory_stream": """SELECT conv_id, count(*) AS n_messages, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS memory FROM (
+      SELECT * FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20) GROUP BY conv_id""",
     "chat_history": "SELECT conv_id, turn, role, text AS content FROM conversations",
     "chat_clear": "SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id <> 7 GROUP BY conv_id",
     "metadata_upsert": "SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS status FROM documents",

@@ -15,6 +15,7 @@ from paperloom.plans.rendered import raw_tables, rendered
 from paperloom.sources import ingest, store
 from paperloom.sources.buckets import Bucketed
 from paperloom.sources.store import shared_dir
+from paperloom.streaming import sessions
 
 QUERIES = {}
 
@@ -328,6 +329,17 @@ def chat_window(spark, sf_dir):
     return chat.memory(_table(spark, sf_dir, "conversations"), 2)
 
 
+@query
+def chat_memory_stream(spark, sf_dir):
+    """The last exchanges of each session, with the turns as a stream whose state goes to a bucketed table."""
+    session, here = sessions.stateful(spark), f"{shared_dir(spark)}/paperloom/chat-{uuid.uuid4().hex}"
+    # Streams read folders or patterns, not a file.
+    turns = session.readStream.schema(_table(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations*.parquet")
+    table = Bucketed(session, f"{here}/table", "conv_id", buckets=32)
+    sessions.follow(turns, table, f"{here}/checkpoint").awaitTermination()
+    return Bucketed(spark, f"{here}/table", "conv_id", buckets=32).read().where("n_messages > 0")
+
+
 @query
 def chat_history(spark, sf_dir):
     return chat.history(_table(spark, sf_dir, "conversations"))

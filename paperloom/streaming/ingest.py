@@ -1,4 +1,4 @@
-"""Streams: files as they arrive, analysed and upserted a batch at a time; session memory as keyed state."""
+"""Streams: files as they arrive, analysed and upserted a batch at a time."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from paperloom.functions import rules as R
 from paperloom.sources.buckets import Bucketed
 
 
@@ -22,19 +21,3 @@ def ingest(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], table:
         table.upsert(analyse(batch), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_memory(turns: DataFrame, exchanges: int = R.EXCHANGES) -> DataFrame:
-    """The last messages of each session of a stream of turns (conv_id, turn, role, text), kept as state: conv_id, n_messages, memory."""
-    import pandas as pd
-
-    def step(key, frames, state):
-        kept = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            said = frame[frame["role"].isin(["user", "assistant"])]
-            kept += [f"{t:012d}{'User' if r == 'user' else 'Assistant'}: {x}" for t, r, x in zip(said["turn"], said["role"], said["text"], strict=True)]
-        kept = sorted(kept)[-2 * exchanges :]
-        state.update((kept,))
-        yield pd.DataFrame([(key[0], len(kept), "\n".join(k[12:] for k in kept))], columns=["conv_id", "n_messages", "memory"])
-
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, n_messages long, memory string", "kept array<string>", "update", "NoTimeout")

@@ -92,17 +92,6 @@ def test_memory_keeps_the_last_exchanges(spark):
     assert chat.memory(turns.limit(0)).count() == 0
 
 
-def test_memory_as_state(spark, tmp_path):
-    from paperloom.streaming.ingest import windowed_memory
-
-    spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(str(tmp_path / "in"))
-    q = windowed_memory(stream).writeStream.format("memory").queryName("mem").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r["conv_id"]: r["memory"] for r in spark.sql("select * from mem").collect()} == {1: "User: a\nAssistant: b", 2: "User: c"}
-
-
 @pytest.mark.parametrize(("block", "k", "without_self"), [(1 << 15, 5, False), (40, 7, True), (7, 1, False), (1000, 600, False)])
 def test_block_join_is_the_full_scan(spark, block, k, without_self):
     rng = np.random.default_rng(3)
