@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from paperloom.functions import rules as R
+from paperloom.operators import chat
 from paperloom.plans.rendered import DUCKDB
 
 DOCS = f"docs AS ({DUCKDB})"
@@ -274,6 +275,49 @@ _OF_TABLES = f"""all_pairs AS (
 ), footer_values AS (SELECT doc_id, 'total_amount' AS field, arg_min(value, r) AS value FROM footers WHERE value <> '' GROUP BY doc_id)"""
 _TABLED_CLASSES = _CLASSES.replace("least(1.0, s + CASE", f"least(1.0, s + {_TABLED} + CASE").replace("THEN NULL WHEN colon_ratio", "THEN NULL WHEN has_currency THEN 'FINANCIAL_DOCUMENT' WHEN colon_ratio")
 
+#: Documents whose first line is a page of its own, and what their tables add to everything.
+_RUN = f"""WITH RECURSIVE docs AS (SELECT doc_id, regexp_replace(full_text, chr(10), chr(10) || chr(10)) AS full_text FROM ({DUCKDB})), {_TABLED_CLASSES}, {_pairs(3)}, {_TYPED}, {_ALIKE}, {_OF_TABLES}
+), final_fields AS (
+  SELECT doc_id, field, coalesce(e.value, t.value, f.value) AS value FROM enriched e LEFT JOIN table_values t USING (doc_id, field) LEFT JOIN footer_values f USING (doc_id, field)
+), of_text AS (SELECT doc_id, pos AS o, value FROM {_entity('totals', 'docs full_text')}
+), every_total AS (
+  SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS nth FROM (SELECT doc_id, value, min(o) AS o FROM (FROM of_text UNION ALL SELECT doc_id, 1000 + r, value FROM footers WHERE value <> '') GROUP BY doc_id, value)
+), date_lists AS (SELECT doc_id, string_agg(value, ', ' ORDER BY pos) AS dates FROM {_entity('dates', 'docs full_text')} GROUP BY doc_id
+), total_lists AS (SELECT doc_id, arg_min(value, nth) AS first_total, string_agg('Total Amount: ' || value, chr(10) ORDER BY nth) AS totals FROM every_total WHERE nth <= {R.ENTITIES['totals'][2]} GROUP BY doc_id
+), field_lists AS (SELECT doc_id, {_FIELD_LINES('')} AS fields, {_FIELD_LINES('  ')} AS indented, max(value) FILTER (field = 'order_id') AS order_id, max(value) FILTER (field = 'customer_name') AS customer_name FROM final_fields GROUP BY doc_id
+), known_pairs AS (
+  SELECT doc_id, key, value, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS pos FROM (
+    SELECT doc_id, key, value, pos AS o FROM pairs UNION ALL SELECT doc_id, {_title('key')}, value, 100000 + r FROM kv WHERE value <> '' AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.doc_id = kv.doc_id AND p.key = {_title('kv.key')}))
+), pair_lists AS (SELECT doc_id, string_agg(key || ': ' || value, chr(10) ORDER BY pos) FILTER (pos < 8) AS some_pairs, string_agg('  ' || key || ': ' || value, chr(10) ORDER BY pos) AS shown_pairs FROM known_pairs GROUP BY doc_id
+), table_rows_of AS (
+  SELECT doc_id, t, min(r) AS r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS nth FROM lines) WHERE nth <= {R.TABLE_ROWS} AND t <> '' GROUP BY doc_id, t
+  UNION ALL SELECT doc_id, string_agg(key || ': ' || value, ' | ' ORDER BY r), 0 FROM kv GROUP BY doc_id
+), row_lists AS (SELECT doc_id, string_agg('  ' || t, chr(10) ORDER BY r) AS table_data FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS nth FROM table_rows_of) WHERE nth <= 20 GROUP BY doc_id
+), shapes AS (
+  SELECT doc_id, 'Table (1 rows): ' || string_agg(key, ', ' ORDER BY r) AS shape, string_agg(rtrim(key || ': ' || value), chr(10) ORDER BY r) AS raw_text FROM kv GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'Table (' || count(t) || ' rows): ' || array_to_string(any_value(hs), ', '), string_agg(coalesce(t, rtrim(label || ': ' || value)), chr(10) ORDER BY label IS NOT NULL, r)
+    FROM headed LEFT JOIN (SELECT doc_id, r, t, NULL AS label, NULL AS value FROM lines UNION ALL SELECT doc_id, r, NULL, label, value FROM footers) USING (doc_id) GROUP BY doc_id
+), every_field AS (
+  SELECT doc_id, field, arg_min(value, place) AS v FROM (SELECT doc_id, field, value, 0 AS place FROM final_fields WHERE value IS NOT NULL UNION ALL SELECT doc_id, replace(lower(key), ' ', '_'), value, 1 FROM known_pairs) GROUP BY doc_id, field
+), header_fields AS (SELECT doc_id, {', '.join(f"max(v) FILTER (field = '{f}') AS {f}" for f in _HEADER_FIELDS)} FROM every_field GROUP BY doc_id
+), product_columns AS ({_columns({'name': R.PRODUCT_LABELS, 'quantity': R.QUANTITY_LABELS})}
+), table_products AS (
+  SELECT doc_id, string_agg(p || CASE WHEN k <> '' THEN ' x' || k ELSE '' END, ', ' ORDER BY r) AS products FROM (
+    SELECT doc_id, r, c[list_position(hs, n.name)] AS p, coalesce(c[list_position(hs, q.name)], '') AS k, row_number() OVER (PARTITION BY doc_id ORDER BY r) AS nth
+    FROM body JOIN (FROM product_columns WHERE field = 'name') n USING (doc_id) LEFT JOIN (FROM product_columns WHERE field = 'quantity') q USING (doc_id) WHERE NOT is_footer AND c[list_position(hs, n.name)] <> '') WHERE nth <= {R.HEADER_PRODUCTS} GROUP BY doc_id
+), joined AS (
+  SELECT * FROM classes LEFT JOIN date_lists USING (doc_id) LEFT JOIN total_lists USING (doc_id) LEFT JOIN (SELECT doc_id, fields, indented, order_id AS field_order_id, customer_name AS field_customer FROM field_lists) USING (doc_id) LEFT JOIN pair_lists USING (doc_id) LEFT JOIN row_lists USING (doc_id) LEFT JOIN shapes USING (doc_id) LEFT JOIN header_fields USING (doc_id) LEFT JOIN table_products USING (doc_id)
+), run_pages AS (
+  SELECT doc_id, 1 AS page, split_part(full_text, chr(10), 1) AS text FROM docs UNION ALL SELECT doc_id, 2, substr(full_text, instr(full_text, chr(10)) + 2) FROM docs
+), {_CHUNK_RULE.replace('SELECT doc_id, ', 'SELECT doc_id, page, ').replace('PARTITION BY doc_id ', 'PARTITION BY doc_id, page ') % {'cut': _CUT, 'table': 'run_pages', 'text': 'text'}
+}, run_chunks AS (
+  SELECT doc_id, 0 AS o, 'document_header' AS chunk_type, NULL AS page_number, {_HEADER_TEXT} AS t FROM joined
+  UNION ALL SELECT doc_id, (3 - page) * 10000 + pos, 'page_text', page, '[' || doc_id || ' / ' || document_type || ']' || chr(10) || piece FROM page_parts JOIN classes USING (doc_id)
+  UNION ALL SELECT doc_id, 1000000, 'table', NULL, '[' || doc_id || ' / ' || document_type || ' / table]' || chr(10) || raw_text FROM joined WHERE raw_text <> ''
+  UNION ALL SELECT doc_id, 2000000, 'entity_summary', NULL, '[' || doc_id || ' / ' || document_type || ']' || chr(10) || concat_ws(chr(10), '[ / ' || document_type || ']', 'Key Fields:' || chr(10) || indented, totals, 'Dates: ' || dates, 'Document Fields:' || chr(10) || shown_pairs, 'Table Data:' || chr(10) || table_data) FROM joined
+), chunk_counts AS (SELECT doc_id, count(*)::INT AS n_chunks FROM run_chunks GROUP BY doc_id)"""
+_RUN = _RUN.replace("GROUP BY doc_id)\n), final_fields", "GROUP BY doc_id\n), final_fields").replace("\n}, run_chunks", ", run_chunks")
+
 ORACLES = {
     "rendered_docs": DUCKDB,
     "doc_layout_hints": f"WITH {DOCS}, source AS (SELECT doc_id, full_text FROM docs UNION ALL SELECT doc_id::VARCHAR, coalesce(text, '') FROM documents), {_LAYOUT} SELECT * EXCLUDE (full_text, avg_line_length, colon_ratio), round(avg_line_length, 6) AS avg_line_length, round(colon_ratio, 6) AS colon_ratio FROM layout",
@@ -305,6 +349,25 @@ ORACLES = {
       UNION ALL SELECT doc_id, pos, 'page_text', 1, '[' || doc_id || ' / ' || document_type || ']' || chr(10) || piece FROM page_parts JOIN classes USING (doc_id)
       UNION ALL SELECT doc_id, 1000000, 'entity_summary', NULL, '[' || doc_id || ' / ' || document_type || ']' || chr(10) || concat_ws(chr(10), '[ / ' || document_type || ']', 'Key Fields:' || chr(10) || indented, totals, 'Dates: ' || dates, 'Document Fields:' || chr(10) || all_pairs) FROM {_JOINED_PARTS}
     ) SELECT doc_id, doc_id || '_chunk_' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY o))::VARCHAR, 4, '0') AS chunk_id, chunk_type, page_number::INT AS page_number, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM texts""",
+    "document_run": f"""{_RUN}
+    SELECT doc_id, document_type, round(class_confidence, 6) AS class_confidence, 'TABLE_MODE' AS document_mode, 2 AS n_pages, 1 AS n_tables, 0 AS n_items, n_chunks, round(CASE WHEN coalesce(field_order_id, order_id) IS NULL THEN 0 ELSE 0.1 END + CASE WHEN coalesce(customer_name, nullif({_strip("regexp_extract(full_text, '(?i)Customer\\s+Name\\s*[:\\-]\\s*([^\\n]+)', 1)")}, '')) IS NULL THEN 0 ELSE 0.1 END, 4)::DOUBLE AS confidence,
+      md5(concat_ws(chr(10), 'Document: ' || doc_id, 'Document Type: ' || document_type, fields, 'Dates: ' || dates, 'Total: ' || first_total, shape, some_pairs)) AS summary_md5, document_type AS profile_type, order_id, '' AS errors FROM joined JOIN chunk_counts USING (doc_id)""",
+    "document_run_chunks": f"""{_RUN}
+    SELECT doc_id, doc_id || '_chunk_' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY o))::VARCHAR, 4, '0') AS chunk_id, chunk_type, page_number::INT AS page_number, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM run_chunks""",
+    "profile_pairs": f"WITH {DOCS}, {_pairs(1)} SELECT * FROM pairs WHERE pos < {R.PAIR_CAP}",
+    "tables_by_page": f"WITH {_TABLES} SELECT doc_id, CASE WHEN count(*) < 5 THEN 1 ELSE 2 END::INT AS page_number, 1 AS n_tables, count(*)::INT AS n_rows FROM table_rows GROUP BY doc_id",
+    "stored_texts": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "text_information": f"""WITH cleaned AS (SELECT doc_id, {_strip("coalesce(text, '')")} AS t FROM documents), {', '.join(f"{n} AS (SELECT doc_id, string_agg(value, ',' ORDER BY pos) AS v FROM {_entity(kind, 'cleaned t')} GROUP BY doc_id)" for n, kind in (('e', 'email_addresses'), ('f', 'phone_numbers'), ('g', 'postal_codes')))}
+    SELECT doc_id, CASE WHEN t = '' THEN 'empty' ELSE 'success' END AS extraction_status, length(t)::INT AS n_chars, coalesce(e.v, '') AS emails, coalesce(f.v, '') AS phones, coalesce(g.v, '') AS postal FROM cleaned LEFT JOIN e USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN g USING (doc_id)""",
+    "rag_prompt": f"""{_FILTERED}, contexts AS (
+      SELECT query_id, string_agg('[' || doc_id || '] (' || document_type || ')' || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pick) AS context, bool_or(lower(document_type) IN ({', '.join(map(_quoted, R.RISK_TYPES))})) AS risky FROM m5 JOIN meta USING (doc_id) GROUP BY query_id
+    ), said AS (
+      SELECT conv_id AS query_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) AS memory FROM (
+        SELECT * FROM conversations WHERE role IN ('user', 'assistant') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY conv_id)
+    SELECT query_id, md5({_quoted(chat.SYSTEM)} || CASE WHEN risky THEN chr(10) || chr(10) || {_quoted(chat.RISK)} ELSE '' END) AS system_md5,
+      md5(concat_ws(chr(10) || chr(10), nullif(memory, ''), 'Documents:' || chr(10) || coalesce(context, {_quoted(chat.NOTHING)}), 'Question: What does ' || query_id || ' say?')) AS user_md5
+    FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0) LEFT JOIN contexts USING (query_id) LEFT JOIN said USING (query_id)""",
+    "index_rebuild_rows": f"SELECT vec_id, label, round({_DOT('embedding', 'embedding')}, 4) AS norm FROM embeddings WHERE embedding IS NOT NULL",
     "fuzzy_header_match": f"WITH RECURSIVE {_ALIKE} SELECT doc_id, 0 AS no, label, name AS column, round(score, 6)::DOUBLE AS score FROM label_columns",
     "header_products": f"""WITH RECURSIVE {_ALIKE}, found_columns AS ({_columns({'name': R.PRODUCT_LABELS, 'quantity': R.QUANTITY_LABELS})}
     ), shown AS (

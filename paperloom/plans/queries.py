@@ -11,6 +11,7 @@ from paperloom.functions import rules as R
 from paperloom.functions.keywords import marks
 from paperloom.functions.text import let, strip
 from paperloom.operators import bounded, chat, chunks, classify, entities, headers, items, tables, tags, vectors
+from paperloom.plans import run
 from paperloom.plans.rendered import raw_tables, rendered
 from paperloom.sources import ingest, store
 from paperloom.sources.buckets import Bucketed
@@ -220,6 +221,34 @@ def typed_fields_tables(spark, sf_dir):
     return _field_rows(_with_tables(spark, sf_dir))
 
 
+def _paged(spark, sf_dir):
+    """Documents in two pages, their first line and the rest, with the tables on the second."""
+    docs = rendered(spark, sf_dir).join(raw_tables(spark, sf_dir), "doc_id", "left")
+    cut = F.instr("full_text", "\n")
+    none = F.array().cast("array<array<array<string>>>")
+    page = lambda n, text, found: F.struct(F.lit(n).alias("page_number"), text.alias("text"), F.coalesce(found, none).alias("raw_tables"))
+    tail = F.substring("full_text", cut + 1, F.char_length("full_text"))
+    return docs.select("doc_id", F.array(page(2, tail, F.col("raw_tables")), page(1, F.substring("full_text", F.lit(1), cut - 1), none)).alias("pages"))
+
+
+@query
+def document_run(spark, sf_dir):
+    """A whole run over documents with pages and tables, a row a document."""
+    done = run.run(_paged(spark, sf_dir))
+    errors = F.concat_ws("; ", *[f"{step.name}_error" for step in run.STEPS])
+    return done.select(
+        "doc_id", "document_type", F.round("class_confidence", 6).alias("class_confidence"), "document_mode", F.size("pages").alias("n_pages"), F.size("tables").alias("n_tables"), F.size("line_items").alias("n_items"), F.size("chunks").alias("n_chunks"),
+        F.round("confidence", 4).alias("confidence"), F.md5("summary").alias("summary_md5"), F.get_json_object("profile_json", "$.doc_type").alias("profile_type"), F.get_json_object("normalized_schema", "$.order_id").alias("order_id"), errors.alias("errors"),
+    )
+
+
+@query
+def document_run_chunks(spark, sf_dir):
+    """The chunks of such a run: header with products, pages, tables and entities."""
+    out = chunks.listed(run.run(_paged(spark, sf_dir)))
+    return out.select("doc_id", "chunk_id", "chunk_type", "page_number", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 @query
 def page_chunks_boundary(spark, sf_dir):
     return chunks.exploded(_table(spark, sf_dir, "documents"), chunks.page_chunks(F.col("text")), "doc_id").select("doc_id", "pos", F.md5("text").alias("text_md5"))
@@ -420,6 +449,55 @@ def structured_sink(spark, sf_dir):
     return back.select("doc_id", F.col("c.page").alias("pos"), F.char_length("c.text").alias("n_chars"))
 
 
+@query
+def profile_pairs(spark, sf_dir):
+    """The key/value pairs of a profile: keys of any length, as many as it holds."""
+    docs = rendered(spark, sf_dir)
+    return docs.select("doc_id", F.posexplode(classify.pairs(F.col("full_text"))).alias("pos", "p")).select("doc_id", "pos", "p.key", "p.value")
+
+
+@query
+def tables_by_page(spark, sf_dir):
+    """Tables, a row each, gathered by document and page: those of few rows on one page, the others on the next."""
+    one = raw_tables(spark, sf_dir).select("doc_id", F.posexplode("raw_tables").alias("table_no", "rows")).withColumn("page_number", F.when(F.size("rows") < 5, 1).otherwise(2))
+    out = ingest.tables_by_page(one)
+    return out.select("doc_id", "page_number", F.size("raw_tables").alias("n_tables"), F.size(F.flatten("raw_tables")).alias("n_rows"))
+
+
+@query
+def stored_texts(spark, sf_dir):
+    """Texts written to the text store and read from it."""
+    path = f"{shared_dir(spark)}/paperloom/texts-{uuid.uuid4().hex}"
+    store.write_texts(_table(spark, sf_dir, "documents"), path)
+    return store.stored_texts(spark, path).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def text_information(spark, sf_dir):
+    """Extraction from texts of no known type, those without one in hand taken from the text store."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = entities.information(docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text"))), docs)
+    return out.select("doc_id", "extraction_status", F.char_length("cleaned_text").alias("n_chars"), F.array_join("email_addresses", ",").alias("emails"), F.array_join("phone_numbers", ",").alias("phones"), F.array_join("postal_codes", ",").alias("postal"))
+
+
+@query
+def rag_prompt(spark, sf_dir):
+    """What a model is asked: the question of each query with its context and the session's memory."""
+    r, q = _retriever(spark, sf_dir, "tag1")
+    found = r.retrieve(q)
+    risk = found.groupBy("query_id").agg(F.bool_or(chat.risky(F.col("document_type"), F.col("tags"))).alias("risky"))
+    said = chat.memory(_table(spark, sf_dir, "conversations"), 2).select(F.col("conv_id").alias("query_id"), "memory")
+    asked = q.select("query_id").join(chat.context(found), "query_id", "left").join(risk, "query_id", "left").join(said, "query_id", "left")
+    prompt = chat.prompt(F.concat(F.lit("What does "), F.col("query_id").cast("string"), F.lit(" say?")), F.col("context"), F.coalesce("memory", F.lit("")), F.coalesce("risky", F.lit(False)))
+    return asked.select("query_id", prompt.alias("p")).select("query_id", F.md5("p.system").alias("system_md5"), F.md5("p.user").alias("user_md5"))
+
+
+@query
+def index_rebuild_rows(spark, sf_dir):
+    """The vectors of a rebuilt index."""
+    return store.rebuilt(_table(spark, sf_dir, "embeddings")).select("vec_id", "label", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+
+
 @query
 def doc_classify_tables(spark, sf_dir):
     """Classification of documents that come with tables."""

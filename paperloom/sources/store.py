@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "paperloom-shared")
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` once as Parquet in the shared folder and reads it again."""
+    path = f"{shared_dir(df.sparkSession)}/paperloom/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Metadata records of a JSON array; broken files give no rows."""
     return spark.read.schema(METADATA + ", _corrupt STRING").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, mode="PERMISSIVE").where("_corrupt is null and doc_id is not null").drop("_corrupt")
@@ -69,16 +77,22 @@ def structured(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.to_json(F.struct(*[c for c in df.columns if c != "chunks"], cut.alias("chunks"))).alias("json"))
 
 
-def stored_texts(spark: SparkSession, path: str) -> DataFrame:
+def text_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and text of a folder of ``{doc_id}.txt``."""
-    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("doc_id"), F.col("content").cast("string").alias("text"))
 
 
 def write_texts(df: DataFrame, path: str) -> None:
-    """Writes doc_id and text as a Parquet table, one row a document rather than one file each."""
+    """Writes doc_id and text as a Parquet table, one row a document rather than one file each; ``stored_texts`` reads it."""
     df.select("doc_id", "text").write.mode("overwrite").parquet(path)
 
 
+def stored_texts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id and text, as ``write_texts`` wrote them."""
+    return spark.read.parquet(path).select("doc_id", "text")
+
+
 def write_structured(df: DataFrame, path: str) -> None:
     """Writes what ``structured`` keeps, one JSON object a line with its doc_id inside."""
     structured(df).select("json").write.mode("overwrite").text(path)
