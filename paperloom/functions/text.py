@@ -13,6 +13,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def held(fields: Column) -> Column:
+    """A struct that is worked out once a row, however often its fields are used: Spark would put the expressions of a bare struct's fields into each use of them."""
+    return F.element_at(F.array(fields), 1)
+
+
 def safe(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
 from paperloom.functions.arrays import firsts
-from paperloom.functions.text import blank, distinct_strings, find_all, first_match, let, safe, strip, title
+from paperloom.functions.text import blank, distinct_strings, find_all, first_match, held, let, safe, strip, title
 from paperloom.operators.classify import PAIRS, pairs, value_of
 
 FIELDS = sorted({f for fields in R.TYPED_FIELDS.values() for f in fields} | set(R.ENRICHED_FIELDS))
@@ -46,7 +46,7 @@ def typed_fields(text: Column, document_type: Column) -> Column:
             if name in fields:
                 value = F.when(kind == t, field(text, fields[name])).otherwise(value)
         columns.append(value.alias(name))
-    return F.struct(*columns)
+    return held(F.struct(*columns))
 
 
 def extracted(df: DataFrame, text: str = "full_text", tables: str | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def enriched(df: DataFrame, column_value=None, tables: str | None = None) -> Dat
         if name == "total_amount" and tables:
             options.append(F.get(F.filter(F.flatten(F.transform(F.col(tables), lambda x: F.transform(x["totals"], lambda f: blank(f["value"])))), lambda v: v.isNotNull()), F.lit(0)))
         fields[name] = F.coalesce(*options)
-    return df.withColumn("typed_fields", F.struct(*[v.alias(k) for k, v in fields.items()]))
+    return df.withColumn("typed_fields", held(F.struct(*[v.alias(k) for k, v in fields.items()])))
 
 
 def field_lines(typed: Column, separator: str, indent: str = "") -> list[Column]:
