@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
-from paperloom.functions.text import blank, find_all, first_match, lines, number, safe, strip
+from paperloom.functions.text import blank, find_all, first_match, let, lines, number, safe, strip
 from paperloom.operators.classify import value_of
 
 ITEM = "struct<product string, quantity double, unit_price double, line_total double>"
-STATE = f"struct<done array<{ITEM}>, now {ITEM}>"
 
 
 def document_mode(text: Column, tables: Column | None = None) -> Column:
@@ -31,21 +30,31 @@ def _events(text: Column) -> Column:
 
 
 def line_items(text: Column) -> Column:
-    """Items in order: a product label begins one, the other labels fill it, and bare lines go on with its name until it has a quantity."""
+    """Items in order: a product label begins one, the other labels fill it, and bare lines go on with its name until it has a quantity.
+
+    What stands before the first product fills its item. The events are parted at
+    the products, so that each item is made of its own and a long document takes
+    time in proportion to its lines.
+    """
     empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("product", "string"), ("quantity", "double"), ("unit_price", "double"), ("line_total", "double"))])
 
-    def step(state: Column, e: Column) -> Column:
-        now, kind = state["now"], e["kind"]
-        fresh = (kind == "product") & now["product"].isNotNull()
-        old = lambda name: F.when(~fresh, now[name])
-        taken = lambda label, name: F.when(kind == label, F.coalesce(number(e["value"]), now[name])).otherwise(old(name))
-        goes_on = (kind == "more") & now["product"].isNotNull() & now["quantity"].isNull()
-        product = F.when(kind == "product", e["value"]).when(goes_on, strip(F.concat_ws(" ", now["product"], e["value"]))).otherwise(now["product"])
-        item = F.struct(product.alias("product"), taken("quantity", "quantity").alias("quantity"), taken("unitprice", "unit_price").alias("unit_price"), taken("total", "line_total").alias("line_total"))
-        return F.struct(F.when(fresh, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"), item.alias("now"))
-
-    begin = F.struct(F.array().cast(f"array<{ITEM}>").alias("done"), empty.alias("now")).cast(STATE)
-    return F.aggregate(_events(text), begin, step, lambda s: F.when(s["now"]["product"].isNotNull(), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+    def fill(now: Column, e: Column) -> Column:
+        taken = lambda label, name: F.when(e["kind"] == label, F.coalesce(number(e["value"]), now[name])).otherwise(now[name]).alias(name)
+        goes_on = (e["kind"] == "more") & now["product"].isNotNull() & now["quantity"].isNull()
+        product = F.when(e["kind"] == "product", e["value"]).when(goes_on, strip(F.concat_ws(" ", now["product"], e["value"]))).otherwise(now["product"])
+        return F.struct(product.alias("product"), taken("quantity", "quantity"), taken("unitprice", "unit_price"), taken("total", "line_total"))
+
+    def parted(events: Column) -> Column:
+        products = F.filter(F.transform(events, lambda e, i: F.when(e["kind"] == "product", i)), lambda i: i.isNotNull())
+
+        def each(starts: Column) -> Column:
+            start = lambda s, j: F.when(j == 0, 0).otherwise(s)
+            own = lambda s, j: F.slice(events, start(s, j) + 1, F.coalesce(F.get(starts, j + 1), F.size(events)) - start(s, j))
+            return F.transform(starts, lambda s, j: F.aggregate(own(s, j), empty.cast(ITEM), fill))
+
+        return let(products, each)
+
+    return let(_events(text), parted)
 
 
 def normalised(df: DataFrame, text: str = "full_text", tables: str | None = None) -> DataFrame:

@@ -91,6 +91,47 @@ def test_line_items(value):
     assert value(None, items.line_items) == []
 
 
+LINES = ["Product: A", "Product:", "large", "Quantity: 2", "Quantity: x", "Unit Price: 3.5", "Total: $7", "Subtotal: 9", "Product: B Quantity: 4 Total: 1", "", "note"]
+
+
+def items_line_by_line(lines):
+    """The items as they grow, an event after the other."""
+    done, now = [], [None] * 4
+    for line in filter(None, map(str.strip, lines)):
+        parts = re.split(r"(?i)(Product:|Quantity:|Unit\s*Price:|Total:)", line)
+        for kind, value in [(re.sub(r"[\s:]", "", k.lower()), v.strip()) for k, v in zip(parts[1::2], parts[2::2])] or [("more", line)]:
+            if kind == "product":
+                if now[0] is not None:
+                    done.append(tuple(now))
+                    now = [None] * 4
+                now[0] = value
+            elif kind == "more":
+                if now[0] is not None and now[1] is None:
+                    now[0] = f"{now[0]} {value}".strip()
+            else:
+                digits = re.sub(r"[^0-9.]", "", value)
+                at = {"quantity": 1, "unitprice": 2, "total": 3}[kind]
+                now[at] = float(digits) if digits else now[at]
+    return done + ([tuple(now)] if now[0] is not None else [])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(LINES), max_size=14), min_size=1, max_size=12))
+def test_line_items_of_any_lines(spark, texts):
+    got = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "i long, t string").select("i", items.line_items(F.col("t")).alias("x")).collect()
+    assert {r["i"]: [tuple(x) for x in r["x"]] for r in got} == {i: items_line_by_line(t) for i, t in enumerate(texts)}
+
+
+def test_a_hundred_thousand_lines(spark):
+    import time
+
+    text = "\n".join(f"Product: P{i}\nQuantity: {i}\nUnit Price: 1\nTotal: {i}" for i in range(25_000))
+    start = time.time()
+    got = spark.createDataFrame([(text,)], "t string").select(items.line_items(F.col("t")).alias("x")).select(F.size("x").alias("n"), F.element_at("x", -1).alias("last")).first()
+    assert got["n"] == 25_000 and tuple(got["last"]) == ("P24999", 24999.0, 1.0, 24999.0)
+    assert time.time() - start < 60
+
+
 @pytest.mark.parametrize(("cells", "expected"), [(["A:", "", "A", ""], ["A", "Column", "A_2", "Column_2"]), ([], []), ([None, "b : "], ["Column", "b"])])
 def test_unique_headers(value, cells, expected):
     assert value(cells, tables.unique_headers, "array<string>") == expected
