@@ -78,9 +78,8 @@ def structured(df: DataFrame) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and text of a folder of ``{doc_id}.txt``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("doc_id"), F.col("content").cast("string").alias("text"))
+    """doc_id and text of a folder of ``{doc_id}.txt``; Spark passes over files of no length, which have no row."""
+    return spark.read.text(path, wholetext=True, pathGlobFilter="*.txt").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("doc_id"), F.col("value").alias("text"))
 
 
 def write_texts(df: DataFrame, path: str) -> None:

@@ -96,5 +96,6 @@ def test_empty_run(pages):
 
 def test_text_files(spark, tmp_path):
     (tmp_path / "DOC_1.txt").write_text("one\ntwo")
-    (tmp_path / "DOC_2.txt").write_text("")
-    assert {r["doc_id"]: r["text"] for r in store.text_files(spark, str(tmp_path)).collect()} == {"DOC_1": "one\ntwo", "DOC_2": ""}
+    (tmp_path / "DOC_2.txt").write_text("")  # of no length
+    (tmp_path / "other.json").write_text("{}")
+    assert {r["doc_id"]: r["text"] for r in store.text_files(spark, str(tmp_path)).collect()} == {"DOC_1": "one\ntwo"}
