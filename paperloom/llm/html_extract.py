@@ -12,8 +12,13 @@ and that don't pass, and for lists of links.
 
 Evidence are weights of elements: ``NAMED`` for classes, ids and forms that are
 called what menus, adverts and the like are called, ``DECLARED`` for an article
-or main element. The first is void for an element that holds a declared article
-or, on pages without one, most of the page's prose: such an element is a wrapper.
+or main element. A class or id counts by its whole: "related-posts" is made of
+such a word and of ``FURNITURE`` alone and counts, "related-work" doesn't. The
+first is void for an element that holds a declared article or, on pages without
+one, most of the page's prose: such an element is a wrapper. It is void as well
+for a paragraph of unlinked prose named by ``AMBIGUOUS`` words only, and for an
+element named by those only that holds ``PROSE`` characters of unlinked prose and
+next to no links: what an article says of shares or relations is its text.
 What HTML itself names as no content (``NO_CONTENT``), has such a role, holds
 readers' comments or is hidden never takes part.
 
@@ -40,7 +45,7 @@ from paperloom.llm.common import own_columns, read
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg object annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul button label legend".split()
@@ -55,8 +60,14 @@ NO_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search
 NO_CONTENT_WORDS = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside notice notices cookie cookies consent gdpr banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus reply replies respond share sharing social related breadcrumb breadcrumbs subscribe subscription newsletter signup login popup modal overlay widget toolbar pagination pager skip outbrain taboola recommended rail".split()
 )
-#: These name prose that isn't the page's own, however much of it there is.
-OTHERS_PROSE = frozenset("comment comments disqus reply replies respond related recommended outbrain taboola".split())
+#: What else a compound name of such an element may have in it.
+FURNITURE = frozenset(
+    "site page global main primary secondary top bottom left right container wrapper wrap inner outer area section block box bar slot unit module panel list items item links link buttons button icons row col column content body text title form thread count meta posts post articles stories news media widget widgets".split()
+)
+#: These are names of things that articles write about, too.
+AMBIGUOUS = frozenset("share sharing social related recommended rail menu notice notices header banner aside skip reply replies respond subscription promotion navigation".split())
+#: Readers' comments: prose that isn't the page's own, however much of it there is.
+OTHERS_PROSE = frozenset("comment comments disqus reply replies respond outbrain taboola".split())
 #: These may stand inside an article, with its own title in them.
 HEADERS = frozenset("header masthead banner".split())
 PUNCTUATION = re.compile(r"[.,;:!?。、，；：！？…]")
@@ -72,12 +83,14 @@ NAMED, DECLARED = 0.001, 4.0
 HOLDS = 0.9
 #: A list of links: so many blocks, and this share of the text linked.
 LINKS, LINKED = 3, 0.9
+#: So much unlinked prose, with at most this share of links, outweighs an ambiguous name.
+PROSE, FEW = 200, 0.1
 
 
 class Element:
     """An open or closed block element; ``near`` are the open items that a new item of its list or table would end, ``p`` the open paragraph."""
 
-    __slots__ = ("article", "declared", "depth", "header", "holds", "label", "name", "named", "near", "out", "p", "parent", "path", "total", "weight", "inner", "prose", "linked", "blocks", "content", "gone", "at", "wrapper")
+    __slots__ = ("article", "declared", "depth", "header", "holds", "label", "mild", "name", "named", "near", "out", "p", "parent", "path", "total", "weight", "inner", "prose", "linked", "blocks", "content", "gone", "at", "wrapper")
 
     def __init__(self, name: str, parent: Element | None, source: str = ""):
         self.name, self.parent = name, parent
@@ -85,6 +98,7 @@ class Element:
         inside = bool(parent and parent.article)
         self.declared = name in ("article", "main")
         self.out, self.named, self.header, self.wrapper = name in NO_CONTENT, name == "form", name == "header" and not inside, True
+        self.mild = False  # named by ambiguous words only
         self.label = name
         if source.strip():
             a = _attributes(source)
@@ -92,6 +106,7 @@ class Element:
             self.declared |= role == "main"
             self.header |= bool(words & HEADERS or role == "banner") and not inside
             self.wrapper = not words & OTHERS_PROSE
+            self.mild = not self.named and bool(words) and words <= AMBIGUOUS and role != "form" and name != "header"
             self.named |= bool(words - HEADERS) or role == "form"
             self.out |= role in NO_CONTENT_ROLES or "hidden" in a or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
             if first := (a.get("class") or a.get("id") or "").split():
@@ -124,8 +139,13 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _named(attributes: dict[str, str]) -> set[str]:
-    value = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return set(re.findall(r"[a-z]+", value.lower())) & NO_CONTENT_WORDS
+    """The words of ``NO_CONTENT_WORDS`` in classes and ids that are made of them and of furniture alone."""
+    found: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+        if parts <= NO_CONTENT_WORDS | FURNITURE:
+            found |= parts & NO_CONTENT_WORDS
+    return found
 
 
 def blocks(page: str) -> tuple[list[Block], list[Element]]:
@@ -218,10 +238,11 @@ def _weigh(found: list[Block], elements: list[Element]) -> None:
         up.holds |= e.holds or e.declared and not e.out and not e.named
     declared, paths = elements[0].holds, {}
     for e in elements:
-        wraps = e.wrapper and (e.holds if declared else 2 * e.prose > elements[0].prose)
+        own = e.mild and e.prose > 0 and (e.prose == e.total if e.name == "p" else e.prose >= PROSE and e.linked <= FEW * e.total)
+        wraps = own or e.wrapper and (e.holds if declared else 2 * e.prose > elements[0].prose)
         named = NAMED if e.named and not wraps else 1.0
         header = NAMED if e.header and not wraps else 1.0
-        e.out |= not e.wrapper or bool(e.parent and e.parent.out)
+        e.out |= not (e.wrapper or own and e.name == "p") or bool(e.parent and e.parent.out)
         up = (e.parent.path, e.parent.weight, e.parent.inner) if e.parent else (-1, 1.0, 1.0)
         e.weight = up[1] * named * header * (DECLARED if e.declared and not (e.parent and e.parent.article) else 1.0)
         e.inner = up[2] * named

@@ -97,6 +97,36 @@ def test_comments_longer_than_the_text_are_no_wrapper():
     assert main_text(f"<body><div class=text><p>{BODY}</p></div><div class=comments>{f'<div><p>{BODY}</p></div>' * 5}</div>") == BODY.strip()
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        (f"<section class='related-work'><h2>Related work</h2><p>{BODY}</p></section>", "Related work\n\n" + BODY.strip()),
+        (f"<section class='related'><h2>Related</h2><p>{BODY * 2}</p><p>{BODY}</p></section>", "Related\n\n" + (BODY * 2).strip() + "\n\n" + BODY.strip()),
+        ("<p id=recommended-dose>Take two a day.</p>", "Take two a day."),
+        ("<p class='share'>Share price fell, by 3.</p>", "Share price fell, by 3."),
+        ("<p class='reply'>The minister's reply was short.</p>", "The minister's reply was short."),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds.</p>", "So x=2 holds."),
+    ],
+)
+def test_names_of_article_text_remove_none_of_it(part, text):
+    assert main_text(f"<body><article><h1>Title</h1><p>{BODY}</p>{part}<p>{BODY}</p></article></body>") == f"Title\n\n{BODY.strip()}\n\n{text}\n\n{BODY.strip()}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<div class='share-buttons'><a href=x>Share this</a> <a href=y>Post it</a></div>",
+        "<p class='advert'>Buy two, pay one.</p>",
+        "<div class='relatedPosts'><ul><li><a href=a>One thing</a></li><li><a href=b>Another</a></li></ul></div>",
+        f"<section id=comments><div class=comment-body><p>{BODY}</p></div></section>",
+        "<div class='cookie-notice'>We use cookies. Accept them.</div>",
+        "<p class='newsletter-form'>Write to us, every week.</p>",
+    ],
+)
+def test_furniture_inside_an_article_goes(part):
+    assert main_text(f"<body><article><h1>Title</h1><p>{BODY}</p>{part}<p>{BODY}</p></article></body>") == f"Title\n\n{BODY.strip()}\n\n{BODY.strip()}"
+
+
 def test_extract_keeps_every_page(spark):
     rows = extract(spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>é</p>", "y")], "page_id long, url string, html string, text string")).collect()
     assert sorted((r["n_chars"], r["text"]) for r in rows) == [(0, ""), (0, ""), (1, "é")]
