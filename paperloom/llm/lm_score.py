@@ -6,18 +6,16 @@ size of the corpus, are arcs with a discounted probability. Each context has a
 failure arc with its backoff weight to its suffix; the weights are normalised,
 so that the probabilities of all tokens after any context sum to one.
 
-A text's score is that of a traversal from left to right, where a missing arc
-is answered by failure arcs. It is a sum over the text's n-grams, in any order:
-each word pays its unigram probability and the failure arc that the next token
-takes from it; each kept bigram pays its own probability and the next token's
-failure arc, and takes back what its words have paid in its place; each kept
-trigram does so for its bigram. (A kept trigram's bigrams are kept, too.) So
-each n-gram has one weight, and the documents' n-grams are joined to the
-weights and added up by document: all orders in one join, ``BATCHES`` shares of
-the documents one after the other, so that a share's n-grams are on disk at a
-time. Counts and weights grow with the corpus and stay in tables; only the
-weights of words of at least one in ``VOCABULARY`` tokens are broadcast, so that
-no frequent word is a key of a join.
+Scoring runs each text through the automaton from left to right (``traverse``):
+the state is the longest kept suffix of what was read, at most a bigram; a token
+takes the state's arc, or else its failure arc, and so on down to the empty state.
+The automaton is never in one place: documents are dealt into shares of about
+``SHARE`` bytes; each share asks for the arcs that its texts can meet, each of its
+distinct n-grams once, by one join with the table of arcs, and is traversed in one
+task with what it was given. ``BATCHES`` groups of shares go one after the other,
+so that a group's n-grams are on disk at a time. A frequent n-gram is thus one row
+a share; words of at least one in ``VOCABULARY`` tokens are broadcast and never
+asked for. Counts and arcs grow with the corpus and stay in tables.
 
 Tokens are 64-bit hashes of lower-cased words. Defined results: null texts are
 empty, of the end token only; a null doc_id is not held out; without training
@@ -32,7 +30,9 @@ import functools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +42,13 @@ VOCABULARY = 10_000
 MINIMUM = 2
 DISCOUNT = 0.5
 END = 0x5EED0FE0D0C5E11D
-COUNT_SLICE = 2 << 20
+COUNT_SLICE = 8 << 20
+SHARE = 4 << 20
 BATCHES = 5
+#: Trigrams are counted in so many parts of their hashes, one after the other.
+COUNTS = 2
+#: Tokens whose weights are Python objects at a time.
+PIECE = 1 << 17
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +112,8 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 PARTS = {2: ("t0", "t1"), 3: ("t01", "t12")}
 
 
-def ngram_counts(training: DataFrame, n: int) -> DataFrame:
-    """The parts and c of the n-grams that occur at least MINIMUM times in all training texts."""
+def ngram_counts(training: DataFrame, n: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """The parts and c of the n-grams of one part of all hashes that occur at least MINIMUM times in all training texts."""
     names = PARTS[n]
     schema = pa.schema([(t, pa.int64()) for t in [*names, "c"]])
 
@@ -117,187 +122,172 @@ def ngram_counts(training: DataFrame, n: int) -> DataFrame:
             for _, _, data, offsets in slices(b.column(0), COUNT_SLICE):
                 h, _, two, on = _ngrams(data, offsets)
                 a, z = (h[:-1][on], h[1:][on]) if n == 2 else (two[:-1][on[:-1] & on[1:]], two[1:][on[:-1] & on[1:]])
-                _, first, c = np.unique(pair_hash(a, z), return_index=True, return_counts=True)
+                key = pair_hash(a, z)
+                if parts > 1:
+                    mine = key % np.uint64(parts) == part
+                    key, a, z = key[mine], a[mine], z[mine]
+                _, first, c = np.unique(key, return_index=True, return_counts=True)
                 yield batch(schema, signed(a[first]), signed(z[first]), c)
 
     counted = training.select("text").mapInArrow(count, ", ".join(f"{t} long" for t in [*names, "c"]))
     return counted.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= MINIMUM)
 
 
-def weights(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataFrame, DataFrame]:
-    """What each n-gram adds to a score: (token, c, v) of words, (key, v) of kept bigrams and trigrams."""
+def arcs(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataFrame, DataFrame]:
+    """The automaton: (token, c, p, back) of words, (key, p, back) of kept bigrams and trigrams; back is the failure arc of the state that an arc leads to."""
     p1 = lambda c: F.log10(c + 1.0) - floor
     p2, p3 = F.log10((F.col("c") - DISCOUNT) / F.col("c0")), F.log10((F.col("c") - DISCOUNT) / F.col("c01"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
     two = ngram_counts(training, 2).join(counts.select(F.col("token").alias("t0"), F.col("c").alias("c0")), "t0").join(counts.select(F.col("token").alias("t1"), F.col("c").alias("c1")), "t1")
     two = materialise(two.select("t0", "t1", "c", "c0", "c1"), "lm-bigrams")
     # Of a context: what its arcs leave to others, over what their words have below it.
     left = (F.col("c0") - F.sum("c") + DISCOUNT * F.count("*")) / F.col("c0")
-    fail1 = two.groupBy("t0", "c0").agg(F.log10(left / F.greatest(1 - F.sum(F.pow(F.lit(10.0), p1(F.col("c1")))), F.lit(1e-12))).alias("fail1")).drop("c0")
-    fail1 = materialise(fail1, "lm-word-failures")
-    triples = materialise(ngram_counts(training, 3), "lm-triples")
+    fail1 = two.groupBy("t0", "c0").agg(F.log10(left / F.greatest(1 - F.sum(F.pow(F.lit(10.0), p1(F.col("c1")))), F.lit(1e-12))).alias("back")).drop("c0")
+    counted = [materialise(ngram_counts(training, 3, i, COUNTS), f"lm-triples-{i}") for i in range(COUNTS)]
+    triples = functools.reduce(DataFrame.union, counted)
     key = F.xxhash64("t0", "t1")
-    suffix = two.select(key.alias("t12"), F.col("c").alias("c12"), F.col("c0").alias("c1"), p2.alias("p2"))
+    suffix = two.select(key.alias("t12"), F.col("c").alias("c12"), F.col("c0").alias("c1"))
     three = triples.join(suffix, "t12").join(two.select(key.alias("t01"), F.col("c").alias("c01")), "t01")
-    arcs = Window.partitionBy("t01")
-    over = lambda all_of, c: (F.col(all_of) - F.sum(c).over(arcs) + DISCOUNT * F.count("*").over(arcs)) / F.col(all_of)
-    three = three.withColumn("fail2", F.log10(over("c01", "c") / over("c1", "c12")))
-    three = materialise(three.select("t01", F.xxhash64("t01", "t12").alias("key"), "fail2", (p3 - F.col("p2") - F.col("fail2")).alias("v")), "lm-trigrams")
-    discard(triples)
-    fail2 = three.groupBy(F.col("t01").alias("key")).agg(F.max("fail2").alias("fail2"))
-    of_two = two.join(fail1, "t0").select(key.alias("key"), (p2 - p1(F.col("c1")) - F.col("fail1")).alias("v")).join(fail2, "key", "left").select("key", (F.col("v") + zero("fail2")).alias("v"))
-    of_grams = materialise(of_two.union(three.select("key", "v")), "lm-weights")
+    context = Window.partitionBy("t01")
+    over = lambda all_of, c: (F.col(all_of) - F.sum(c).over(context) + DISCOUNT * F.count("*").over(context)) / F.col(all_of)
+    three = three.withColumn("back", F.log10(over("c01", "c") / over("c1", "c12")))
+    three = materialise(three.select("t01", F.xxhash64("t01", "t12").alias("key"), "back", p3.alias("p")), "lm-trigrams")
+    for table in counted:
+        discard(table)
+    fail2 = three.groupBy(F.col("t01").alias("key")).agg(F.max("back").alias("back"))
+    of_two = two.select(key.alias("key"), p2.alias("p")).join(fail2, "key", "left").select("key", "p", F.coalesce("back", F.lit(0.0)).alias("back"))
+    of_grams = materialise(of_two.union(three.select("key", "p", F.lit(0.0).alias("back"))), "lm-arcs")
+    of_words = counts.join(fail1.withColumnRenamed("t0", "token"), "token", "left").select("token", "c", p1(F.col("c")).alias("p"), F.coalesce("back", F.lit(0.0)).alias("back"))
+    of_words = materialise(of_words, "lm-word-arcs")
     discard(two)
     discard(three)
-    of_words = counts.join(fail1.withColumnRenamed("t0", "token"), "token", "left").select("token", "c", (p1(F.col("c")) + zero("fail1")).alias("v"))
-    return materialise(of_words, "lm-word-weights"), of_grams
+    return of_words, of_grams
 
 
-def gram_sums(keyed: DataFrame, weighed: DataFrame, vocabulary) -> DataFrame:
-    """doc_id, h and the sums of v, base and seen: over a document's kept bigrams and trigrams, and its words outside the broadcast vocabulary."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "h", "key")])
+def dealt(marked: DataFrame) -> DataFrame:
+    """doc_id, held_out, text and share: the number of a run of rows with about SHARE bytes of text. Written once, so that a share is the same in every job."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("share", pa.int64())])
 
-    def emit(batches):
+    def deal(batches):
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
-            ids, hs = (b.column(i) for i in (0, 1))
-            for first, _, data, offsets in slices(b.column(2)):
-                h, row, two, on = _ngrams(data, offsets)
-                rare = (_ids(h, vocabulary.value[0]) == 0) & (h != np.uint64(END))
-                three = on[:-1] & on[1:]
-                at = pa.array(first + np.concatenate([row[rare], row[:-1][on], row[: len(three)][three]]))
-                yield batch(schema, ids.take(at), hs.take(at), signed(np.concatenate([h[rare], two[on], pair_hash(two[:-1][three], two[1:][three])])))
+            for row, upto, _, _ in slices(b.column(2), SHARE):
+                number += 1
+                yield batch(schema, *[b.column(i).slice(row, upto - row) for i in range(3)], np.full(upto - row, number))
 
-    found = keyed.select("doc_id", "h", "text").mapInArrow(emit, "doc_id long, h long, key long")
-    return found.join(weighed.hint("shuffle_hash"), "key").groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("v", "base", "seen")])
+    return materialise(marked.select("doc_id", "held_out", "text").mapInArrow(deal, "doc_id long, held_out boolean, text string, share long"), "lm-shares")
 
 
-class Automaton:
-    """The same model in one process, for corpora of at most VOCABULARY words: what the tables are tested against.
+def asked(shares: DataFrame, known) -> DataFrame:
+    """share, key: the distinct n-grams of each share, but for the words of the broadcast vocabulary."""
+    schema = pa.schema([("share", pa.int64()), ("key", pa.int64())])
 
-    State 0 is the empty context, state i the vocabulary's i-th word, higher ones are kept bigrams.
+    def emit(batches):
+        for b in batches:
+            share = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.diff(share, prepend=share[:1] - 1, append=share[-1:] + 1)) if len(share) else []
+            for a, z in zip(edges[:-1], edges[1:]):
+                for _, _, data, offsets in slices(b.column(1).slice(a, z - a), SHARE):
+                    h, _, two, on = _ngrams(data, offsets)
+                    rare = (_ids(h, known.value[0]) == 0) & (h != np.uint64(END))
+                    three = on[:-1] & on[1:]
+                    key = pd.unique(np.concatenate([h[rare], two[on], pair_hash(two[:-1][three], two[1:][three])]))
+                    yield batch(schema, np.full(len(key), share[a]), signed(key))
+
+    return shares.select("share", "text").mapInArrow(emit, "share long, key long")
+
+
+def traverse(begins: np.ndarray, word: np.ndarray, word_back: np.ndarray, two: np.ndarray, two_back: np.ndarray, three: np.ndarray) -> list[float]:
+    """The log10 probabilities of texts, read from left to right.
+
+    Per token: whether a text begins, the arc from the empty state and the
+    failure arc of the state that it leads to, the same of the arc from the state
+    of the word before, and the arc from that of the two words before; NaN where
+    there is no such arc. ``depth`` and the two failure arcs are the state.
     """
-
-    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, total: int, distinct: int, grams: dict[int, int], discount: float = DISCOUNT):
-        base, self.vocabulary = VOCABULARY + 2, vocabulary
-        self.floor = math.log10(total + distinct + 1)
-        self.unigram = np.concatenate([[0.0], np.log10(counts + 1.0) - self.floor])
-        self.known = np.concatenate([[False], counts > 0])
-        self.width = len(vocabulary) + 1
-        end = int(_ids(np.array([END], np.uint64), vocabulary)[0])
-        bigrams = {g: c for g, c in grams.items() if g < base * base and g // base != end}
-        self.fail, self.backoff = [0] * self.width, [0.0] * self.width
-        state_of: dict[int, int] = {}
-        for g in sorted({g // base for g in grams if g >= base * base} & bigrams.keys()):
-            if g % base != end:
-                state_of[g] = len(self.fail)
-                self.fail.append(g % base)
-                self.backoff.append(0.0)
-        #: state * width + id -> (next state, log10 probability)
-        self.arcs: dict[int, tuple[int, float]] = {}
-        count = np.concatenate([[0], counts])
-        lower: dict[int, float] = {}
-        for context, arcs in _by_context(bigrams, base).items():
-            p = {w: (c - discount) / count[context] for w, c in arcs.items()}
-            self._weigh(context, p, {w: 10 ** self.unigram[w] for w in p})
-            for w, x in p.items():
-                lower[context * base + w] = x
-                self.arcs[context * self.width + w] = (state_of.get(context * base + w, w), math.log10(x))
-        for context, arcs in _by_context({g: c for g, c in grams.items() if g >= base * base}, base).items():
-            if (state := state_of.get(context)) is None:
-                continue
-            p = {w: (c - discount) / bigrams[context] for w, c in arcs.items()}
-            suffix = context % base
-            self._weigh(state, p, {w: lower.get(suffix * base + w) or 10 ** (self.backoff[suffix] + self.unigram[w]) for w in p})
-            for w, x in p.items():
-                self.arcs[state * self.width + w] = (state_of.get(suffix * base + w, w), math.log10(x))
-
-    def _weigh(self, state: int, p: dict[int, float], below: dict[int, float]) -> None:
-        """The backoff weight with which all probabilities after ``state`` sum to one; arcs that leave nothing for others are scaled."""
-        rest = 1 - sum(p.values())
-        if rest < 1e-9:
-            for w in p:
-                p[w] *= (1 - 1e-6) / (1 - rest)
-            rest = 1e-6
-        self.backoff[state] = math.log10(rest / max(1 - sum(below.values()), 1e-12))
-
-    def traverse(self, ids: list[int]) -> float:
-        """The log10 probability of a text's tokens, but for the unigram part of words outside the vocabulary."""
-        arcs, fail, backoff, unigram, width = self.arcs, self.fail, self.backoff, self.unigram_list, self.width
-        state, total = 0, 0.0
-        for i in ids:
-            while state:
-                if i and (arc := arcs.get(state * width + i)) is not None:
-                    break
-                total += backoff[state]
-                state = fail[state]
-            else:
-                total += unigram[i]
-                state = i
-                continue
-            state = arc[0]
-            total += arc[1]
-        return total
-
-    def __setstate__(self, state):
-        self.__dict__ = state
-        self.unigram_list = self.unigram.tolist()
-
-
-def _by_context(grams: dict[int, int], base: int) -> dict[int, dict[int, int]]:
-    out: dict[int, dict[int, int]] = {}
-    for g, c in grams.items():
-        out.setdefault(g // base, {})[g % base] = c
-    return out
+    out, total, depth, back1, back2 = [], 0.0, 0, 0.0, 0.0
+    for at in range(0, len(word), PIECE):
+        for begin, w, wb, t, tb, z in zip(*[x[at : at + PIECE].tolist() for x in (begins, word, word_back, two, two_back, three)]):
+            if begin:
+                out.append(total)
+                total, depth = 0.0, 0
+            if depth == 2:
+                if z == z:
+                    total += z
+                    back1, back2 = wb, tb
+                    continue
+                total += back2  # down to the last word's state
+                depth = 1
+            if depth == 1:
+                if t == t:
+                    total += t
+                    depth, back1, back2 = 2, wb, tb
+                    continue
+                total += back1
+            total += w
+            depth, back1 = 1, wb
+    return [*out[1:], total] if out else []
+
+
+def traversed(shares: DataFrame, given: DataFrame, known, floor: float) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and score of each document, by its share's arcs (share, key, p, back)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        vocabulary, p_of, back_of = known.value
+        keys, first = np.unique(found.column("key").to_numpy(), return_index=True)
+        p, back = (np.append(found.column(c).to_numpy()[first], np.nan) for c in ("p", "back"))
+        index = pd.Index(keys)
+        look = lambda h: index.get_indexer(signed(h))  # noqa: E731  (-1, the NaN, where there is none)
+        docs, parts = docs.combine_chunks(), []
+        for row, upto, data, offsets in slices(docs.column("text"), SHARE):
+            h, of, two, on = _ngrams(data, offsets)
+            begins = np.diff(of, prepend=-1) > 0
+            ids = _ids(h, vocabulary)
+            word, word_back = p_of[ids], back_of[ids]
+            other = np.flatnonzero(ids == 0)
+            at = look(h[other])
+            word[other], word_back[other] = np.where(at < 0, -floor, p[at]), np.where(at < 0, 0.0, back[at])
+            seen = ids > 0
+            seen[other] = at >= 0
+            arc = np.full((3, len(h)), np.nan)
+            on3 = on[:-1] & on[1:]
+            at = look(two[on])
+            arc[0, 1:][on], arc[1, 1:][on] = p[at], back[at]
+            arc[2, 2:][on3] = p[look(pair_hash(two[:-1][on3], two[1:][on3]))]
+            edges = np.flatnonzero(begins)
+            base, n_known = np.add.reduceat(word, edges), np.add.reduceat(seen.astype(np.int64), edges)
+            parts.append(batch(schema, *[docs.column(c).slice(row, upto - row).combine_chunks() for c in ("doc_id", "held_out")], np.bincount(of), n_known, base, traverse(begins, word, word_back, *arc)))
+        return pa.Table.from_batches(parts, schema)
+
+    return shares.groupBy("share").cogroup(given.groupBy("share")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; ``held_out`` is a condition."""
     spark = docs.sparkSession
-    marked = own_columns(docs, "doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    training = marked.where("not held_out")
+    shares = dealt(own_columns(docs, "doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False))))
+    training = shares.where("not held_out")
     counts = materialise(word_counts(training), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     floor = math.log10(total + distinct + 1)
-    of_words, of_grams = weights(training, counts, floor)
+    of_words, of_grams = arcs(training, counts, floor)
     end = np.array([END], np.uint64).view(np.int64)[0]
-    rows = of_words.where((F.col("c") * VOCABULARY >= total) | (F.col("token") == F.lit(int(end)))).collect()  # at most VOCABULARY + 1
+    frequent = (F.col("c") * VOCABULARY >= total) | (F.col("token") == F.lit(int(end)))
+    rows = of_words.where(frequent).collect()  # at most VOCABULARY + 1
     rows.sort(key=lambda r: r["token"] % (1 << 64))
     vocabulary = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
-    # Other words count as unknown here; what the known ones of them have more is joined to them.
-    base_of = np.concatenate([[-floor], np.log10(np.array([r["c"] for r in rows], float) + 1) - floor])
-    known = spark.sparkContext.broadcast((vocabulary, base_of, np.array([-floor, *[r["v"] for r in rows]])))
-
-    scored_schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("auto", pa.float64())])
-
-    def frequent(batches):
-        vocabulary, base_of, weight_of = known.value
-        for b in batches:
-            for row, upto, data, offsets in slices(b.column(3)):
-                h, bounds = tokens(data, offsets)
-                ids = _ids(h, vocabulary)
-                base, auto, seen = (np.add.reduceat(x, bounds[:-1]) for x in (base_of[ids], weight_of[ids], (ids > 0).astype(np.int64)))
-                yield batch(scored_schema, *[b.column(i).slice(row, upto - row) for i in range(3)], np.diff(bounds), seen, base, auto)
-
-    keyed = marked.withColumn("h", F.xxhash64("text"))
-    scored = keyed.select("doc_id", "held_out", "h", "text").mapInArrow(frequent, "doc_id long, held_out boolean, h long, n_tokens long, n_known long, base double, auto double")
-    # Words outside the vocabulary are each less than one in VOCABULARY tokens.
-    rest_of = of_words.select(F.col("token").alias("key"), (F.col("v") + floor).alias("v"), F.log10(F.col("c") + 1.0).alias("base"), F.lit(1).cast("long").alias("seen"))
-    weighed = of_grams.select("key", "v", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("seen")).union(rest_of)
-    # Each share is written on its own, so that one share's shuffle files are there at a time.
-    parts = [materialise(gram_sums(keyed.where(F.pmod("h", F.lit(BATCHES)) == i), weighed, known), f"lm-sums-{i}") for i in range(BATCHES)]
-    sums = functools.reduce(DataFrame.union, parts).select(F.col("doc_id").alias("d"), F.col("h").alias("k"), *[F.col(x).alias(f"{x}_sum") for x in ("v", "base", "seen")])
-    same = Window.partitionBy("doc_id", "h")  # equal rows: their n-grams have been summed together
-    joined = scored.withColumn("times", F.count("*").over(same)).join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("k")), "left")
-    rest = lambda x: F.coalesce(F.col(f"{x}_sum") / F.col("times"), F.lit(0.0))
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + rest("seen").cast("long")).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest("base")).alias("base_score"),
-        (F.col("auto") + rest("v")).alias("score"),
-    )
+    known = spark.sparkContext.broadcast((vocabulary, *[np.array([x, *[r[c] for r in rows]]) for c, x in (("p", -floor), ("back", 0.0))]))
+    automaton = of_grams.union(of_words.where(~frequent).select(F.col("token").alias("key"), "p", "back"))
+
+    parts = []
+    for i in range(BATCHES):
+        mine = shares.where(F.pmod(F.xxhash64("share"), F.lit(BATCHES)) == i)
+        given = asked(mine, known).join(automaton.hint("shuffle_hash"), "key").select("share", "key", "p", "back")
+        parts.append(materialise(traversed(mine, given, known, floor), f"lm-scores-{i}"))
+    for table in (of_words, of_grams, counts, shares):
+        discard(table)
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return functools.reduce(DataFrame.union, parts).select(*columns)
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from automaton import Automaton
 from paperloom.llm import decontaminate, fingerprint, language_id, lm_score, quality
 from paperloom.llm.common import NOT_ALNUM, flat, words
 from paperloom.llm.html_extract import extract, main_text
@@ -252,6 +253,53 @@ def test_pair_hash_is_that_of_spark(spark):
     assert [r["h"] for r in rows] == lm_score.pair_hash(*x.astype(np.uint64).T).view(np.int64).tolist()
 
 
+def test_scores_of_the_table_are_those_of_the_automaton(spark):
+    """Whole sf0.001: the traversal of shares against one automaton of all kept n-grams."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    split = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")), None]
+    texts = [(r["doc_id"], split(r["text"])) for r in docs.collect()]
+    training = [t for i, t in texts if not held(i)]
+    counts = Counter(w for t in training for w in t)
+    grams = [Counter(), Counter()]
+    for t in training:
+        grams[0].update(zip(t, t[1:]))
+        grams[1].update(zip(t, t[1:], t[2:]))
+    two, three = ({g: c for g, c in x.items() if c > 1} for x in grams)
+    n, v = sum(counts.values()), len(counts)
+    floor = math.log10(n + v + 1)
+    p1 = {w: math.log10(c + 1) - floor for w, c in counts.items()}
+    left, below, left2, below2 = Counter(), Counter(), Counter(), Counter()
+    for (a, b), c in two.items():
+        left[a] += c - 0.5
+        below[a] += 10 ** p1[b]
+    for (a, b, z), c in three.items():
+        left2[a, b] += c - 0.5
+        below2[a, b] += (two[b, z] - 0.5) / counts[b]
+    back1 = {a: math.log10((1 - x / counts[a]) / (1 - below[a])) for a, x in left.items()}
+    back2 = {g: math.log10((1 - x / two[g]) / (1 - below2[g])) for g, x in left2.items()}
+
+    def of(t):
+        total, state = 0.0, ()
+        for w in t:
+            if len(state) == 2 and (c := three.get((*state, w))):
+                total, state = total + math.log10((c - 0.5) / two[state]), (state[1], w)
+                continue
+            if len(state) == 2:
+                total, state = total + back2.get(state, 0.0), state[1:]
+            if state and (c := two.get((*state, w))):
+                total, state = total + math.log10((c - 0.5) / counts[state[0]]), (*state, w)
+                continue
+            total, state = total + (back1.get(state[0], 0.0) if state else 0.0) + p1.get(w, -floor), (w,)
+        return total
+
+    want = dict((i, of(t)) for i, t in texts)
+    got = lm_score.score(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-6, rel=1e-9)
+
+
 def test_automaton_probabilities_sum_to_one(spark, make, words):
     text = words(400, 1).split()[:40] * 30
     h = np.sort(np.unique(np.array([zlib.crc32(w.encode()) for w in text], np.uint64)))
@@ -259,7 +307,7 @@ def test_automaton_probabilities_sum_to_one(spark, make, words):
     base = lm_score.VOCABULARY + 2
     grams = Counter(a * base + b for a, b in zip(ids, ids[1:])) + Counter((a * base + b) * base + c for a, b, c in zip(ids, ids[1:], ids[2:]))
     count = np.array([ids.count(i + 1) for i in range(len(h))], np.int64)
-    m = lm_score.Automaton(h, count, len(ids), len(h), {g: c for g, c in grams.items() if c > 1})
+    m = Automaton(h, count, len(ids), len(h), {g: c for g, c in grams.items() if c > 1})
     m.__setstate__(m.__dict__)
     unknown = 1 / (len(ids) + len(h) + 1)
     for before in ([], [ids[0]], ids[:2], ids[5:8]):
@@ -297,7 +345,7 @@ def test_scores_are_those_of_the_automaton_of_all_words(make, words):
     count = np.zeros(v, np.int64)
     for w, c in counts.items():
         count[place(last if w is None else ids[w]) - 1] = c
-    m = lm_score.Automaton(np.array([*range(1, v), lm_score.END], np.uint64), count, n, v, moved)
+    m = Automaton(np.array([*range(1, v), lm_score.END], np.uint64), count, n, v, moved)
     m.__setstate__(m.__dict__)
     got = lm_score.score(make(texts), F.col("doc_id").isin(*held)).collect()
     assert len(got) == len(texts)
