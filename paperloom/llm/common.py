@@ -47,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "paperloom-shared")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it again: later jobs, and retries after a lost executor, start from the files."""
     path = f"{shared_dir(df.sparkSession)}/paperloom/{label}-{uuid.uuid4().hex}"
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -55,7 +55,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     # Once the table is written nothing reads the job's shuffle files again, so Spark may delete them.
     conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

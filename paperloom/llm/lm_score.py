@@ -11,11 +11,12 @@ the state is the longest kept suffix of what was read, at most a bigram; a token
 takes the state's arc, or else its failure arc, and so on down to the empty state.
 The automaton is never in one place: documents are dealt into shares of about
 ``SHARE`` bytes; each share asks for the arcs that its texts can meet, each of its
-distinct n-grams once, by one join with the table of arcs, and is traversed in one
-task with what it was given. ``BATCHES`` groups of shares go one after the other,
-so that a group's n-grams are on disk at a time. A frequent n-gram is thus one row
-a share; words of at least one in ``VOCABULARY`` tokens are broadcast and never
-asked for. Counts and arcs grow with the corpus and stay in tables.
+distinct n-grams once, by one join with the table of arcs, which is bucketed by
+key, and is traversed in one task with what it was given. ``BATCHES`` groups of
+shares go one after the other, so that a group's n-grams are on disk at a time. A
+frequent n-gram is thus one row a share; words of at least one in ``VOCABULARY``
+tokens are broadcast and never asked for. Counts and arcs grow with the corpus and
+stay in tables.
 
 Tokens are 64-bit hashes of lower-cased words. Defined results: null texts are
 empty, of the end token only; a null doc_id is not held out; without training
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import functools
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batch, discard, materialise, own_columns, read, signed, slices, words
+from paperloom.llm.common import batch, discard, materialise, n_tasks, own_columns, read, shared_dir, signed, slices, words
 
 VOCABULARY = 10_000
 MINIMUM = 2
@@ -163,6 +165,15 @@ def arcs(training: DataFrame, counts: DataFrame, floor: float) -> tuple[DataFram
     return of_words, of_grams
 
 
+def bucketed(automaton: DataFrame) -> tuple[str, DataFrame]:
+    """The arcs in a table bucketed by key (its name, the table): each group of shares is joined to it without shuffling it."""
+    spark, name = automaton.sparkSession, f"lm_arcs_{uuid.uuid4().hex}"
+    n = n_tasks(spark)
+    path = f"{shared_dir(spark)}/paperloom/{name}"
+    automaton.repartition(n, "key").write.bucketBy(n, "key").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return name, spark.table(name)
+
+
 def dealt(marked: DataFrame) -> DataFrame:
     """doc_id, held_out, text and share: the number of a run of rows with about SHARE bytes of text. Written once, so that a share is the same in every job."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("share", pa.int64())])
@@ -174,7 +185,7 @@ def dealt(marked: DataFrame) -> DataFrame:
                 number += 1
                 yield batch(schema, *[b.column(i).slice(row, upto - row) for i in range(3)], np.full(upto - row, number))
 
-    return materialise(marked.select("doc_id", "held_out", "text").mapInArrow(deal, "doc_id long, held_out boolean, text string, share long"), "lm-shares")
+    return materialise(marked.select("doc_id", "held_out", "text").mapInArrow(deal, "doc_id long, held_out boolean, text string, share long"), "lm-shares", "zstd")
 
 
 def asked(shares: DataFrame, known) -> DataFrame:
@@ -278,14 +289,18 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     vocabulary = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
     known = spark.sparkContext.broadcast((vocabulary, *[np.array([x, *[r[c] for r in rows]]) for c, x in (("p", -floor), ("back", 0.0))]))
     automaton = of_grams.union(of_words.where(~frequent).select(F.col("token").alias("key"), "p", "back"))
+    name, by_key = bucketed(automaton)
+    for table in (of_words, of_grams, counts):
+        discard(table)
 
     parts = []
     for i in range(BATCHES):
         mine = shares.where(F.pmod(F.xxhash64("share"), F.lit(BATCHES)) == i)
-        given = asked(mine, known).join(automaton.hint("shuffle_hash"), "key").select("share", "key", "p", "back")
+        given = asked(mine, known).join(by_key.hint("shuffle_hash"), "key").select("share", "key", "p", "back")
         parts.append(materialise(traversed(mine, given, known, floor), f"lm-scores-{i}"))
-    for table in (of_words, of_grams, counts, shares):
-        discard(table)
+    discard(by_key)
+    discard(shares)
+    spark.sql(f"DROP TABLE {name}")
     columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
     return functools.reduce(DataFrame.union, parts).select(*columns)
 
