@@ -44,9 +44,9 @@ VOCABULARY = 10_000
 MINIMUM = 2
 DISCOUNT = 0.5
 END = 0x5EED0FE0D0C5E11D
-COUNT_SLICE = 8 << 20
+COUNT_SLICE = 4 << 20
 SHARE = 4 << 20
-BATCHES = 5
+BATCHES = 8
 #: Trigrams are counted in so many parts of their hashes, one after the other.
 COUNTS = 2
 #: Tokens whose weights are Python objects at a time.
