@@ -28,11 +28,11 @@ from paperloom.llm.common import n_tasks, own_columns, read
 
 SIZE = 5
 #: One hash in FRACTION is kept. Hashes have 48 bits: 12 hex digits each in the fingerprint.
-FRACTION = 8
+FRACTION = 4
 BITS = 48
 LIMIT = (1 << BITS) // FRACTION
 #: Up to so many shingles a sketch keeps all.
-SMALL = 64
+SMALL = 512
 FULL = -1
 
 
@@ -132,12 +132,12 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """The operator over ``documents`` and over their edited texts; only the ids' quantiles are gathered."""
+    """The operator over ``documents`` and over their edited texts; only the ids' quantiles are gathered. The next text is sketched again, which is cheaper than to shuffle its sketch."""
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.coalesce(F.substring("next.text", F.lit(1), quarter), F.lit("")))
-    docs = with_next(own_columns(read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("a", sketch(F.col("text"))))
-    sketched = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "a", sketch(edited).alias("b"), F.col("next.a").alias("c"), F.col("next").isNotNull().alias("has_next"))
+    docs = with_next(own_columns(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    sketched = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("a"), sketch(edited).alias("b"), sketch(F.col("next.text")).alias("c"), F.col("next").isNotNull().alias("has_next"))
     return sketched.select(
         "doc_id",
         "n_chars",

@@ -179,6 +179,28 @@ def test_short_texts_are_compared_exactly_and_never_wrongly_with_long_ones(spark
     assert {r["in_c"] for r in rows[:200]} <= {1.0, None} and sum(r["in_c"] == 1.0 for r in rows[:200]) > 60
 
 
+def test_likeness_is_near_the_exact_one_in_each_class_of_sizes(spark):
+    """Whole sf0.01: edited texts against exact sets of shingles."""
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+    got = {r["doc_id"]: r["near_edited"] for r in fingerprint.op4_document_fingerprints(spark, "/root/testdata/sf0.01").collect()}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+    def sets(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1 if w else 0))}
+
+    errors: dict[int, list[float]] = {0: [], 1: [], 2: []}
+    for (i, t), (_, following) in zip(docs, docs[1:] + docs[:1]):
+        quarter = len(t) // 4
+        a, b = sets(t), sets(t[: len(t) - quarter] + following[:quarter])
+        size = max(len(a), len(b))
+        errors[0 if size <= fingerprint.SMALL else 1 if size <= 2 * fingerprint.SMALL else 2].append(abs(got[i] - (len(a & b) / len(a | b) if a | b else 1)))
+    assert len(got) == len(docs) and all(len(e) > 30 for e in errors.values())
+    assert max(errors[0]) < 0.01
+    for e in errors.values():
+        assert float(np.quantile(e, 0.99)) <= 0.1
+
+
 def test_next_documents(spark, make):
     assert fingerprint.with_next(make([]).select("doc_id", "text")).count() == 0
     texts = [(i * 7 % 501, f"t{i}") for i in range(501)] + [(3, "again"), (3, None), (None, "x"), (None, "y")]
