@@ -7,6 +7,7 @@ per-word Python object is made. Batches are cut into slices of about
 
 from __future__ import annotations
 
+import contextvars
 import os
 import tempfile
 import uuid
@@ -47,6 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "paperloom-shared")
 
 
+#: The paths of the tables that the running ``settled`` has written so far; None outside one.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
 def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it again: later jobs, and retries after a lost executor, start from the files."""
     path = f"{shared_dir(df.sparkSession)}/paperloom/{label}-{uuid.uuid4().hex}"
@@ -58,9 +63,25 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
         df.write.option("compression", compression).parquet(path)
     finally:
         conf.set(key, before)
+    if (written := _written.get()) is not None:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``make()`` as a table of its own; those that ``materialise`` wrote for it on the way are deleted."""
+    outer = _written.set([])
+    try:
+        made, passing = make(), _written.get()
+    finally:
+        _written.reset(outer)
+    out = materialise(made, label)
+    jvm, hadoop = out.sparkSession._jvm, out.sparkSession._jsc.hadoopConfiguration()
+    for path in map(jvm.org.apache.hadoop.fs.Path, passing):
+        path.getFileSystem(hadoop).delete(path, True)
+    return out
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a table from ``materialise`` that no later job reads."""
     jvm, hadoop = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()

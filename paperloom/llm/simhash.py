@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     """doc_id, fp and component_id: the least doc_id that links of fingerprints reach."""
     marked = materialise(fingerprints(docs, shingle, seed), "simhash-fingerprints")
     classes = materialise(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    labels = materialise(components(index_links(classes, bits)).withColumnRenamed("node", "fp"), "simhash-labels")
+    labels = components(index_links(classes, bits)).withColumnRenamed("node", "fp")
     least = labels.join(classes, "fp").groupBy("label").agg(F.min("first").alias("component"))
     grouped = labels.join(least, "label").select("fp", "component")
     of = materialise(classes.join(grouped, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "simhash-components")
