@@ -250,6 +250,24 @@ def test_edited_copies_are_found(make, words, parts):
     assert all(r["doc_id"] // 5 == r["first_doc"] // 5 and r["similarity"] >= 0.8 for r in got)
 
 
+def test_edited_cuts_of_many_groups_all_link(make, words):
+    import random
+
+    rng, rows = random.Random(11), []
+    bases = [words(400, 700 + g).split() for g in range(6)]
+    for i in range(300):
+        at = rng.randrange(0, 300)
+        w = bases[i % 6][at : at + 100]
+        w[rng.randrange(100)] = f"edit{i}"
+        rows.append((i, at, f"{words(20, 3000 + i)} {' '.join(w)} {words(20, 6000 + i)}"))
+    got = compact_windows.passages(make([(i, t) for i, _, t in rows]).repartition(5)).collect()
+    find = linked_groups(got)
+    # Cuts whose overlap is nine tenths of each are near-duplicates even with an edit each; neighbours of a text chain through them.
+    pairs = [(i, j) for (i, p, _), (j, q, _) in itertools.combinations(rows, 2) if i % 6 == j % 6 and abs(p - q) <= 10]
+    assert len(pairs) > 400 and all(find(i) == find(j) for i, j in pairs)
+    assert all(r["doc_id"] % 6 == r["first_doc"] % 6 for r in got)
+
+
 def test_recall_of_shared_passages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     find = linked_groups(compact_windows.passages(docs).collect())
