@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest doc_id. Texts without words and rows without a doc_id stay."""
-    groups = jaccard.join(docs, SHINGLE, PERCENT).where(F.col("component_id") < F.col("doc_id")).select("doc_id")
+    groups = jaccard.groups(docs, SHINGLE, PERCENT).where(F.col("component_id") < F.col("doc_id")).select("doc_id")
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 
 

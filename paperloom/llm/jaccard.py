@@ -11,18 +11,19 @@ shingles as the smaller m of the two asks for, and when parity sketches of the
 two sets don't already rule it out: the bits in which they differ are at most as
 many as the shingles that only one of the two has.
 
-Equal sets are one class from the start. Large groups of near copies would
-still make pairs by the square of their size, so links are found in rounds:
-first every document is verified against the leaders of its posting lists, the
-verified links are contracted, and only pairs between different components
-remain for the full join. No link between different components is lost, and
-the components are exact.
+Equal sets are one class from the start, whose least document stands for it.
+``join`` finds every link between different classes, so a group of near copies
+costs as much as it has links, the square of its size. Where only the components
+are asked for, ``groups`` takes fewer pairs: first every document is verified
+against the leaders of its posting lists, the verified links are contracted, and
+only pairs between different components remain. It has no links to give, but the
+same components.
 
 Defined results: a null or wordless text has an empty set, links with nothing
 and is its own component; fewer words than a shingle's make one shingle of the
 whole sequence; equal rows share their class; a row with a null doc_id has the
-component of the rows with an equal set, null if there are none; doc_ids are
-taken to be unique, and rows that repeat one are linked where any of them is;
+component of the rows with an equal set, null if there are none, and no links;
+doc_ids are taken to be unique, and rows that repeat one are linked where any of them is;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -49,6 +50,8 @@ FREQUENT = 100_000
 PARITY = 8
 HOT_SLICE = 2 << 20
 SKETCH = [f"p{i}" for i in range(PARITY)]
+#: What tells a set: its signature and size.
+CLASS = ["sig1", "sig2", "n"]
 
 
 def sets(column: pa.Array, size: int, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -226,20 +229,43 @@ def leader_pairs(labelled: DataFrame, percent: int, matches: int) -> DataFrame:
 
 
 def all_pairs(labelled: DataFrame, percent: int, matches: int) -> DataFrame:
-    """All pairs across components that share as many prefix shingles as the smaller m asks for."""
+    """All pairs across what is labelled apart that share as many prefix shingles as the smaller m asks for."""
     x, y = _sides(labelled)
     met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & _may_link(percent, matches))
     return met.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("c"), F.first(F.least("ma", "mb")).alias("m")).where("c >= m").select("a", "b")
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, matches: int = MATCHES, rounds: int = 1) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links) and n_links (verified links of its class's representative)."""
-    docs = own_columns(docs, "doc_id", "text")
+def _classed(docs: DataFrame, size: int, percent: int, matches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The prefixes of all documents; the classes of equal sets (sig1, sig2, n, rep and k, how many documents); the postings of their representatives."""
     cut = materialise(prefixes(docs, size, percent, matches), "jaccard-prefixes")
-    key = ["sig1", "sig2", "n"]
-    classes = cut.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    reps = cut.where("n > 0").join(classes.withColumn("doc_id", F.col("rep")), [*key, "doc_id"]).select("rep", "n", *SKETCH, "tokens")
-    posted = settled(lambda: postings(reps, percent, matches), "jaccard-chosen")
+    classes = cut.where("n > 0").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("k"))
+    reps = cut.where("n > 0").join(classes.withColumn("doc_id", F.col("rep")), [*CLASS, "doc_id"]).select("rep", "n", *SKETCH, "tokens")
+    return cut, classes, settled(lambda: postings(reps, percent, matches), "jaccard-chosen")
+
+
+def _labels_of(cut: DataFrame, classes: DataFrame, labels: DataFrame, *further: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of all documents, and the further columns of their classes."""
+    of_class = classes.join(labels, F.col("node") == F.col("rep"), "left").select(*CLASS, F.coalesce("label", "rep").alias("component"), *further)
+    return cut.select("doc_id", *CLASS).join(of_class, CLASS, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *further)
+
+
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable by links) and n_links (how many other documents it links with)."""
+    docs = own_columns(docs, "doc_id", "text")
+    cut, classes, posted = _classed(docs, size, percent, matches)
+    links = settled(lambda: verified(all_pairs(_labelled(posted, None), percent, matches), docs, size, percent), "jaccard-links")
+    sizes = classes.select(F.col("rep").alias("other"), F.col("k").alias("of_other"))
+    ends = links.union(links.select("b", "a")).toDF("linked", "other").distinct()
+    number = ends.join(sizes, "other").groupBy("linked").agg(F.sum("of_other").alias("others"))
+    counted = classes.join(number, F.col("linked") == F.col("rep"), "left").withColumn("in_class", F.col("k") - 1 + F.coalesce("others", F.lit(0)))
+    joined = _labels_of(cut, counted, components(links), "in_class")
+    return joined.withColumn("n_links", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("in_class", F.lit(0))).cast("long")).drop("in_class")
+
+
+def groups(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, matches: int = MATCHES, rounds: int = 1) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id as ``join`` has them, from as many links as connect the components."""
+    docs = own_columns(docs, "doc_id", "text")
+    cut, classes, posted = _classed(docs, size, percent, matches)
     links, labels = None, None
     for turn in range(rounds + 1):
         now = _labelled(posted, labels)
@@ -247,14 +273,16 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, matches: int
         found = settled(lambda pairs=pairs: verified(pairs, docs, size, percent), "jaccard-links")
         links = found if links is None else links.union(found)
         labels = components(links)
-    number = links.select("a").union(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
-    of_class = classes.join(labels, F.col("node") == F.col("rep"), "left").join(number, F.col("a") == F.col("rep"), "left").select(*key, F.coalesce("label", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    joined = cut.select("doc_id", *key).join(of_class, key, "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return _labels_of(cut, classes, labels)
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(read(spark, sf_dir, "documents")).drop("n_links")
+    return jaccard_links(spark, sf_dir).drop("n_links")
+
+
+def jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """``op3_jaccard_join`` with the number of links of each document."""
+    return join(read(spark, sf_dir, "documents"))
 
 
 OP3_SQL = r"""
@@ -273,3 +301,16 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, least_of.component_id
 FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN least_of ON least_of.a = d.doc_id
 """
+
+LINKS_SQL = rf"""
+WITH joined AS ({OP3_SQL}), t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + 3], ' ')) AS g FROM t, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS u(i) WHERE len(ws) > 0
+), met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL
+), number AS (
+  SELECT a, count(*) AS n_links FROM met JOIN joined p ON p.doc_id = a JOIN joined q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n_shingles + q.n_shingles - c) GROUP BY a
+)
+SELECT joined.*, coalesce(n_links, 0)::BIGINT AS n_links FROM joined LEFT JOIN number ON a = doc_id
+"""

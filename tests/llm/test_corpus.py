@@ -124,6 +124,17 @@ def test_jaccard_edges(make):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in rows) == [(-1, -1), (-1, 4), (4, 4), (4, 4), (9, 9)]
 
 
+def test_jaccard_links_are_all_counted(make, words):
+    texts = [*near_copies(words, 40, 1, 80, 4), *[words(30, 5)] * 3, words(30, 5) + " x", None, "one two"]
+    shingled = [{tuple(w[k : k + 4]) for k in range(max(len(w) - 3, 1))} if (w := (t or "").split()) else set() for t in texts]
+    alike = lambda x, y: x and 100 * len(x & y) >= 85 * len(x | y)
+    rows = [*enumerate(texts), (None, texts[0])]
+    got = {r["doc_id"]: r for r in jaccard.join(make(rows)).collect()}
+    assert {i: got[i]["n_links"] for i in range(len(texts))} == {i: sum(bool(alike(x, y)) for j, y in enumerate(shingled) if i != j) for i, x in enumerate(shingled)}
+    assert max(r["n_links"] for r in got.values()) > 8 and got[None]["n_links"] == 0
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(make(rows)).collect()} == {i: r["component_id"] for i, r in got.items()}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
