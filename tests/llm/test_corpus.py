@@ -279,6 +279,25 @@ def test_edited_cuts_of_many_groups_all_link(make, words):
     assert all(r["doc_id"] % 6 == r["first_doc"] % 6 for r in got)
 
 
+def test_different_near_copies_all_meet(make, words):
+    texts = list(near_copies(words, 40, 21, 160, 2))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    pairs = {(i, j) for i, j in itertools.combinations(range(40), 2) if texts[i] != texts[j] and texts[i] not in texts[:i] and texts[j] not in texts[:j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {(r["first_doc"], r["doc_id"]) for r in compact_windows.passages(make(enumerate(texts)).repartition(3)).collect()}
+    assert len(pairs) > 200 and len(pairs & got) >= 0.95 * len(pairs)
+
+
+def test_no_place_is_filled_before_a_link(make, words):
+    passage = words(70, 31)
+    phrase = " ".join(passage.split()[20:40])
+    rows = [(i, f"{words(40, 4000 + i)} {phrase} {words(40, 7000 + i)}") for i in range(40)]
+    w = passage.split()
+    w[5] = "changed"
+    rows += [(100, f"{words(30, 32)} {passage} {words(30, 33)}"), (200, f"{words(30, 34)} {' '.join(w)} {words(30, 35)}"), (150, f"{words(30, 36)} {phrase} {words(60, 37)}")]
+    got = compact_windows.passages(make(rows).repartition(3)).collect()
+    assert {(r["first_doc"], r["doc_id"]) for r in got} == {(100, 200)}
+
+
 def test_recall_of_shared_passages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     find = linked_groups(compact_windows.passages(docs).collect())
