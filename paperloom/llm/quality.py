@@ -300,15 +300,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that the classifier accepts, with all their columns."""
-    shared, n = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns)
+    """The documents that the classifier accepts, with all their columns. A text reaches a task once, and what is kept leaves it a slice at a time."""
+    shared, n, text = docs.sparkSession.sparkContext.broadcast(model), len(docs.columns), docs.columns.index("text")
 
     def keep(batches):
         for b in batches:
-            q = shared.value.scores(b.column(n), *[b.column(n + i).to_numpy() for i in (1, 2, 3)])[2]
-            yield b.select(range(n)).filter(pa.array(q >= THRESHOLD))
+            for row, upto, _, _ in slices(b.column(text)):
+                part = b.slice(row, upto - row)
+                q = shared.value.scores(part.column(text), *[part.column(n + i).to_numpy() for i in range(3)])[2]
+                yield part.select(range(n)).filter(pa.array(q >= THRESHOLD))
 
-    return docs.select("*", *_inputs()).mapInArrow(keep, docs.schema)
+    return docs.select("*", *_inputs()[1:]).mapInArrow(keep, docs.schema)
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -421,6 +421,15 @@ def test_quality_without_labels_accepts_all(spark, make):
     assert quality.score(make([]), quality.fit(make([]), labels)).count() == 0
 
 
+def test_texts_reach_the_filter_once_and_leave_it_in_slices(make):
+    model = quality.Model()
+    rows = [(i, f"{i} " + "word " * 90_000) for i in range(9)] + [(None, None)]
+    kept = quality.keep_good(make(rows), model)
+    given = kept._jdf.queryExecution().optimizedPlan().children().head().output()
+    assert [given.apply(i).name() for i in range(given.size())].count("text") == 1
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(rows, key=repr)
+
+
 def items(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string, doc_id string")
 
