@@ -214,8 +214,8 @@ def _labelled(posted: DataFrame, labels: DataFrame | None) -> DataFrame:
     return now.join(mixed, "token")
 
 
-def _sides(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(labelled.select("token", F.col("doc").alias(x), *[F.col(c).alias(c + x) for c in ("n", "m", "at", "met", "w", "label", *SKETCH)]) for x in "ab")
+def _sides(labelled: DataFrame, *further: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(labelled.select("token", F.col("doc").alias(x), *[F.col(c).alias(c + x) for c in ("n", "m", "at", "met", "w", "label", *SKETCH, *further)]) for x in "ab")
 
 
 def leader_pairs(labelled: DataFrame, percent: int, matches: int) -> DataFrame:
@@ -229,10 +229,18 @@ def leader_pairs(labelled: DataFrame, percent: int, matches: int) -> DataFrame:
 
 
 def all_pairs(labelled: DataFrame, percent: int, matches: int) -> DataFrame:
-    """All pairs across what is labelled apart that share as many prefix shingles as the smaller m asks for."""
-    x, y = _sides(labelled)
-    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb")) & _may_link(percent, matches))
-    return met.groupBy("a", "b").agg(F.sum(F.least("wa", "wb")).alias("c"), F.first(F.least("ma", "mb")).alias("m")).where("c >= m").select("a", "b")
+    """All pairs across what is labelled apart that share as many prefix shingles as the smaller m asks for.
+
+    A pair is made once, at the first token that both prefixes have: each row
+    carries its document's prefix, where a token of weight w is w entries.
+    """
+    prefix = F.array_sort(F.collect_list(F.struct("at", "token", "w")).over(Window.partitionBy("doc")))
+    entries = F.flatten(F.transform(prefix, lambda t: F.transform(F.sequence(F.lit(1), F.least(t["w"], F.lit(matches)).cast("int")), lambda i: F.xxhash64(t["token"], i))))
+    x, y = _sides(labelled.withColumn("entries", entries), "entries")
+    common = F.array_intersect("entriesa", "entriesb")
+    first = F.get(common, F.lit(0)) == F.xxhash64("token", F.lit(1))
+    apart = (F.col("a") < F.col("b")) & (F.col("labela") != F.col("labelb"))
+    return x.join(y, "token").where(apart & _may_link(percent, matches) & first & (F.size(common) >= F.least("ma", "mb"))).select("a", "b")
 
 
 def _classed(docs: DataFrame, size: int, percent: int, matches: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -135,6 +135,26 @@ def test_jaccard_links_are_all_counted(make, words):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.groups(make(rows)).collect()} == {i: r["component_id"] for i, r in got.items()}
 
 
+def rows_made(df, node):
+    """The rows that the operators of a name have made, once ``df`` was collected."""
+    open_, out = [df._jdf.queryExecution().executedPlan()], []
+    while open_:
+        p = open_.pop()
+        if p.nodeName() == node:
+            out.append(p.metrics().apply("numOutputRows").value())
+        open_ += [p.executedPlan()] if p.nodeName() == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_a_pair_is_made_once_whatever_it_shares(make, words):
+    texts = list(near_copies(words, 60, 1, 200, 6))
+    _, _, posted = jaccard._classed(make(list(enumerate(texts))), 4, 85, jaccard.MATCHES)
+    pairs = jaccard.all_pairs(jaccard._labelled(posted, None), 85, jaccard.MATCHES).hint("merge")
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) > 100
+    assert max(rows_made(pairs, "SortMergeJoin") + rows_made(pairs, "BroadcastHashJoin")) == len(got)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (105, 101), (7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
