@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import rules as R
 from paperloom.functions.keywords import marks
 from paperloom.functions.text import let, strip
-from paperloom.operators import bounded, chat, chunks, classify, entities, headers, items, tables, tags, vectors
+from paperloom.operators import bounded, chat, chunks, classify, entities, headers, items, reader, tables, tags, vectors
 from paperloom.plans import run
 from paperloom.plans.rendered import raw_tables, rendered
 from paperloom.sources import ingest, store
@@ -162,7 +162,7 @@ def header_products(spark, sf_dir):
 
 @query
 def doc_chunks(spark, sf_dir):
-    out = chunks.document_chunks(_normalised(spark, sf_dir))
+    out = reader.chunks(rendered(spark, sf_dir)).withColumn("chunk_id", chunks.chunk_id(F.col("doc_id"), F.col("number")))
     return out.select("doc_id", "chunk_id", "chunk_type", "page_number", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
