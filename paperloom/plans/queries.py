@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
 from paperloom.functions.keywords import marks
-from paperloom.functions.text import let, strip
+from paperloom.functions.text import strip
 from paperloom.operators import bounded, chat, chunks, classify, entities, headers, items, reader, tables, tags, vectors
 from paperloom.plans import run
 from paperloom.plans.rendered import raw_tables, rendered
@@ -145,8 +145,7 @@ def completeness_score(spark, sf_dir):
 
 @query
 def doc_summary(spark, sf_dir):
-    text = let(chunks.summary_text(), lambda t: F.struct(F.md5(t).alias("summary_md5"), F.char_length(t).alias("n_chars")))
-    return _normalised(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", "t.*")
+    return reader.summaries(rendered(spark, sf_dir)).select("doc_id", F.md5("text").alias("summary_md5"), F.char_length("text").alias("n_chars"))
 
 
 @query
