@@ -135,7 +135,7 @@ def line_items(spark, sf_dir):
 
 @query
 def total_validation(spark, sf_dir):
-    return _normalised(spark, sf_dir).select("doc_id", *[F.round(c, 2).alias(c) for c in ("ext_total", "calc_total", "total_amount")])
+    return reader.normalised(rendered(spark, sf_dir)).select("doc_id", *[F.round(c, 2).alias(c) for c in ("ext_total", "calc_total", "total_amount")])
 
 
 @query
