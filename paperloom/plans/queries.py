@@ -140,7 +140,7 @@ def total_validation(spark, sf_dir):
 
 @query
 def completeness_score(spark, sf_dir):
-    return _normalised(spark, sf_dir).select("doc_id", "order_id", "customer_id", "customer_name", "order_date", F.round("confidence", 4).alias("confidence"))
+    return reader.normalised(rendered(spark, sf_dir)).select("doc_id", "order_id", "customer_id", "customer_name", "order_date", F.round("confidence", 4).alias("confidence"))
 
 
 @query
