@@ -150,7 +150,7 @@ def doc_summary(spark, sf_dir):
 
 @query
 def header_chunk(spark, sf_dir):
-    return _normalised(spark, sf_dir).select("doc_id", chunks.header_text().alias("text"))
+    return reader.headers(rendered(spark, sf_dir))
 
 
 @query
