@@ -34,14 +34,6 @@ def _classified(spark, sf_dir):
     return classify.classified(rendered(spark, sf_dir))
 
 
-def _extracted(spark, sf_dir):
-    return entities.extracted(_classified(spark, sf_dir))
-
-
-def _normalised(spark, sf_dir):
-    return items.normalised(entities.enriched(_extracted(spark, sf_dir)))
-
-
 @query
 def rendered_docs(spark, sf_dir):
     return rendered(spark, sf_dir)
@@ -119,7 +111,7 @@ def typed_fields(spark, sf_dir):
 
 @query
 def typed_fields_enriched(spark, sf_dir):
-    return _field_rows(entities.enriched(_extracted(spark, sf_dir)))
+    return reader.field_rows(rendered(spark, sf_dir))
 
 
 @query

@@ -72,7 +72,7 @@ def test_numbers_as_java_shows_them(spark):
     assert [reader.shown(v) for v in values] == expected
 
 
-@pytest.mark.parametrize("name", ["doc_chunks", "doc_summary", "total_validation", "completeness_score", "header_chunk"])
+@pytest.mark.parametrize("name", ["total_validation", "completeness_score", "header_chunk", "typed_fields_enriched", "doc_summary", "doc_chunks"])
 def test_documents_are_read_once(spark, name):
     """A whole document is one call, not lambdas that Spark interprets."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
