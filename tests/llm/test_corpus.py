@@ -307,6 +307,17 @@ def test_different_near_copies_all_meet(make, words):
     assert len(pairs) > 200 and len(pairs & got) >= 0.95 * len(pairs)
 
 
+def test_batches_hold_every_pair_once(make, words, monkeypatch):
+    rows = make(enumerate(near_copies(words, 10, 21, 160, 2))).repartition(3)
+    whole, labels, write = compact_windows.passages(rows).collect(), [], compact_windows.materialise
+    monkeypatch.setattr(compact_windows, "PAIRS_AT_ONCE", 0.7)
+    monkeypatch.setattr(compact_windows, "BYTES_AT_ONCE", 12)
+    monkeypatch.setattr(compact_windows, "materialise", lambda df, label, *more: labels.append(label) or write(df, label, *more))
+    got = compact_windows.passages(rows).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole)) and len(got) > 5
+    assert labels.count("windows-rest") > 1 and labels.count("windows-further") > 1
+
+
 def test_no_place_is_filled_before_a_link(make, words):
     passage = words(70, 31)
     phrase = " ".join(passage.split()[20:40])
