@@ -198,18 +198,10 @@ def fuzzy_header_match(spark, sf_dir):
     return data.join(found, "headers").select("doc_id", "no", "label", "column", F.round("score", 6).alias("score"))
 
 
-def _with_tables(spark, sf_dir):
-    """Documents with their tables, enriched from pairs, columns and footers."""
-    docs = rendered(spark, sf_dir).join(raw_tables(spark, sf_dir), "doc_id", "left")
-    known = entities.extracted(classify.classified(tables.normalise_tables(docs), tables="raw_tables"), tables="tables")
-    values = headers.column_values(tables.normalise_tables(raw_tables(spark, sf_dir)))
-    return entities.enriched(known.join(values, "doc_id", "left"), lambda f: F.col(f"column_values.{f}"), "tables")
-
-
 @query
 def typed_fields_tables(spark, sf_dir):
     """Typed fields after all steps of enrichment: pairs, table columns by their names, and footer totals."""
-    return _field_rows(_with_tables(spark, sf_dir))
+    return reader.field_rows(rendered(spark, sf_dir).join(raw_tables(spark, sf_dir), "doc_id", "left"))
 
 
 def _paged(spark, sf_dir):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions.keywords import marks
-from paperloom.operators import chunks, classify, entities, items, reader
+from paperloom.operators import chunks, classify, entities, headers, items, reader, tables
 from paperloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -72,11 +72,11 @@ def test_numbers_as_java_shows_them(spark):
     assert [reader.shown(v) for v in values] == expected
 
 
-@pytest.mark.parametrize("name", ["total_validation", "completeness_score", "header_chunk", "typed_fields_enriched", "doc_summary", "doc_chunks"])
+@pytest.mark.parametrize("name", ["total_validation", "completeness_score", "header_chunk", "typed_fields_enriched", "typed_fields_tables", "doc_summary", "doc_chunks"])
 def test_documents_are_read_once(spark, name):
     """A whole document is one call, not lambdas that Spark interprets."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and plan.count("regexp_extract") == 0
+    assert plan.count("MapInArrow") == 1 and plan.count("regexp") == 0
 
 
 def test_bytes_that_are_no_text(spark):
@@ -84,5 +84,23 @@ def test_bytes_that_are_no_text(spark):
     assert "Products: �x x2.0" in reader.headers(docs).first()["text"]
 
 
+CELLS = ["", " ", None, "Order ID:", "Product", "Qty", "Qty", "City", "Customer Name", "Contact  Name:", "Totl", "grand total", " Grand   Total ", "Subtotal", "9.50", "1,000", "Rome", "a:b", "Date", "Buyer\u0085", "Zoë", "12", "x" * 45, "Country:", "order nr", "\t", "KEY:", "total:"]
+
+
+def test_fields_with_tables(spark, docs):
+    r = random.Random(11)
+    row = lambda n: [r.choice(CELLS) for _ in range(r.choice([n, n, n, r.randrange(5)]))]
+    one = lambda: [row(n) for n in [r.randrange(1, 5)] for _ in range(r.randrange(7))]
+    raw = [None, [], [None], [[]], [[None, ["Order ID:", "7"]]], [[["Order ID:", "7"], ["order id", "8"], ["Order ID", "9"]]], *[[one() for _ in range(r.randrange(1, 4))] for _ in range(240)]]
+    given = spark.createDataFrame([(f"D{i}", t) for i, t in enumerate(raw)], "doc_id string, raw_tables array<array<array<string>>>")
+    both = docs.where("doc_id is not null").join(given, "doc_id", "left").cache()
+    known = entities.extracted(classify.classified(tables.normalise_tables(both), tables="raw_tables"), tables="tables")
+    values = headers.column_values(tables.normalise_tables(both))
+    full = entities.enriched(known.join(values, "doc_id", "left"), lambda f: F.col(f"column_values.{f}"), "tables")
+    of = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"typed_fields.{n}").alias("value")) for n in entities.FIELDS]))
+    expected = full.select("doc_id", of.alias("r")).select("doc_id", "r.*").where("value is not null")
+    assert rows(reader.field_rows(both), "doc_id", "field", "value") == rows(expected, "doc_id", "field", "value")
+
+
 def test_no_documents(docs):
     assert reader.chunks(docs.where("false")).count() == reader.field_rows(docs.where("false")).count() == 0
