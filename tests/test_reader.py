@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import rules as R
 from paperloom.functions.keywords import marks
 from paperloom.operators import chunks, classify, entities, headers, items, reader, tables
 from paperloom.plans.queries import QUERIES
@@ -100,6 +101,9 @@ def test_fields_with_tables(spark, docs):
     of = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"typed_fields.{n}").alias("value")) for n in entities.FIELDS]))
     expected = full.select("doc_id", of.alias("r")).select("doc_id", "r.*").where("value is not null")
     assert rows(reader.field_rows(both), "doc_id", "field", "value") == rows(expected, "doc_id", "field", "value")
+    names = ["doc_id", *R.ENTITIES, "key_value_pairs", "table_entities", "typed_fields"]
+    typed = classify.classified(both, tables="raw_tables").join(values, "doc_id", "left").select("doc_id", "full_text", "document_type", "raw_tables", "column_values")
+    assert rows(reader.with_entities(typed), *names) == rows(full, *names)
 
 
 def test_no_documents(docs):
